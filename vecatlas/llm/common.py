@@ -69,3 +69,35 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_00
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", max_docs_per_class: int = 3000, max_chars: int = 20_000
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A bounded sample of labelled texts for fitting on the driver: texts, 0/1 labels, rows of either class.
+
+    About ``max_docs_per_class`` labels of each class are drawn by a hash of the key; texts longer than
+    ``max_chars`` are left out of the sample (of fitting only), so it holds at most 2 x max_docs_per_class x
+    max_chars characters. Keys with contradicting labels, null keys, null labels and null texts are left out;
+    repeated keys count once.
+    """
+    one = (
+        labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+        .where("key is not null and label in (0, 1)")
+        .groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+    )
+    totals = np.zeros(2)
+    for row in one.groupBy("label").agg(F.count("*").alias("n")).collect():
+        totals[row["label"]] = row["n"]
+    rate = np.minimum(1.0, max_docs_per_class / np.maximum(totals, 1))
+    draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    drawn = one.where(draw < F.when(F.col("label") == 1, float(rate[1] * (1 << 30))).otherwise(float(rate[0] * (1 << 30))))
+    rows = (
+        docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        .where(f"text is not null and length(text) <= {max_chars}")
+        .join(F.broadcast(drawn), "key")  # at most about 2 x max_docs_per_class rows of two numbers
+        .groupBy("key").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+        .orderBy("key")
+        .select("text", "label").toArrow()
+    )
+    return rows.column("text").to_pylist(), np.array(rows.column("label").to_pylist(), dtype=np.int64), totals

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import langid
+from vecatlas.llm import langid, quality
 from vecatlas.llm.common import held_out, table
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
+    ids = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
+    return quality.classify(ids, model, keep=["doc_id", "held_out"])
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
@@ -16,7 +23,7 @@ def op8_language_id(spark, sf_dir):
 
 
 def queries():
-    return {"op8_language_id": op8_language_id}
+    return {f.__name__: f for f in (op4_quality, op8_language_id)}
 
 
 def oracle_sql():
