@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import langid, quality
+from vecatlas.llm import decontam, langid, quality, toxicity
 from vecatlas.llm.common import held_out, table
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0)))
+    ids = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
+    return toxicity.score(ids, model, keep=["doc_id", "held_out"])
+
+
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
@@ -15,6 +22,39 @@ def op4_quality(spark, sf_dir):
     return quality.classify(ids, model, keep=["doc_id", "held_out"])
 
 
+def op6_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontam.report(found, ["doc_id"])
+
+
+OP6_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS pattern
+  FROM item_words, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS r(i) WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), hits AS (
+  SELECT doc_id, i, size, item_id
+  FROM (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS pattern
+        FROM doc_words, (SELECT DISTINCT size FROM windows), unnest(range(1, len(w) - size + 2)) AS r(i))
+  JOIN windows USING (size, pattern)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + size)) AS r(p) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+       coalesce(f.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
@@ -23,8 +63,8 @@ def op8_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_quality, op8_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op4_quality, op6_decontamination, op8_language_id)}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_decontamination": OP6_SQL}
