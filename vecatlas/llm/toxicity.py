@@ -77,11 +77,13 @@ def _aggregates(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 def _toxic_features(texts: list[str], docs_chains: list, y: np.ndarray, purity: float, gain: int = 2):
     """Features that stand almost only in toxic documents, and the number of documents of either class with each feature.
 
-    The commonest such feature is taken first; a further one only if it explains ``gain`` toxic documents that
-    none before it does, so words that toxic documents share for another reason (copies) aren't taken.
+    What near copies share is left out: a feature's neighbouring words must vary from document to document. The
+    commonest feature is taken first; a rare one only if it explains ``gain`` toxic documents that none before
+    it does.
     """
     seen = (Counter(), Counter())
     of: dict[str, list[int]] = {}
+    beside: dict[str, set[int]] = {}
     once: set[str] = set()
     for k, (text, chains, toxic) in enumerate(zip(texts, docs_chains, y.tolist(), strict=True)):
         if text in once:
@@ -92,13 +94,18 @@ def _toxic_features(texts: list[str], docs_chains: list, y: np.ndarray, purity:
         if toxic:
             for f in own:
                 of.setdefault(f, []).append(k)
+            for c in chains:
+                for before, w, after in zip(["", *c], c, [*c[1:], ""], strict=False):
+                    for f in features_of(w):
+                        beside.setdefault(f, set()).add(hash((before, after)))
     n0, n1 = np.maximum(np.bincount(y, minlength=2), 1)
     least = max(3, min(5, n1 // 20))
     marked, explained = set(), set()
     for f, k in sorted(seen[1].items(), key=lambda x: (-x[1], x[0])):
         if k < least:
             break
-        if k / n1 >= purity * (k / n1 + seen[0][f] / n0) and len(new := set(of[f]) - explained) >= gain:
+        pure = k / n1 >= purity * (k / n1 + seen[0][f] / n0)
+        if pure and 2 * len(beside[f]) >= k and (len(new := set(of[f]) - explained) >= gain or k >= 4 * least):
             marked.add(f)
             explained |= new
     return marked, seen
