@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, langid, quality, toxicity
-from vecatlas.llm.common import held_out, table
+from vecatlas.llm import decontam, langid, packing, quality, token_files, toxicity
+from vecatlas.llm.common import delete_at_exit, held_out, table, work_dir
+
+
+def vocabulary(name):
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark, sf_dir):
@@ -15,6 +22,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(ids, model, keep=["doc_id", "held_out"])
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
@@ -55,6 +66,14 @@ FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON
 """
 
 
+def op7_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = work_dir(spark)
+    manifest = token_files.write(docs, vocabulary("word_bpe_49k.json"), folder)
+    delete_at_exit(spark, folder)
+    return token_files.read(spark, manifest, "doc_id", docs.schema["doc_id"].dataType)
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
@@ -63,7 +82,7 @@ def op8_language_id(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op4_quality, op6_decontamination, op8_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op4_quality, op6_decontamination, op7_token_files, op8_language_id)}
 
 
 def oracle_sql():
