@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, langid, order_minhash, packing, quality, token_files, toxicity
+from vecatlas.llm import decontam, langid, order_minhash, packing, quality, sharding, token_files, toxicity
 from vecatlas.llm.common import delete_at_exit, held_out, table, work_dir
 
 
@@ -85,8 +85,12 @@ def op9_order_minhash(spark, sf_dir):
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_minimax_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op4_quality, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op4_quality, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash, op10_minimax_sharding)}
 
 
 def oracle_sql():
