@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, langid, order_minhash, packing, quality, sharding, token_files, toxicity
+from vecatlas.llm import decontam, imatch, langid, order_minhash, packing, quality, sharding, token_files, toxicity
 from vecatlas.llm.common import delete_at_exit, held_out, table, work_dir
 
 
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op3_imatch_fingerprint(spark, sf_dir):
+    return imatch.fingerprint_and_compare(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2)))
@@ -90,7 +94,7 @@ def op10_minimax_sharding(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op4_quality, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_imatch_fingerprint, op4_quality, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash, op10_minimax_sharding)}
 
 
 def oracle_sql():
