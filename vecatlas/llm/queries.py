@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, imatch, langid, order_minhash, packing, quality, sharding, token_files, toxicity
+from vecatlas.llm import decontam, html_extract, imatch, langid, order_minhash, packing, quality, sharding, token_files, toxicity
 from vecatlas.llm.common import delete_at_exit, held_out, table, work_dir
 
 
@@ -37,6 +37,10 @@ def op4_quality(spark, sf_dir):
     return quality.classify(ids, model, keep=["doc_id", "held_out"])
 
 
+def op5_site_templates(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -94,7 +98,7 @@ def op10_minimax_sharding(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_imatch_fingerprint, op4_quality, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash, op10_minimax_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_imatch_fingerprint, op4_quality, op5_site_templates, op6_decontamination, op7_token_files, op8_language_id, op9_order_minhash, op10_minimax_sharding)}
 
 
 def oracle_sql():
