@@ -1,15 +1,383 @@
-"""Registry of the catalogue queries."""
+"""The catalogue queries, each with its SQL where SQL can express it.
+
+All read the test tables: items come from the catalogue view over them, and coordinates, seeds and requests are
+derived from their rows. Similarities are rounded on output only; orders use the full values.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecatlas.functions import noise, scalars
+from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, telemetry
+from vecatlas.sources import stores
+from vecatlas.sources.artworks import CTE, from_test_tables, violations
+
+TARGET, SECOND, TARGETS = 3, 5, (3, 5, 6, 10)
+ELIGIBLE = "imgVec IS NOT NULL AND localImageUrl IS NOT NULL AND localImageUrl <> ''"
+URL = "coalesce(nullif(localImageUrl, ''), nullif(primaryImageSmall, ''), nullif(primaryImage, ''))"
+SOURCE = "CASE WHEN localImageUrl <> '' THEN 's3' WHEN primaryImageSmall <> '' THEN 'met_small' WHEN primaryImage <> '' THEN 'met_original' END"
+FOUND: dict[str, tuple] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query (spark, artworks, read) under its function's name, with its SQL."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, from_test_tables(spark, sf_dir), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        FOUND[f.__name__] = (run, f"WITH {CTE}{sql}" if sql and sql.startswith(",") else f"WITH {CTE}\n{sql}" if sql else None)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns or ("similarity",)})
+
+
+def stored_vector(artworks: DataFrame, item: int) -> list[float]:
+    return catalogue.target(artworks, item)["imgVec"]
+
+
+def stored_basis(artworks: DataFrame) -> list[list[float]]:
+    return [stored_vector(artworks, TARGET), stored_vector(artworks, SECOND)]
+
+
+def fitted_basis(artworks: DataFrame) -> list[list[float]]:
+    return components.fit(artworks)["basis"]
+
+
+def sim_sql(item: int) -> str:
+    return f"list_cosine_similarity(imgVec, (SELECT imgVec FROM artworks WHERE id = {item}))"
+
+
+# Filters, projections, lists
+
+
+@query(f"SELECT count(*) AS n FROM artworks WHERE {ELIGIBLE}")
+def eligible_count(spark, artworks, read):
+    return artworks.where(catalogue.eligible()).agg(F.count("*").alias("n"))
+
+
+@query(f'SELECT id, {URL} AS "imageUrl", {SOURCE} AS "imageSource", primaryImage AS "originalImageUrl" FROM artworks')
+def image_url_priority(spark, artworks, read):
+    return artworks.select("id", catalogue.image_url().alias("imageUrl"), catalogue.image_source().alias("imageSource"), F.col("primaryImage").alias("originalImageUrl"))
+
+
+@query(f"SELECT id, title, artist FROM artworks WHERE id = {TARGET} AND {ELIGIBLE}")
+def target_lookup(spark, artworks, read):
+    return artworks.where((F.col("id") == TARGET) & catalogue.eligible()).limit(1).select("id", "title", "artist")
+
+
+@query('SELECT id, objectId AS "objectId", title, artist, department FROM artworks ORDER BY id LIMIT 10')
+def legacy_list(spark, artworks, read):
+    return catalogue.first_items(artworks).select("id", "objectId", "title", "artist", "department")
+
+
+@query(f"""SELECT id, objectId AS "objectId", title, artist, "date", department, creditLine AS "creditLine", description, {URL} AS "imageUrl",
+  primaryImage AS "originalImageUrl", {SOURCE} AS "imageSource", objectUrl AS "objectUrl", true AS "hasEmbedding"
+FROM artworks WHERE {ELIGIBLE} ORDER BY md5(concat(id, ':', 42)), id LIMIT 200""")
+def random_sample(spark, artworks, read):
+    return catalogue.random_sample(artworks, 42, 200).data
+
+
+@query(f"""SELECT to_json({{'id': id, 'imageUrl': {URL}}}) AS "json" FROM artworks WHERE {ELIGIBLE} ORDER BY md5(concat(id, ':', 7)), id LIMIT 50""")
+def response_json(spark, artworks, read):
+    found = catalogue.random_sample(artworks, 7, 50)
+    return catalogue.Response(found.data.select("id", "imageUrl"), found.meta).as_json()
+
+
+@query("""SELECT event_id, least(greatest(coalesce(nullif(try_cast(nullif(regexp_extract(v, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT), 0), 20), 1), 50) AS n
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN '0' ELSE concat(' -', event_id) END AS v FROM events)""")
+def request_counts(spark, artworks, read):
+    e = F.col("event_id") % 4
+    given = F.when(e == 0, F.col("value").cast("string")).when(e == 1, F.col("event_type")).when(e == 2, "0").otherwise(F.concat(F.lit(" -"), F.col("event_id").cast("string")))
+    return read("events").select("event_id", catalogue.clamp(given, 20, 1, 50).alias("n"))
+
+
+@query(f"SELECT department, count(*) AS n FROM artworks WHERE {ELIGIBLE} GROUP BY department")
+def facet_counts(spark, artworks, read):
+    return catalogue.facets(artworks)
+
+
+@query("SELECT 'imgVec not of dimension 65' AS rule, count(*) AS n FROM artworks WHERE len(imgVec) <> 65 HAVING count(*) > 0")
+def catalogue_violations(spark, artworks, read):
+    return violations(artworks, 65)
+
+
+@query("SELECT id, round(list_sum(list_transform(imgVec, lambda x: x * x)), 4) AS squares FROM artworks WHERE imgVec IS NOT NULL")
+def vector_text_round_trip(spark, artworks, read):
+    text = artworks.where("imgVec is not null").select("id", stores.vector_to_text("imgVec").alias("text"))
+    v = stores.vector_from_text("text")
+    return text.select("id", F.round(scalars.dot(v, v), 4).alias("squares"))
+
+
+# Nearest items
+
+
+@query(f"""SELECT id, objectId AS "objectId", title, artist, {URL} AS "imageUrl", primaryImage AS "originalImageUrl", {SOURCE} AS "imageSource", id = {TARGET} AS original, round(sim, 6) AS similarity
+FROM (SELECT *, {sim_sql(TARGET)} AS sim FROM artworks WHERE {ELIGIBLE}) ORDER BY sim DESC, id LIMIT 160""")
+def similar_artworks(spark, artworks, read):
+    return rounded(knn.similar(artworks, TARGET).data)
+
+
+@query(f"""SELECT id, round(sim, 6) AS similarity FROM (SELECT id, {sim_sql(TARGET)} AS sim FROM artworks WHERE {ELIGIBLE} AND id <> {TARGET} AND id NOT IN (5, 6, 10, 17, 20, 26)) ORDER BY sim DESC, id LIMIT 100""")
+def knn_exclude_before(spark, artworks, read):
+    return rounded(knn.nearest_without(artworks, TARGET, 100, [5, 6, 10, 17, 20, 26], after=False))
+
+
+@query(f"""SELECT id, round(sim, 6) AS similarity FROM (SELECT id, {sim_sql(TARGET)} AS sim FROM artworks WHERE {ELIGIBLE} AND id <> {TARGET} ORDER BY sim DESC, id LIMIT 100)
+WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)""")
+def knn_exclude_after(spark, artworks, read):
+    excluded = read("customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").cast("int").alias("id"))
+    return rounded(knn.nearest_without(artworks, TARGET, 100, excluded, after=True))
+
+
+@query(f"""SELECT query, rank, id, round(sim, 6) AS similarity FROM (
+  SELECT q.query, a.id, list_cosine_similarity(a.imgVec, q.imgVec) AS sim, row_number() OVER (PARTITION BY q.query ORDER BY list_cosine_similarity(a.imgVec, q.imgVec) DESC, a.id) AS rank
+  FROM artworks a, (SELECT list_position([{', '.join(map(str, TARGETS))}], id) - 1 AS query, imgVec FROM artworks WHERE id IN {TARGETS}) q WHERE {ELIGIBLE.replace("imgVec", "a.imgVec")}) WHERE rank <= 10""")
+def knn_per_chunk(spark, artworks, read):
+    vectors = [stored_vector(artworks, i) for i in TARGETS]
+    return rounded(knn.nearest_of_many(artworks.where(catalogue.eligible()), vectors, [10] * len(vectors)).select("query", "rank", F.col("id").cast("int").alias("id"), "similarity"))
+
+
+@query(f"""SELECT id, round(sim, 6) AS similarity FROM (SELECT id, {sim_sql(TARGET)} AS sim FROM artworks WHERE {ELIGIBLE} ORDER BY sim DESC, id LIMIT 50) WHERE sim >= 0.15""")
+def search_threshold(spark, artworks, read):
+    vector = stored_vector(artworks, TARGET)
+    return rounded(knn.search(artworks, "a stored item", lambda text: vector, 50, 0.15).select("id", "similarity"))
+
+
+# The field: coordinates, hashing, the stream, the bias
+
+PLACES = "SELECT event_id, CAST(user_id % 25 - 12 AS DOUBLE) AS x, CAST(event_id % 25 - 12 AS DOUBLE) AS y FROM events"
+
+
+def places(read):
+    return read("events").select("event_id", (F.col("user_id") % 25 - 12).cast("double").alias("x"), (F.col("event_id") % 25 - 12).cast("double").alias("y"))
+
+
+@query(f""", places AS ({PLACES}), near AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(y, x) AS theta, least(1.0, greatest(0.0, (sqrt(x * x + y * y) - 1.5) / 10.5)) AS s FROM places),
+warm AS (SELECT *, s * s * (3 - 2 * s) AS t FROM near)
+SELECT event_id, round(r, 9) AS r, round(theta, 9) AS theta, round(t, 9) AS t, round((1 - t) * (1 - t), 9) AS w_sim, round(2 * t * (1 - t), 9) AS w_drift, round(t * t, 9) AS w_rand, round(0.05 + 0.3 * t, 9) AS sigma,
+  floor(theta * 100 + 0.5) / 100 AS theta_shown FROM warm""")
+def field_coords(spark, artworks, read):
+    p = places(read).withColumn("r", scalars.radius(F.col("x"), F.col("y"))).withColumn("theta", F.atan2("y", "x")).withColumn("t", scalars.temperature(F.col("r")))
+    w = scalars.weights(F.col("t"))
+    own = {"r": F.col("r"), "theta": F.col("theta"), "t": F.col("t"), "w_sim": w[0], "w_drift": w[1], "w_rand": w[2], "sigma": scalars.sigma(F.col("t"))}
+    return p.select("event_id", *[F.round(c, 9).alias(k) for k, c in own.items()], scalars.half_up(F.col("theta"), 2).alias("theta_shown"))
+
+
+HASH = "list_reduce([CAST(2166136261 AS BIGINT), {}], lambda h, n: (xor(h, n & 4294967295) * 16777619) & 4294967295)"
+
+
+@query(f""", places AS ({PLACES})
+SELECT event_id, {HASH.format("3, CAST(x AS BIGINT), CAST(y AS BIGINT), event_id")} AS hash, CASE WHEN sqrt(x * x + y * y) < 2 THEN {HASH.format("CAST(x AS BIGINT) + 100, CAST(y AS BIGINT) + 100")} % 50 ELSE 0 END AS skipped FROM places""")
+def hash32_grid(spark, artworks, read):
+    x, y = F.col("x"), F.col("y")
+    skipped = F.when(scalars.radius(x, y) < 2, scalars.hash32(x + 100, y + 100) % 50).otherwise(0)
+    return places(read).select("event_id", scalars.hash32(F.lit(TARGET), x, y, F.col("event_id")).alias("hash"), skipped.alias("skipped"))
+
+
+def _product(a: str, b: str) -> str:
+    return f"((({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295)"
+
+
+#: DuckDB steps of the pseudo-random stream from a relation "wanted" with seed and i.
+STREAM = f"""s1 AS (SELECT *, (CAST(seed AS BIGINT) + CAST(i AS BIGINT) * 1831565813) & 4294967295 AS t FROM wanted),
+s2 AS (SELECT *, {_product("xor(t, t >> 15)", "t | 1")} AS r FROM s1),
+s3 AS (SELECT *, xor(r, (r + {_product("xor(r, r >> 7)", "r | 61")}) & 4294967295) AS q FROM s2),
+draws AS (SELECT * EXCLUDE (t, r, q), xor(q, q >> 14) / 4294967296.0 AS u FROM s3)"""
+
+
+@query(f""", wanted AS (SELECT event_id AS seed, i FROM events, (SELECT unnest(range(1, 9)) AS i)), {STREAM} SELECT seed, CAST(i AS INTEGER) AS i, CAST(u AS DOUBLE) AS u FROM draws""")
+def prng_stream(spark, artworks, read):
+    wanted = read("events").select(F.col("event_id").alias("seed"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("i"))
+    return wanted.select("seed", "i", scalars.stream_draw(F.col("seed"), F.col("i")).alias("u"))
+
+
+@query(f""", wanted AS (SELECT event_id AS seed, i FROM events, (SELECT unnest(range(1, 9)) AS i)), {STREAM}
+SELECT a.seed, CAST((a.i - 1) // 2 AS INTEGER) AS j, round(sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u), 9) AS g FROM draws a JOIN draws b ON a.seed = b.seed AND b.i = a.i + 1 WHERE a.i % 2 = 1""")
+def gaussian_stream(spark, artworks, read):
+    wanted = read("events").select(F.col("event_id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    return wanted.select("seed", "j", F.round(scalars.normal_draw(F.col("seed"), F.col("j")), 9).alias("g"))
+
+
+@query(f""", basis AS (SELECT a.imgVec AS u1, b.imgVec AS u2 FROM artworks a, artworks b WHERE a.id = {TARGET} AND b.id = {SECOND}),
+placed AS (SELECT id, imgVec, CAST(id % 25 - 12 AS DOUBLE) AS x, CAST(objectId % 23 - 11 AS DOUBLE) AS y FROM artworks WHERE {ELIGIBLE}),
+warm AS (SELECT *, atan2(y, x) AS theta, least(1.0, greatest(0.0, (sqrt(x * x + y * y) - 1.5) / 10.5)) AS s FROM placed),
+along AS (SELECT id, imgVec, s * s * (3 - 2 * s) * 0.35 AS alpha, [cos(theta) * u1[i] + sin(theta) * u2[i] for i in range(1, len(u1) + 1)] AS d FROM warm, basis)
+SELECT id, round(alpha, 6) AS step, round(alpha * list_inner_product(imgVec, d) / sqrt(list_inner_product(d, d)), 6) + 0.0 AS along FROM along""")
+def pca_bias(spark, artworks, read):
+    u1, u2 = map(scalars.literal_vector, stored_basis(artworks))
+    x, y = (F.col("id") % 25 - 12).cast("double"), (F.col("objectId") % 23 - 11).cast("double")
+    bias = scalars.directional_bias(F.atan2(y, x), scalars.temperature(scalars.radius(x, y)), u1, u2)
+    rows = artworks.where(catalogue.eligible()).select("id", "imgVec", bias.alias("bias"))
+    return rows.select("id", F.round(scalars.norm(F.col("bias")), 6).alias("step"), (F.round(scalars.dot(F.col("imgVec"), F.col("bias")), 6) + 0.0).alias("along"))
+
+
+CHUNK_COLUMNS = ("pos", "id", "title", "imageUrl", "source", "similarity")
+
+
+@query(f""", near AS (SELECT *, {sim_sql(TARGET)} AS sim FROM artworks WHERE {ELIGIBLE} AND id <> {TARGET}), ranked AS (SELECT *, row_number() OVER (ORDER BY sim DESC, id) AS rk FROM near)
+SELECT CAST(rk - 48 AS INTEGER) AS pos, CAST(id AS BIGINT) AS id, title, {URL} AS "imageUrl", 'sim' AS source, round(sim, 6) AS similarity FROM ranked WHERE rk BETWEEN 48 AND 67""")
+def field_chunk_center(spark, artworks, read):
+    return rounded(field.one_chunk(artworks, TARGET, 0, 0, stored_basis(artworks)).data.select(*CHUNK_COLUMNS))
+
+
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY md5(concat(id, ':', {noise.hash32(TARGET, 12, 5, 0)})), id) - 1 AS INTEGER) AS pos, CAST(id AS BIGINT) AS id, title, {URL} AS "imageUrl", 'rand' AS source, CAST(NULL AS DOUBLE) AS similarity
+FROM artworks WHERE {ELIGIBLE} AND id <> {TARGET} ORDER BY pos LIMIT 20""")
+def field_chunk_far(spark, artworks, read):
+    return field.one_chunk(artworks, TARGET, 12, 5, stored_basis(artworks)).data.select(*CHUNK_COLUMNS)
+
+
+@query()
+def field_chunk_mid(spark, artworks, read):
+    return rounded(field.one_chunk(artworks, TARGET, -3, 8, fitted_basis(artworks), count=50, exclude=[5, 6]).data)
+
+
+@query()
+def field_chunks(spark, artworks, read):
+    wanted = [(0, 0), (1, 0), (2, -3), (5, 5), (-3, 8), (12, 0)]
+    return rounded(field.many_chunks(artworks, TARGET, wanted, fitted_basis(artworks), count=20, exclude=[5, 6]).data)
+
+
+@query()
+def pca_basis(spark, artworks, read):
+    return components.as_table(spark, components.fit(artworks))
+
+
+# Ingest
+
+
+@query("SELECT id, primaryImage AS \"primaryImage\" FROM artworks WHERE primaryImage <> '' AND (localImageUrl IS NULL OR localImageUrl = '') ORDER BY id LIMIT 10000")
+def download_queue(spark, artworks, read):
+    return catalogue.download_queue(artworks)
+
+
+@query("SELECT id, localImageUrl AS \"localImageUrl\" FROM artworks WHERE localImageUrl <> '' AND imgVec IS NULL ORDER BY id LIMIT 7500 OFFSET 5")
+def embedding_queue(spark, artworks, read):
+    return catalogue.embedding_queue(artworks, offset=5)
+
+
+OUTCOMES = """queue AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM artworks WHERE primaryImage <> '' AND (localImageUrl IS NULL OR localImageUrl = '')),
+outcomes AS (SELECT id, CAST((place - 1) // 25 + 1 AS INTEGER) AS batch, id % 4 <> 0 AS ok FROM queue)"""
+
+
+def _refuse_every_fourth(url: str) -> bytes:
+    if int(url.rsplit("/", 1)[1]) % 4 == 0:
+        raise OSError("refused")
+    return url.encode()
+
+
+def _fetched(artworks):
+    queue = catalogue.download_queue(artworks)
+    return queue, ingest.fetch(queue, _refuse_every_fourth, lambda key, data: None)
+
+
+@query(f""", {OUTCOMES} SELECT coalesce(batch, 0) AS batch, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, avg(CAST(ok AS DOUBLE)) AS success_rate FROM outcomes GROUP BY ROLLUP (batch)""")
+def ingest_report(spark, artworks, read):
+    queue, results = _fetched(artworks)
+    return ingest.report(results.join(ingest.numbered(queue).select("id", "batch"), "id"))
+
+
+@query(f""", {OUTCOMES} SELECT a.id, CASE WHEN o.ok THEN concat('https://img.example.org/artworks/', a.id, '.jpg') ELSE a.localImageUrl END AS "localImageUrl" FROM artworks a LEFT JOIN outcomes o ON a.id = o.id""")
+def ingest_apply(spark, artworks, read):
+    return ingest.with_urls(artworks, _fetched(artworks)[1]).select("id", "localImageUrl")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (imgVec IS NOT NULL OR localImageUrl <> '') AS embedded FROM artworks")
+def embedding_apply(spark, artworks, read):
+    results = ingest.embed(catalogue.embedding_queue(artworks), ingest.stub_encoder(64))
+    return ingest.with_vectors(artworks, results).agg(F.count("*").alias("n"), F.count("imgVec").alias("embedded"))
+
+
+# Fusion, evaluation, telemetry
+
+
+def _lists(artworks):
+    rows = artworks.where(catalogue.eligible())
+    return [fusion.ranked(knn.nearest(rows, stored_vector(artworks, i), 100), "similarity") for i in (TARGET, SECOND)]
+
+
+def _list_sql(item: int) -> str:
+    return f"SELECT id, row_number() OVER (ORDER BY {sim_sql(item)} DESC, id) AS rank FROM artworks WHERE {ELIGIBLE} QUALIFY rank <= 100"
+
+
+def _fused_sql(w_text: float, w_image: float) -> str:
+    return f""", t AS ({_list_sql(TARGET)}), i AS ({_list_sql(SECOND)}), f AS (SELECT coalesce(t.id, i.id) AS id, coalesce({w_text} / (60 + t.rank), 0) + coalesce({w_image} / (60 + i.rank), 0) AS score, t.rank AS text_rank, i.rank AS image_rank FROM t FULL JOIN i ON t.id = i.id)
+SELECT id, round(score, 9) AS score, CAST(text_rank AS INTEGER) AS text_rank, CAST(image_rank AS INTEGER) AS image_rank FROM f ORDER BY round(score, 12) DESC, id LIMIT 50"""
+
+
+@query(_fused_sql(1.0, 1.0))
+def rrf_fuse(spark, artworks, read):
+    return rounded(fusion.fuse(*_lists(artworks)), "score", digits=9)
+
+
+@query(_fused_sql(2.0, 0.5))
+def rrf_weighted(spark, artworks, read):
+    return rounded(fusion.fuse(*_lists(artworks), w_text=2.0, w_image=0.5), "score", digits=9)
+
+
+def _judged(artworks, read):
+    """Ranks for a few targets, and whether a result has the target's label."""
+    vectors = [stored_vector(artworks, i) for i in TARGETS]
+    ranks = knn.nearest_of_many(artworks.where(catalogue.eligible()), vectors, [20] * len(vectors)).select("query", F.col("id").cast("int").alias("id"), "rank")
+    label = read("embeddings").select((F.col("vec_id") + 1).cast("int").alias("id"), "label")
+    asked = label.where(F.col("id").isin(list(TARGETS))).select((F.array_position(F.array(*map(F.lit, TARGETS)), F.col("id")) - 1).cast("int").alias("query"), F.col("label").alias("asked"))
+    labels = ranks.select("query", "id").join(F.broadcast(asked), "query").join(label, "id").select("query", "id", (F.col("label") == F.col("asked")).alias("plausible"))
+    return ranks, labels
+
+
+JUDGED = f"""ranks AS (SELECT q.id AS query, a.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(a.imgVec, q.imgVec) DESC, a.id) AS rank, l.label = m.label AS plausible
+  FROM (SELECT * FROM artworks WHERE {ELIGIBLE}) a, (SELECT * FROM artworks WHERE id IN {TARGETS}) q, embeddings l, embeddings m WHERE l.vec_id = a.id - 1 AND m.vec_id = q.id - 1 QUALIFY rank <= 20)"""
+
+
+@query(f", {JUDGED} SELECT avg(CAST(plausible AS DOUBLE)) AS hit_rate, count(*) AS judged FROM ranks WHERE rank <= 5")
+def relevance_top5(spark, artworks, read):
+    return fusion.hit_rate(*_judged(artworks, read))
+
+
+@query(f""", {JUDGED}, lists AS (SELECT query, id, rank, true AS of_text FROM ranks UNION ALL SELECT query, id, 21 - rank, false FROM ranks),
+scored AS (SELECT w_text, w_image, query, id, sum(CASE WHEN of_text THEN w_text ELSE w_image END / (60 + rank)) AS score FROM lists, (VALUES (1.0, 0.0), (0.0, 1.0), (3.0, 1.0)) w(w_text, w_image) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY w_text, w_image, query ORDER BY round(score, 12) DESC, id) AS place FROM scored QUALIFY place <= 5)
+SELECT CAST(w_text AS DOUBLE) AS w_text, CAST(w_image AS DOUBLE) AS w_image, avg(CAST(r.plausible AS DOUBLE)) AS hit_rate FROM best JOIN ranks r USING (query, id) GROUP BY w_text, w_image""")
+def relevance_weight_grid(spark, artworks, read):
+    ranks, labels = _judged(artworks, read)
+    return fusion.weight_grid(ranks, ranks.withColumn("rank", 21 - F.col("rank")), labels, [(1.0, 0.0), (0.0, 1.0), (3.0, 1.0)])
+
+
+@query("SELECT count(*) AS n, count(imgVec) AS covered, avg(CAST(imgVec IS NOT NULL AS DOUBLE)) AS coverage FROM artworks")
+def vector_coverage(spark, artworks, read):
+    return telemetry.vector_coverage(artworks)
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (imgVec IS NULL) AS missing, count(*) FILTER (len(imgVec) <> 64) AS other_dimension, count(*) FILTER (len(list_filter(imgVec, lambda x: x IS NULL OR isnan(x))) > 0) AS not_numbers,
+  count(*) FILTER (len(list_filter(imgVec, lambda x: x <> 0)) = 0) AS zero FROM artworks""")
+def vector_integrity(spark, artworks, read):
+    return telemetry.vector_integrity(artworks, 64)
+
+
+@query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def telemetry_latency(spark, artworks, read):
+    return telemetry.latency(read("events"))
+
+
+@query("""SELECT count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors,
+  CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) / count(*) FILTER (event_type = 'view') AS click_through, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS error_rate FROM events""")
+def telemetry_use(spark, artworks, read):
+    return telemetry.use(read("events"))
+
 
-def flagship(spark, sf_dir):
-    return queries()["similar_artworks"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FOUND["similar_artworks"][0](spark, sf_dir)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return {name: run for name, (run, _) in FOUND.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
