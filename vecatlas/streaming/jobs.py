@@ -27,7 +27,7 @@ def embedding_job(spark: SparkSession, catalogue: str, results: str, checkpoint:
 
 def telemetry_by_window(events: DataFrame, *, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events, mean and largest value by type and window of event time; windows close ``late`` after their end."""
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("largest")).select(
         F.col("window.start").alias("start"), "event_type", "n", "mean", "largest"
     )
