@@ -36,7 +36,7 @@ class ToxicityModel:
 
 
 def features_of(word: str) -> tuple[str, ...]:
-    return ("w:" + word, "4:" + word[:4], "5:" + word[:5]) if len(word) > 5 else ("w:" + word, "4:" + word[:4])
+    return ("w:" + word, "4:" + word[:4], "5:" + word[:5]) if len(word) > 4 else ("w:" + word, "4:" + word[:4])
 
 
 def _chains(text: str | None) -> list[list[str]]:
@@ -111,7 +111,7 @@ def _toxic_features(texts: list[str], docs_chains: list, y: np.ndarray, purity:
     return marked, seen
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_docs_per_class: int = 2500, max_chars: int = 10_000, steps: int = 60, purity: float = 0.98, **columns: str) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_docs_per_class: int = 2500, max_chars: int = 10_000, steps: int = 100, purity: float = 0.99, **columns: str) -> ToxicityModel | None:
     """Fit on a bounded sample (see ``labelled_sample``); None where either class has no row."""
     texts, y, totals = labelled_sample(docs, labels, label, max_docs_per_class=max_docs_per_class, max_chars=max_chars, **columns)
     n0, n1 = np.bincount(y, minlength=2)
