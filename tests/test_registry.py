@@ -1,9 +1,11 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vecatlas.plans import registry
@@ -11,7 +13,7 @@ from vecatlas.plans import registry
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda x: "" if x is None or x != x else repr(float(x)) if isinstance(x, float) else str(x)
+    show = lambda x: "" if pd.isna(x) else repr(float(x)) if isinstance(x, numbers.Real) and not isinstance(x, bool) else str(x)
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False, name=None))
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+# The image addresses in order of preference, and the tag of each.
+IMAGE_TAGS = {"localImageUrl": "s3", "primaryImageSmall": "met_small", "primaryImage": "met_original"}
+
+
 class TargetNotFound(LookupError):
     """The item doesn't exist, or isn't eligible."""
 
@@ -32,11 +36,11 @@ def eligible() -> Column:
 
 def image_url() -> Column:
     """The first image address that is neither null nor empty: stored, small, original."""
-    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("localImageUrl", "primaryImageSmall", "primaryImage")])
+    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in IMAGE_TAGS])
 
 
 def image_source() -> Column:
-    return F.when(F.col("localImageUrl") != "", "s3").when(F.col("primaryImageSmall") != "", "met_small").when(F.col("primaryImage") != "", "met_original")
+    return F.coalesce(*[F.when(F.col(c) != "", tag) for c, tag in IMAGE_TAGS.items()])
 
 
 def clamp(value: Column, default: int, low: int, high: int) -> Column:

@@ -360,9 +360,9 @@ def vector_integrity(spark, artworks, read):
     return telemetry.vector_integrity(artworks, 64)
 
 
-@query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def telemetry_latency(spark, artworks, read):
-    return telemetry.latency(read("events"))
+    return rounded(telemetry.latency(read("events")), "p50", "p95", "p99")
 
 
 @query("""SELECT count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors,
