@@ -49,16 +49,16 @@ def nearest_without(artworks: DataFrame, item: int, k: int, excluded, *, after:
 def nearest_of_many(df: DataFrame, queries: list, limits: list[int], id_column: str = "id", vector_column: str = "imgVec") -> DataFrame:
     """``query`` (its place in the list), id, similarity, rank: the best rows for each of a few query vectors.
 
-    One scan scores a batch of rows against all queries as a matrix product and keeps each query's best of the
-    batch; a window over what is left gives the final ranks. Rows of another dimension and zero vectors are left out.
+    One scan scores the rows against all queries in numpy and keeps each query's best of the task; a window over
+    what is left gives the final ranks. Rows of another dimension and zero vectors are left out.
     """
     wanted = np.asarray(queries, dtype=np.float64)
     lengths = np.linalg.norm(wanted, axis=1, keepdims=True)
     wanted = wanted / np.where(lengths == 0, 1, lengths)
 
     def score(batches):
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in limits]
         for batch in batches:
-            ids = batch.column(0)
             lists = batch.column(1)
             use = np.flatnonzero(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == wanted.shape[1])
             if not len(use):
@@ -66,11 +66,13 @@ def nearest_of_many(df: DataFrame, queries: list, limits: list[int], id_column:
             rows = lists.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(use), -1)
             norms = np.linalg.norm(rows, axis=1)
             use, rows, norms = use[norms > 0], rows[norms > 0], norms[norms > 0]
-            number = ids.to_numpy(zero_copy_only=False)[use]
+            number = batch.column(0).to_numpy(zero_copy_only=False)[use]
             for q, limit in enumerate(limits):
-                s = rows @ wanted[q] / norms
-                best = np.lexsort((number, -s))[:limit]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q, np.int32)), pa.array(number[best], pa.int64()), pa.array(s[best])], names=["query", "id", "similarity"])
+                ids, s = np.concatenate([best[q][0], number]), np.concatenate([best[q][1], rows @ wanted[q] / norms])
+                top = np.lexsort((ids, -s))[:limit]
+                best[q] = ids[top], s[top]
+        for q, (ids, s) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int32)), pa.array(ids, pa.int64()), pa.array(s)], names=["query", "id", "similarity"])
 
     scored = df.select(F.col(id_column).cast("bigint").alias("id"), vector_column).mapInArrow(score, "query int, id bigint, similarity double")
     limit = F.element_at(F.array(*[F.lit(x) for x in limits]), F.col("query") + 1) if len(set(limits)) > 1 else F.lit(limits[0])
