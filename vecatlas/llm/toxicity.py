@@ -81,33 +81,30 @@ def _toxic_features(texts: list[str], docs_chains: list, y: np.ndarray, purity:
     commonest feature is taken first; a rare one only if it explains ``gain`` toxic documents that none before
     it does.
     """
+    first = {t: k for k, t in reversed([*enumerate(texts)])}
+    once = [k for k, t in enumerate(texts) if first[t] == k]
     seen = (Counter(), Counter())
-    of: dict[str, list[int]] = {}
-    beside: dict[str, set[int]] = {}
-    once: set[str] = set()
-    for k, (text, chains, toxic) in enumerate(zip(texts, docs_chains, y.tolist(), strict=True)):
-        if text in once:
-            continue
-        once.add(text)
-        own = {f for c in chains for w in c for f in features_of(w)}
-        seen[toxic].update(own)
-        if toxic:
-            for f in own:
-                of.setdefault(f, []).append(k)
-            for c in chains:
-                for before, w, after in zip(["", *c], c, [*c[1:], ""], strict=False):
-                    for f in features_of(w):
-                        beside.setdefault(f, set()).add(hash((before, after)))
+    for k in once:
+        seen[y[k]].update({f for c in docs_chains[k] for w in c for f in features_of(w)})
     n0, n1 = np.maximum(np.bincount(y, minlength=2), 1)
     least = max(3, min(5, n1 // 20))
+    pure = {f for f, k in seen[1].items() if k >= least and k / n1 >= purity * (k / n1 + seen[0][f] / n0)}
+    of: dict[str, set[int]] = {f: set() for f in pure}
+    beside: dict[str, set[tuple[str, str]]] = {f: set() for f in pure}
+    for k in once:
+        if y[k]:
+            for c in docs_chains[k]:
+                for before, w, after in zip(["", *c], c, [*c[1:], ""], strict=False):
+                    for f in features_of(w):
+                        if f in pure:
+                            of[f].add(k)
+                            beside[f].add((before, after))
     marked, explained = set(), set()
-    for f, k in sorted(seen[1].items(), key=lambda x: (-x[1], x[0])):
-        if k < least:
-            break
-        pure = k / n1 >= purity * (k / n1 + seen[0][f] / n0)
-        if pure and 2 * len(beside[f]) >= k and (len(new := set(of[f]) - explained) >= gain or k >= 4 * least):
+    for f in sorted(pure, key=lambda f: (-seen[1][f], f)):
+        k = seen[1][f]
+        if 2 * len(beside[f]) >= k and (len(of[f] - explained) >= gain or k >= 4 * least):
             marked.add(f)
-            explained |= new
+            explained |= of[f]
     return marked, seen
 
 
@@ -117,9 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_docs_pe
     n0, n1 = np.bincount(y, minlength=2)
     if not n0 or not n1:
         return None
-    docs_chains = [_chains(t) for t in texts]
+    same: dict[str, str] = {}  # one string object for all occurrences of a token
+    docs_chains = [[[same.setdefault(w, w) for w in c] for c in _chains(t)] for t in texts]
     marked, seen = _toxic_features(texts, docs_chains, y, purity)
     known = {f: i for i, f in enumerate(sorted(f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= 3))}
+    del seen
     types: dict[str, int] = {}
     flat, lengths, target, of_doc = [], [], [], []
     for k, (chains, toxic) in enumerate(zip(docs_chains, y.tolist(), strict=True)):
