@@ -155,6 +155,47 @@ def test_large_group_of_near_copies(spark):
     assert got.agg(F.sum("n_links")).first()[0] / 2 < 400 * 2 * 24
 
 
+def edited(rng, words, edits, mark):
+    t = words[:]
+    for at in rng.sample(range(len(t)), edits):
+        t[at] = f"{mark}e{at}"
+    return t
+
+
+def test_star_of_independent_copies(spark):
+    """2000 copies are alike to their original only, and all are of its class."""
+    rng = random.Random(10)
+    base = [str(i) for i in range(504)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(edited(rng, base, 10, k))) for k in range(1, 2001)]
+    sets = [shingles(t) for _, t in rows[:40]]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert all(likeness(sets[0], s) >= 0.8 for s in sets) and max(likeness(sets[i], sets[j]) for i in range(1, 40) for j in range(1, i)) < 0.8
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["class_id"] for r in got.collect()} == {0}
+    assert got.agg(F.sum("n_links")).first()[0] / 2 < 2001 * 2 * 24
+
+
+@pytest.mark.parametrize("block_kmers", [500_000, 5_000])
+def test_pairs_in_a_bucket_without_an_original(spark, block_kmers):
+    """Copies that are not alike share buckets with pairs that are: each pair is found, in one block and across blocks."""
+    rng = random.Random(11)
+    base = [str(i) for i in range(300)]
+    copies = [edited(rng, base, 6, k) for k in range(120)]
+    rows = [(k, " ".join(t)) for k, t in enumerate([*copies, *(edited(rng, t, 1, f"y{i}") for i, t in enumerate(copies[:60]))])]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_kmers=block_kmers)
+    want = classes(rows)
+    assert len({c for _, c in want}) > 30
+    assert sorted(((r["doc_id"], r["class_id"]) for r in got.collect()), key=str) == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((1, 5), (30, 40), (90, 3000)):
+        sets = [np.unique(rng.integers(kinds, size=rng.integers(kinds))).astype(np.uint64) for _ in range(n)]
+        got = order_minhash._common(np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets]), n)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(n) for j in range(n) if i != j)
+
+
 def test_sketches_do_not_depend_on_the_batch():
     texts = ["a b c d e f", "", None, "x y", "a b c d e f", " ".join(map(str, range(3000)))]
     together = order_minhash.band_keys(texts, bands=4, per_band=2, k=5)

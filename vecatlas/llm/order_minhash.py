@@ -3,11 +3,17 @@
 The k-mers of a text are its runs of five words, each labelled with its occurrence (how many equal ones stand
 before it), so all labelled k-mers of a text differ. For each of several hash functions a sketch takes the two
 k-mers of least hash and keeps them in the order of the text; two texts agree in a sketch if they share both
-k-mers in the same order. Bands of two sketches give candidate buckets. In a bucket each text is compared with one
-chosen at random and with the one before it in a random order (both differ from band to band), so the number of
-pairs grows with the texts, not with their square. Alignment: labelled k-mers are unique in a text, so the best
-alignment of two texts is the longest chain of common k-mers in ascending order within the band.
-Equal texts are one node from the start. Links are closed to classes by connected components.
+k-mers in the same order. Bands of two sketches give candidate buckets, and each pair of texts in a bucket is
+verified or proven to be in one class already, in three steps. First, small buckets give all their pairs, and in the
+others each text is compared with one chosen at random and with the one before it in a random order (both differ
+from band to band); that joins groups whose texts are all alike. Second, in large buckets that still hold several
+classes each text is compared with the text of most links, the likely original of independently edited copies. Last,
+what still holds several classes is compared whole, block by block: the common k-mers of all pairs of two blocks are
+counted at once, and the pairs whose counts allow a link are aligned. Only this last step grows with the square of a
+bucket, and only in texts that are not yet in one class.
+Alignment: labelled k-mers are unique in a text, so the best alignment of two texts is the longest chain of common
+k-mers in ascending order within the band. Equal texts are one node from the start. Links are closed to classes by
+connected components.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ _STEP = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 28) - 1)  # low bits of a hash that hold the k-mer's place
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SMALL = 4  # buckets of so many texts give all their pairs at once
+_HUB = 200  # in larger buckets the text of most links is compared with all others before the blocks are
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -141,12 +149,79 @@ def similarity(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.nd
     return aligned / (len(a) + len(b) - aligned), common / (int(first_a.sum()) + int(first_b.sum()) - common)
 
 
+def _common(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x n: how many values two different owners share (each has a value once). Frequent values by matrix product, others by their pairs."""
+    _, column = np.unique(values, return_inverse=True)
+    owner = owner[np.argsort(column, kind="stable")]
+    size = np.bincount(column)
+    at = np.cumsum(size) - size
+    out = np.zeros((n, n))
+    most = max(16, n // 10)
+    frequent = np.flatnonzero(size > most)
+    for start in range(0, len(frequent), 2048):
+        part = frequent[start : start + 2048]
+        has = np.zeros((n, len(part)), dtype=np.float32)
+        for i, c in enumerate(part.tolist()):
+            has[owner[at[c] : at[c] + size[c]], i] = 1
+        out += has @ has.T
+    flat = out.reshape(-1)
+    for d in np.unique(size[(size > 1) & (size <= most)]).tolist():
+        first = at[size == d]
+        step = max(1, 2_000_000 // (d * d))
+        for start in range(0, len(first), step):
+            who = owner[first[start : start + step, None] + np.arange(d)]
+            index, count = np.unique((who[:, :, None] * n + who[:, None, :]).ravel(), return_counts=True)
+            flat[index] += count
+    return out
+
+
+def links_of_block(kmers: list[np.ndarray], first: list[np.ndarray], roots: list, block: list, at_least: float) -> list[tuple[int, int, float, float]]:
+    """Links that join the classes (``roots``) of all texts of one block, or of two, as (i, j, aligned, jaccard).
+
+    Every pair of different classes (with two blocks: across them) is decided by its counts of common k-mers, by
+    alignment, or by links found before that put both into one class.
+    """
+    n = len(kmers)
+    owner = np.repeat(np.arange(n), [len(x) for x in kmers])
+    values, once = np.concatenate(kmers), np.concatenate(first)
+    _, root = np.unique(np.array([x.hex() for x in roots]), return_inverse=True)
+    side = np.array(block)
+    wanted = np.triu(root[:, None] != root[None, :], 1)
+    if (side != side[0]).any():
+        wanted &= side[:, None] != side[None, :]
+    common = _common(values, owner, n)
+    length = np.bincount(owner, minlength=n)
+    likely = common / np.maximum(length[:, None] + length[None, :] - common, 1)
+    if not once.all():
+        shared, length = _common(values[once], owner[once], n), np.bincount(owner[once], minlength=n)
+        likely = np.maximum(likely, shared / np.maximum(length[:, None] + length[None, :] - shared, 1))
+    a, b = np.nonzero(wanted & (likely >= at_least - 1e-9))
+    parent = list(range(int(root.max()) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for at in np.argsort(-likely[a, b], kind="stable").tolist():
+        i, j = int(a[at]), int(b[at])
+        x, y = find(int(root[i])), find(int(root[j]))
+        if x != y:
+            aligned, jaccard = similarity(kmers[i], kmers[j], first[i], first[j], at_least)
+            if max(aligned, jaccard) >= at_least:
+                parent[x] = y
+                out.append((i, j, aligned, jaccard))
+    return out
+
+
 def _node(text: str):
     """The digest that stands for all equal texts."""
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
-def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, bands: int, per_band: int, run_length: int):
+def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, bands: int, per_band: int, run_length: int, block_kmers: int):
     """Tables: a row's key and node; a node's least key, number of rows and class root; verified links."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), _node(text).alias("node"))
 
@@ -164,9 +239,13 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
     place = F.xxhash64("node", "band")
     bucket = member.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "node")).alias("chosen")).where("n > 1").select("band", "n", F.col("chosen.node").alias("chosen"))
-    inside = member.join(bucket, "band").withColumn("run", F.pmod(F.xxhash64("band", "node"), F.ceil(F.col("n") / run_length)))
-    inside = inside.withColumn("before", F.lag("node").over(Window.partitionBy("band", "run").orderBy(F.hash("node", "band"), "node")))
-    pairs = inside.select("node", F.explode(F.array("chosen", "before")).alias("other")).where("other is not null and node <> other")
+    small = min(_SMALL, run_length)
+    shared = written(member.join(bucket, "band"))
+    inside = shared.withColumn("run", F.pmod(F.xxhash64("band", "node"), F.ceil(F.col("n") / run_length)))
+    order = Window.partitionBy("band", "run").orderBy(F.hash("node", "band"), "node")
+    further = [F.when(F.col("n") <= small, F.lag("node", i).over(order)) for i in range(2, small)]
+    inside = inside.select("node", F.array("chosen", F.lag("node").over(order), *further).alias("others"))
+    pairs = inside.select("node", F.explode("others").alias("other")).where("other is not null and node <> other")
     pairs = written(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("key").alias("of")), "node")
@@ -176,10 +255,10 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
             found, first, counts = labelled_kmers(batch.column(1).to_pylist(), k)
             ends = np.cumsum(counts)
             parts = [(found[e - n : e].tobytes(), first[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in parts], pa.binary()), pa.array([f for _, f in parts], pa.binary())], names=["node", "kmers", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in parts], pa.binary()), pa.array([f for _, f in parts], pa.binary()), pa.array(counts, pa.int64())], names=["node", "kmers", "first", "size"])
 
     source = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["key"].eqNullSafe(wanted["of"])).select(rows["node"], rows["text"])
-    texts = written(source.dropDuplicates(["node"]).mapInArrow(kmers, "node binary, kmers binary, first binary"))
+    texts = written(source.dropDuplicates(["node"]).mapInArrow(kmers, "node binary, kmers binary, first binary, size bigint"))
 
     def verify(batches):
         for batch in slices(batches, "ka", 4_000_000):
@@ -197,25 +276,88 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
             )
 
     left, right = (texts.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "fa", "kb", "fb")
-    links = written(both.mapInArrow(verify, "a binary, b binary, aligned double, jaccard double"))
 
-    labelled = nodes.select("node", "key", "n_rows").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def verified(pairs):
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "fa", "kb", "fb")
+        return written(both.mapInArrow(verify, "a binary, b binary, aligned double, jaccard double"))
+
+    def of_several_classes(buckets, roots):
+        """The members, with the roots of their classes, of the buckets that still hold more than one class."""
+        rooted = written(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        several = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
+        return written(rooted.join(several, "band"))
+
+    links = verified(pairs)
+    roots = written(components(links))
+    mixed = of_several_classes(shared.where(F.col("n") > small).select("band", "node", "n"), roots)
+
+    def joined(found):
+        return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select("a", "b"))))
+
+    large = mixed.where(F.col("n") > _HUB)
+    if large.limit(1).count():
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        hub = large.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+        spokes = large.join(hub, "band").where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        found = verified(written(spokes))
+        links, roots = written(links.unionByName(found)), joined(found)
+        mixed = of_several_classes(mixed.select("band", "node", "n"), roots)
+
+    if mixed.limit(1).count():
+        found = written(_by_blocks(mixed, texts, at_least, block_kmers).distinct())
+        links, roots = written(links.unionByName(found)), joined(found)
+
+    labelled = nodes.select("node", "key", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return sketches.select("key", "node"), labelled, links
 
 
+def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, block_kmers: int) -> DataFrame:
+    """Links between different classes of a bucket, from comparing all its blocks of about ``block_kmers`` with each other.
+
+    Classes that fill blocks have their own, which are not compared with each other; the others share blocks.
+    """
+    weighed = mixed.join(texts.select("node", F.greatest("size", F.lit(500)).alias("weight")), "node")
+    of_class = weighed.groupBy("band", "root").agg(F.sum("weight").alias("w"))
+    rest = of_class.where(F.col("w") < block_kmers).groupBy("band").agg(F.sum("w").alias("w_rest"))
+    parts = weighed.join(of_class, ["band", "root"]).join(rest, "band", "left")
+    alone = F.col("w") >= block_kmers
+    number = F.when(alone, F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("w") / block_kmers))).otherwise(F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("w_rest") / block_kmers)))
+    parts = written(parts.select("band", "node", "root", F.when(alone, F.col("root")).alias("own"), number.alias("number")).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "number")))
+    blocks = parts.select("band", "own", "block").distinct()
+    other = blocks.select("band", F.col("own").alias("other_own"), F.col("block").alias("other"))
+    against = blocks.join(other, "band").where("block <= other and (own is null or other_own is null or own <> other_own)").select("band", F.col("block").alias("x"), F.col("other").alias("y"))
+    task = F.struct("band", "x", "y").alias("task")
+    against = against.select("band", task, F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = parts.join(against, ["band", "block"]).select(F.sha2(F.to_json("task"), 256).alias("task"), F.to_json("block").alias("block"), "node", "root")
+    rows = rows.join(texts.select("node", "kmers", "first"), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        nodes = group["node"].to_pylist()
+        kmers = [np.frombuffer(x, np.uint64) for x in group["kmers"].to_pylist()]
+        first = [np.frombuffer(x, bool) for x in group["first"].to_pylist()]
+        found = links_of_block(kmers, first, group["root"].to_pylist(), group["block"].to_pylist(), at_least)
+        return pa.table(
+            [pa.array([nodes[i] for i, _, _, _ in found], pa.binary()), pa.array([nodes[j] for _, j, _, _ in found], pa.binary()), pa.array([s for _, _, s, _ in found], pa.float64()), pa.array([s for _, _, _, s in found], pa.float64())],
+            names=["a", "b", "aligned", "jaccard"],
+        )
+
+    return rows.groupBy("task").applyInArrow(compare, "a binary, b binary, aligned double, jaccard double")
+
+
 def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000, block_kmers: int = 500_000
 ) -> DataFrame:
     """One row per row of ``docs``: key, class_id (the least key of its class), class_size (rows) and n_links
     (links of its text to other texts that were verified).
 
-    Two texts are linked if their alignment, or else the Jaccard likeness of their k-mer sets, is ``at_least``.
+    Two texts are linked if their alignment, or else the Jaccard likeness of their k-mer sets, is ``at_least``; each
+    pair that shares a band is verified, unless other links have put both into one class already.
     Equal texts are one class; a null text counts as empty, and texts without words are only equal to equal
     texts. Repeated rows and keys are kept. An empty table gives an empty result; columns other than key and text
     are not read.
     """
-    rows, labelled, links = _classes(docs, key, text, at_least, k, bands, per_band, run_length)
+    rows, labelled, links = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_kmers)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = labelled.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n_rows").alias("class_size"))
     of_node = labelled.join(classes, "root").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -224,13 +366,13 @@ def near_duplicates(
 
 
 def deduplicate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000, block_kmers: int = 500_000
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the least key of their class: one row of each class.
 
     Of repeated rows with equal key and text one stays (their other columns may differ: any one of them).
     """
-    rows, labelled, _ = _classes(docs, key, text, at_least, k, bands, per_band, run_length)
+    rows, labelled, _ = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_kmers)
     chosen = labelled.groupBy("root").agg(F.min(F.struct("key", "node")).alias("of")).select(F.col("of.node").alias("__chosen"), F.col("of.key").alias("__key"))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{key}`").alias("__own"), _node(text).alias("__node"))
     kept = left.join(chosen, (F.col("__node") == F.col("__chosen")) & F.col("__own").eqNullSafe(F.col("__key")))
