@@ -233,6 +233,21 @@ def test_minimax_cuts(spark, cells):
         assert all(b - a <= capacity for a, b in zip(edges, edges[1:], strict=False)) and all(c in {0, *ends} for c in cuts)
 
 
+@pytest.mark.parametrize(("at", "hot"), [(0, 0.34), (150, 0.34), (299, 0.34), (150, 0.1), (299, 0.1)])
+def test_cuts_around_a_hot_group_are_even(spark, at, hot):
+    """No shard stays empty or takes much more than its share of what the hot group leaves."""
+    rng = random.Random(9)
+    sizes = [rng.randint(100, 300) for _ in range(300)]
+    sizes[at] = int(hot / (1 - hot) * sum(sizes))
+    ends = np.cumsum(sizes).tolist()
+    capacity, cuts = sharding.minimax_cuts(spark.createDataFrame(list(zip(ends, sizes, strict=True)), "end long, size long"), 16)
+    edges = [0, *cuts, ends[-1]]
+    loads = sorted(b - a for a, b in zip(edges, edges[1:], strict=False))
+    share = (sum(sizes) - sizes[at]) / 15
+    assert capacity == least_capacity(sizes, 16) == sizes[at] == loads[-1]
+    assert len(loads) == 16 and 0.4 * share < loads[0] and loads[-2] < 1.6 * share
+
+
 def check_sharded(rows, docs):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
     slots, groups = defaultdict(list), defaultdict(set)

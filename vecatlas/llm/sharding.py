@@ -5,7 +5,9 @@ levels (within digest ranges, then over the ranges). The shard capacity is the l
 pass, which fills each shard as far as it fits, cover everything in the given number of shards. It is found by
 binary search over summaries of the running sums: the places where a cut can still fall are read at a fixed
 number of cells, which bounds the capacity to within a cell; the next round reads only what lies around the
-possible cuts, until it reads single groups. Each summary has a bounded number of rows whatever the table's size.
+possible cuts, until it reads single groups. Within that capacity the cuts are then placed evenly: each as near as it
+can be to an equal share of what remains, and never so early that the shards after it could not hold the rest.
+Each summary has a bounded number of rows whatever the table's size.
 """
 
 from __future__ import annotations
@@ -42,6 +44,51 @@ def _least_capacity(ends: list[int], total: int, low: int, high: int, shards: in
     return low
 
 
+def _ends_near(groups: DataFrame, at: int, low: int, high: int) -> tuple[int | None, int | None]:
+    """The last end up to ``at`` and the first after it, of those from low to high."""
+    end = F.col("end")
+    row = groups.where(end.between(low, high)).agg(F.max(F.when(end <= at, end)), F.min(F.when(end > at, end))).first()
+    return row[0], row[1]
+
+
+def _even_cuts(groups: DataFrame, total: int, capacity: int, shards: int) -> list[int]:
+    """Cuts of shards of at most ``capacity``, each as near to an equal share of what remains as a group's end allows."""
+    least, at = [], total  # least[k]: where a cut must be at least, for the shards after it to hold the rest
+    for _ in range(shards - 1):
+        at = 0 if at <= capacity else groups.where(F.col("end") >= at - capacity).agg(F.min("end")).first()[0]
+        least.append(at)
+    least.reverse()
+    # a group larger than its share counts as one share, so that what it takes is not missing from the shards around it
+    top = [(r["end"], r["size"]) for r in groups.orderBy(F.desc("size")).limit(shards).collect()]
+    big, share = [], total / shards
+    while len(larger := [x for x in top if x[1] > share]) > len(big):
+        big, share = sorted(larger), (total - sum(x for _, x in larger)) / max(1, shards - len(larger))
+
+    def counted(end: int) -> float:
+        return end - sum(size - share for e, size in big if e <= end)
+
+    def place(count: float) -> int:
+        """Where the running sum is that counts so much."""
+        gone = 0.0
+        for e, size in big:
+            start = e - size - gone
+            if count <= start:
+                break
+            if count < start + share:
+                return int(e - size + (count - start) * size / share)
+            gone += size - share
+        return int(count + gone)
+
+    cuts, at = [], 0
+    for k in range(shards - 1):
+        low, high = max(at, least[k]), min(at + capacity, total)
+        aim = counted(at) + (counted(total) - counted(at)) / (shards - k)
+        ends = [e for e in (*_ends_near(groups, place(aim), low, high), low) if e is not None]
+        at = min(ends, key=lambda e: (not at < e < total, abs(counted(e) - aim), e))
+        cuts.append(at)
+    return cuts
+
+
 def minimax_cuts(groups: DataFrame, shards: int, cells: int = 20_000) -> tuple[int, list[int]]:
     """The least capacity, and the running sums after which the shards end. groups: end, size (of each group)."""
     row = groups.agg(F.max("end").alias("total"), F.max("size").alias("largest"), F.count("*").alias("n")).first()
@@ -62,7 +109,7 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = 20_000) -> tuple[i
         found = _least_capacity(ends, total, low, high + cell, shards)
         low, high = max(low, found - cell), found
         if cell == 1:
-            return high, _greedy(ends, total, high, shards)
+            return high, _even_cuts(groups, total, high, shards)
         windows, least, most = [], 0, 0
         for _ in range(shards - 1):
             i = bisect_right(ends, least + low) - 1
