@@ -188,6 +188,14 @@ def test_templates_are_deleted_by_host(spark):
     assert html_extract.extract(df).count() == len(rows) and html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_content_with_a_class_stays(spark):
+    """Equal skeletons are no template where the texts differ; lists of links and recurring texts are."""
+    page = "<body><div class='top'><p>Welcome</p></div><div class='content'><h1>Title {n}</h1><p class='lead'>Own text {n} of the page</p><p>Second {n}, with more words of its own than all the rest of the page</p></div><div class='more'><a href='/{n}'>Go to {n}</a></div></body>"
+    rows = [(k, f"http://one.example/{k}", page.format(n=k)) for k in range(6)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in got] == [f"Title {k}\nOwn text {k} of the page\nSecond {k}, with more words of its own than all the rest of the page" for k in range(6)]
+
+
 def test_shared_paragraphs_of_articles_stay(spark):
     rows = [(k, f"http://one.example/{k}", PAGE.format(n=k, main=f"<article><p>Own {k}</p><p>A line that all share</p><div class='box'><p>Read our guide</p></div></article>")) for k in range(6)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
