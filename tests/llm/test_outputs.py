@@ -196,6 +196,17 @@ def test_content_with_a_class_stays(spark):
     assert [r["text"] for r in got] == [f"Title {k}\nOwn text {k} of the page\nSecond {k}, with more words of its own than all the rest of the page" for k in range(6)]
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    """A page that stands several times on a small host is no template of it."""
+    page = "<body><div><p>Own text {n}</p><div><p>Second {n}</p></div></div></body>"
+    inside = "<body><article><p>Own text {n}</p><ul><li>Item {n}</li></ul></article></body>"
+    rows = [(k, f"http://{host}.example/{k}", form.format(n=max(k, 4))) for host, form in (("one", page), ("two", inside)) for k in range(12)]
+    df = spark.createDataFrame([*rows, *((k, "http://three.example/", page.format(n=0)) for k in range(5))], "page_id long, url string, html string")
+    got = Counter((r["page_id"], r["url"], r["text"]) for r in html_extract.extract(df.repartition(3)).collect())
+    want = [(k, u, f"Own text {max(k, 4)}\n{'Second' if 'one' in u else 'Item'} {max(k, 4)}") for k, u, _ in rows]
+    assert got == Counter([*want, *((k, "http://three.example/", "Own text 0\nSecond 0") for k in range(5))])
+
+
 def test_shared_paragraphs_of_articles_stay(spark):
     rows = [(k, f"http://one.example/{k}", PAGE.format(n=k, main=f"<article><p>Own {k}</p><p>A line that all share</p><div class='box'><p>Read our guide</p></div></article>")) for k in range(6)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
