@@ -80,26 +80,54 @@ def test_decontamination_awkward(spark, awkward, nothing, sf_dir):
 # Near-duplicates
 
 
-def shingles(text):
-    w = words(text)
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+def common_words(a, b):
+    """Longest common subsequence by the textbook's table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def word_likeness(a, b):
+    """Aligned words over all words; 0 if the words' counts alone forbid 0.8."""
+    n, most = len(a) + len(b), sum((Counter(a) & Counter(b)).values())
+    if not a or not b or most < 0.8 * (n - most):
+        return 0.0
+    start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[start:], b[start:]
+    end = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
+    common = start + end + common_words(a[: len(a) - end], b[: len(b) - end])
+    return common / (n - common)
+
+
+def linked(rows, at_least=0.8):
+    """All pairs of different texts that are alike, by comparing all."""
+    texts = sorted({t or "" for _, t in rows})
+    split = {t: words(t) for t in texts}
+    order = sorted(texts, key=lambda t: len(split[t]))
+    out = []
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if len(split[a]) < at_least * len(split[b]):
+                break
+            if word_likeness(split[a], split[b]) >= at_least:
+                out.append((a, b))
+    return out
 
 
-def classes(rows):
+def classes(rows, links=None):
     """Classes of all rows by comparing all texts."""
-    texts = sorted({t or "" for _, t in rows})
-    sets, parent = {t: shingles(t) for t in texts}, {t: t for t in texts}
+    parent = {t or "": t or "" for _, t in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, a in enumerate(texts):
-        for b in texts[:i]:
-            s, t = sets[a], sets[b]
-            if s and t and len(s & t) >= 0.8 * len(s | t):
-                parent[find(a)] = find(b)
+    for a, b in linked(rows) if links is None else links:
+        parent[find(a)] = find(b)
     least = {}
     for i, t in rows:
         r = find(t or "")
@@ -107,6 +135,24 @@ def classes(rows):
     return sorted(((i, least[find(t or "")]) for i, t in rows), key=str)
 
 
+def check_classes(rows, got, recall):
+    """No class joins what links do not join; of the linked pairs of texts the given share is in one class."""
+    links = linked(rows)
+    text_of = {i: t or "" for i, t in rows}
+    found = {(r["doc_id"]): r["class_id"] for r in got}
+    want = dict(classes(rows, links))
+    of_class = defaultdict(set)
+    for i, c in found.items():
+        of_class[c].add(want[i])
+    assert all(len(x) == 1 for x in of_class.values())
+    least = {}
+    for i, t in text_of.items():
+        least.setdefault(t, i)
+    together = sum(found[least[a]] == found[least[b]] for a, b in links)
+    assert together >= recall * len(links), (together, len(links))
+    return len(links)
+
+
 def near_texts():
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -128,17 +174,36 @@ def near_texts():
 def test_classes_against_all_pairs(spark):
     rows = near_texts()
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, class_id string").repartition(5)
-    got = order_minhash.near_duplicates(df)
-    assert sorted(((r["doc_id"], r["class_id"]) for r in got.collect()), key=str) == classes(rows)
+    got = order_minhash.near_duplicates(df).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((i for i, _ in rows), key=str)
+    assert check_classes(rows, got, 0.95) > 100
     kept = order_minhash.deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, c in classes(rows)}, key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({r["class_id"] for r in got}, key=str)
 
 
 def test_classes_whole_table(spark, sf_dir):
     rows = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall()
-    got = queries.op9_order_minhash(spark, sf_dir)
-    assert sorted(((r["doc_id"], r["class_id"]) for r in got.collect()), key=str) == classes(rows)
+    assert check_classes(rows, queries.op9_order_minhash(spark, sf_dir).collect(), 0.95) >= 3
+
+
+def test_recall_of_edited_copies(spark):
+    """Of copies with one word in ten to fifteen changed, put in or left out, nine in ten are found at least."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for k in range(300):
+        base = [f"{k}w{rng.randrange(400)}" for _ in range(rng.randint(60, 600))]
+        t = base[:]
+        for _ in range(len(base) // rng.randint(11, 15)):
+            at, new = rng.randrange(len(t)), f"{k}n{rng.randrange(10**6)}"
+            rng.choice((lambda: t.insert(at, new), lambda: t.__setitem__(at, new), lambda: t.pop(at)))()
+        if word_likeness(base, t) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(t))]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(pairs) > 250
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] // 2 == i // 2 for i, _ in rows)
 
 
 def test_large_group_of_near_copies(spark):
@@ -152,7 +217,7 @@ def test_large_group_of_near_copies(spark):
         rows.append((k, " ".join(t)))
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), run_length=50)
     assert {r["class_id"] for r in got.collect()} == {0}
-    assert got.agg(F.sum("n_links")).first()[0] / 2 < 400 * 2 * 24
+    assert got.agg(F.sum("n_links")).first()[0] / 2 < 400 * 2 * 32
 
 
 def edited(rng, words, edits, mark):
@@ -166,23 +231,23 @@ def test_star_of_independent_copies(spark):
     """2000 copies are alike to their original only, and all are of its class."""
     rng = random.Random(10)
     base = [str(i) for i in range(504)]
-    rows = [(0, " ".join(base))] + [(k, " ".join(edited(rng, base, 10, k))) for k in range(1, 2001)]
-    sets = [shingles(t) for _, t in rows[:40]]
-    likeness = lambda a, b: len(a & b) / len(a | b)
-    assert all(likeness(sets[0], s) >= 0.8 for s in sets) and max(likeness(sets[i], sets[j]) for i in range(1, 40) for j in range(1, i)) < 0.8
+    rows = [(0, " ".join(base))] + [(k, " ".join(edited(rng, base, 40, k))) for k in range(1, 2001)]
+    some = [words(t) for _, t in rows[:20]]
+    assert all(word_likeness(some[0], s) >= 0.8 for s in some) and max(word_likeness(some[i], some[j]) for i in range(1, 20) for j in range(1, i)) < 0.8
     got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["class_id"] for r in got.collect()} == {0}
-    assert got.agg(F.sum("n_links")).first()[0] / 2 < 2001 * 2 * 24
+    own = sum(r["class_id"] == 0 for r in got.collect())
+    assert own >= 0.97 * len(rows)
+    assert got.agg(F.sum("n_links")).first()[0] / 2 < 2001 * 2 * 32
 
 
-@pytest.mark.parametrize("block_kmers", [500_000, 5_000])
-def test_pairs_in_a_bucket_without_an_original(spark, block_kmers):
+@pytest.mark.parametrize("block_words", [500_000, 5_000])
+def test_pairs_in_a_bucket_without_an_original(spark, block_words):
     """Copies that are not alike share buckets with pairs that are: each pair is found, in one block and across blocks."""
     rng = random.Random(11)
     base = [str(i) for i in range(300)]
-    copies = [edited(rng, base, 6, k) for k in range(120)]
+    copies = [edited(rng, base, 25, k) for k in range(120)]
     rows = [(k, " ".join(t)) for k, t in enumerate([*copies, *(edited(rng, t, 1, f"y{i}") for i, t in enumerate(copies[:60]))])]
-    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_kmers=block_kmers)
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_words=block_words)
     want = classes(rows)
     assert len({c for _, c in want}) > 30
     assert sorted(((r["doc_id"], r["class_id"]) for r in got.collect()), key=str) == want
@@ -198,31 +263,41 @@ def test_common_counts():
 
 def test_sketches_do_not_depend_on_the_batch():
     texts = ["a b c d e f", "", None, "x y", "a b c d e f", " ".join(map(str, range(3000)))]
-    together = order_minhash.band_keys(texts, bands=4, per_band=2, k=5)
+    together = order_minhash.band_keys(texts, bands=4, per_band=1, k=5)
     for t, row in zip(texts, together, strict=True):
-        assert (order_minhash.band_keys([t], bands=4, per_band=2, k=5)[0] == row).all()
+        assert (order_minhash.band_keys([t], bands=4, per_band=1, k=5)[0] == row).all()
     assert not together[1].any() and not together[2].any() and (together[0] == together[4]).all()
 
 
 def test_labelled_kmers_by_hand():
-    text = "a b a b a b a b a b c"
-    found, first, counts = order_minhash.labelled_kmers([text, "p q"])
+    found, counts = order_minhash.labelled_kmers(["a b a b a b a b a b c", "p q"])
     assert counts.tolist() == [7, 1] and len(set(found.tolist())) == 8
-    w, seen, flags = text.split(), Counter(), []
-    for i in range(7):
-        s = tuple(w[i : i + 5])
-        flags.append(not seen[s])
-        seen[s] += 1
-    assert first.tolist() == [*flags, True]
-
-
-def test_alignment_counts_order():
-    a = np.arange(1, 101, dtype=np.uint64)
-    ones = np.ones(100, dtype=bool)
-    assert order_minhash.similarity(a, a, ones, ones, 0.8) == (1.0, 1.0)
-    aligned, jaccard = order_minhash.similarity(a, np.roll(a, 50), ones, ones, 0.8)
-    assert jaccard == 1.0 and aligned < 0.8
-    assert order_minhash._chain(np.array([3, 1, 2, 5, 4, 6])) == 4
+    again, _ = order_minhash.labelled_kmers(["p q", "a b a b a b a b a b c"])
+    assert again.tolist() == [*found[7:], *found[:7]]
+
+
+def test_alignment_is_the_longest_common_subsequence():
+    rng = random.Random(13)
+    assert order_minhash._chain(np.array([3, 1, 2, 5, 4, 6])).tolist() in ([1, 2, 3, 5], [1, 2, 4, 5])
+    hashed = lambda w: order_minhash.word_hashes([" ".join(w)])[0]
+    for kinds in (3, 50, 5000):
+        for n in (1, 3, 8, 40, 300):
+            a = [str(rng.randrange(kinds)) for _ in range(n)]
+            assert order_minhash.similarity(hashed(a), hashed(a), 0.8) == 1.0
+            for edits in (1, n // 20, n // 10, n):
+                b = a[:]
+                for _ in range(edits):
+                    at, new = rng.randrange(len(b) + 1), str(rng.randrange(kinds))
+                    b[at:at] = [new] if rng.random() < 0.3 else []
+                    if b and rng.random() < 0.6:
+                        b[rng.randrange(len(b))] = new
+                    if len(b) > 1 and rng.random() < 0.3:
+                        b.pop(rng.randrange(len(b)))
+                want, got = word_likeness(a, b), order_minhash.similarity(hashed(a), hashed(b), 0.8)
+                assert order_minhash.common_subsequence(hashed(a), hashed(b)) == common_words(a, b)
+                assert got <= want + 1e-9 and (want < 0.82 or got >= 0.98 * want), (want, got)
+    half = [str(i) for i in range(100)]
+    assert order_minhash.similarity(hashed(half), hashed(half[50:] + half[:50]), 0.8) == 0.0
 
 
 def test_components(spark):

@@ -1,19 +1,21 @@
-"""Near-duplicate documents by Order MinHash, with candidates verified by banded alignment.
+"""Near-duplicate documents by Order MinHash, with candidates verified by banded alignment of their words.
 
 The k-mers of a text are its runs of five words, each labelled with its occurrence (how many equal ones stand
 before it), so all labelled k-mers of a text differ. For each of several hash functions a sketch takes the two
 k-mers of least hash and keeps them in the order of the text; two texts agree in a sketch if they share both
-k-mers in the same order. Bands of two sketches give candidate buckets, and each pair of texts in a bucket is
+k-mers in the same order. Sketches give candidate buckets, and each pair of texts in a bucket is
 verified or proven to be in one class already, in three steps. First, small buckets give all their pairs, and in the
-others each text is compared with one chosen at random and with the one before it in a random order (both differ
-from band to band); that joins groups whose texts are all alike. Second, in large buckets that still hold several
+others each text is compared with the two before it in a random order (which differs from bucket to bucket); that
+joins groups whose texts are all alike. Second, in large buckets that still hold several
 classes each text is compared with the text of most links, the likely original of independently edited copies. Last,
-what still holds several classes is compared whole, block by block: the common k-mers of all pairs of two blocks are
+what still holds several classes is compared whole, block by block: the common words of all pairs of two blocks are
 counted at once, and the pairs whose counts allow a link are aligned. Only this last step grows with the square of a
 bucket, and only in texts that are not yet in one class.
-Alignment: labelled k-mers are unique in a text, so the best alignment of two texts is the longest chain of common
-k-mers in ascending order within the band. Equal texts are one node from the start. Links are closed to classes by
-connected components.
+Alignment: labelled k-mers are unique in a text, so the longest chain of common ones in ascending order within the
+band anchors the alignment; between two anchors the longest common subsequence of the words is exact. Texts whose
+words would allow a link that the anchors do not give are aligned without anchors. The likeness
+of two texts is aligned words over all words. Equal texts are one node from the start. Links are closed to classes
+by connected components.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ _PLACE = np.uint64((1 << 28) - 1)  # low bits of a hash that hold the k-mer's pl
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SMALL = 4  # buckets of so many texts give all their pairs at once
 _HUB = 200  # in larger buckets the text of most links is compared with all others before the blocks are
+_HUB_PARTS = 32
+_FEW_HUBS = 10_000  # rows of three short columns
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,11 +48,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def labelled_kmers(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the labelled k-mers of all texts in order, whether each is the first of its kind, and their number in each text.
-
-    A text of fewer than k words, but not none, is one k-mer.
-    """
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of words of each text."""
     data = np.frombuffer(b"".join([b" " + (t or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS) for t in texts]) + b" ", dtype=np.uint8)
     sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts])
     text_at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -66,12 +67,19 @@ def labelled_kmers(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.
             hashes[:n] = (hashes[:n] ^ data[at[:n] + i]) * _STEP
         words = np.empty_like(hashes)
         words[order] = hashes
-        words = _mixed(words)
-        n_words = np.diff(np.searchsorted(begin, np.concatenate((text_at, [len(data)]))))
+        return _mixed(words), np.diff(np.searchsorted(begin, np.concatenate((text_at, [len(data)]))))
+
+
+def kmers_of(words: np.ndarray, n_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled k-mers of texts given as word hashes, in order, and their number in each text.
+
+    A text of fewer than k words, but not none, is one k-mer.
+    """
+    with np.errstate(over="ignore"):
         counts = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
         first_word = np.cumsum(n_words) - n_words
         total = int(counts.sum())
-        text_of = np.repeat(np.arange(len(texts)), counts)
+        text_of = np.repeat(np.arange(len(n_words)), counts)
         start = np.repeat(first_word - (np.cumsum(counts) - counts), counts) + np.arange(total)
         span = np.minimum(n_words, k)[text_of]
         kmers = span.astype(np.uint64)
@@ -86,12 +94,17 @@ def labelled_kmers(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.
         group_at = np.maximum.accumulate(np.where(same, 0, np.arange(total)))
         label = np.empty(total, dtype=np.uint64)
         label[order] = (np.arange(total) - group_at).astype(np.uint64)
-        return np.where(label > 0, _mixed(kmers + label * _STEP), kmers), label == 0, counts
+        return np.where(label > 0, _mixed(kmers + label * _STEP), kmers), counts
+
+
+def labelled_kmers(texts: list[str | None], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled k-mers of all texts in order, and their number in each text."""
+    return kmers_of(*word_hashes(texts), k)
 
 
 def band_keys(texts: list[str | None], *, bands: int, per_band: int, k: int, seed: int = 11) -> np.ndarray:
     """Texts x bands: the key of each band of Order MinHash sketches of two k-mers; texts without words get zeros."""
-    kmers, _, counts = labelled_kmers(texts, k)
+    kmers, counts = labelled_kmers(texts, k)
     out = np.zeros((len(texts), bands), dtype=np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
@@ -119,34 +132,88 @@ def band_keys(texts: list[str | None], *, bands: int, per_band: int, k: int, see
     return out
 
 
-def _chain(places: np.ndarray) -> int:
-    """The length of the longest ascending chain."""
+def _chain(places: np.ndarray) -> np.ndarray:
+    """Which of the places make up a longest ascending chain."""
     if len(places) < 2 or (np.diff(places) > 0).all():
-        return len(places)
+        return np.arange(len(places))
     tails: list[int] = []
-    for x in places.tolist():
+    last: list[int] = []  # the element that ends the best chain of each length
+    before: list[int] = []
+    for at, x in enumerate(places.tolist()):
         i = bisect_left(tails, x)
+        before.append(last[i - 1] if i else -1)
         if i == len(tails):
             tails.append(x)
+            last.append(at)
         else:
-            tails[i] = x
-    return len(tails)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, at_least: float) -> tuple[float, float]:
-    """Banded alignment of two texts' labelled k-mers, as aligned / all; and the Jaccard likeness of their k-mer sets.
-
-    The band is as wide as two texts of likeness ``at_least`` can drift apart.
+            tails[i], last[i] = x, at
+    out, at = [], last[-1]
+    while at >= 0:
+        out.append(at)
+        at = before[at]
+    return np.array(out[::-1])
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common subsequence, all of ``a`` at once in the bits of one number."""
+    if len(a) > len(b):
+        a, b = b, a
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    left = full  # a zero bit for each step of the subsequence
+    for x in b.tolist():
+        hit = left & where.get(x, 0)
+        if hit:
+            left = ((left + hit) | (left - hit)) & full
+    return len(a) - left.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, at_least: float, k: int = 5) -> float:
+    """Banded alignment of two texts given as word hashes: aligned words over all words; 0 where the texts are
+    less alike than ``at_least`` for sure.
+
+    Anchors lie in a band as wide as two texts of this likeness can drift apart.
     """
-    if not len(a) or not len(b):
-        return 0.0, 0.0
-    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    common = int(first_a[ia].sum())
+    n, m = len(a), len(b)
+    need = at_least / (1 + at_least) * (n + m) - 1e-9
+    if not n or not m or min(n, m) < need:
+        return 0.0
+    one, both = np.array([n]), np.array([m])
+    if len(np.intersect1d(kmers_of(a, one, 1)[0], kmers_of(b, both, 1)[0], assume_unique=True)) < need:
+        return 0.0
+    _, ia, ib = np.intersect1d(kmers_of(a, one, k)[0], kmers_of(b, both, k)[0], assume_unique=True, return_indices=True)
+    band = int((1 - at_least) / at_least * max(n, m)) + 8
+    near = np.abs(ia - ib) <= band
+    ia, ib = ia[near], ib[near]
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
-    band = int((1 - at_least) / at_least * max(len(a), len(b))) + 8
-    aligned = _chain(ib[np.abs(ia - ib) <= band])
-    return aligned / (len(a) + len(b) - aligned), common / (int(first_a.sum()) + int(first_b.sum()) - common)
+    chain = _chain(ib)
+    ia, ib = ia[chain], ib[chain]
+    # runs of neighbouring anchors on one diagonal
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(ia) != 1) | (np.diff(ib) != 1)))) if len(ia) else np.zeros(0, np.int64)
+    ends = np.concatenate((starts[1:], [len(ia)]))[: len(starts)] - 1
+    span = min(k, n, m)
+    aligned, x, y, gaps = 0, 0, 0, []
+    for i, j, length in zip(ia[starts].tolist(), ib[starts].tolist(), (ia[ends] - ia[starts] + span).tolist(), strict=True):
+        over = max(x - i, y - j, 0)  # words that the run before has aligned already
+        if over < length:
+            gaps.append((x, i + over, y, j + over))
+            aligned += length - over
+            x, y = i + length, j + length
+    gaps.append((x, n, y, m))
+    room = sum(min(p - o, q - r) for o, p, r, q in gaps)
+    for o, p, r, q in sorted(gaps, key=lambda g: min(g[1] - g[0], g[3] - g[2])):
+        if aligned + room < need:
+            break
+        least = min(p - o, q - r)
+        if least:
+            found = common_subsequence(a[o:p], b[r:q])
+            aligned, room = aligned + found, room - least
+    if aligned < need:  # repetitive texts may be anchored badly
+        aligned = common_subsequence(a, b)
+    return aligned / (n + m - aligned) if aligned >= need else 0.0
 
 
 def _common(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -175,26 +242,21 @@ def _common(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def links_of_block(kmers: list[np.ndarray], first: list[np.ndarray], roots: list, block: list, at_least: float) -> list[tuple[int, int, float, float]]:
-    """Links that join the classes (``roots``) of all texts of one block, or of two, as (i, j, aligned, jaccard).
+def links_of_block(words: list[np.ndarray], roots: list, block: list, at_least: float, k: int) -> list[tuple[int, int, float]]:
+    """Links that join the classes (``roots``) of all texts of one block, or of two, as (i, j, aligned).
 
-    Every pair of different classes (with two blocks: across them) is decided by its counts of common k-mers, by
+    Every pair of different classes (with two blocks: across them) is decided by its count of common words, by
     alignment, or by links found before that put both into one class.
     """
-    n = len(kmers)
-    owner = np.repeat(np.arange(n), [len(x) for x in kmers])
-    values, once = np.concatenate(kmers), np.concatenate(first)
+    n = len(words)
+    length = np.array([len(x) for x in words])
     _, root = np.unique(np.array([x.hex() for x in roots]), return_inverse=True)
     side = np.array(block)
     wanted = np.triu(root[:, None] != root[None, :], 1)
     if (side != side[0]).any():
         wanted &= side[:, None] != side[None, :]
-    common = _common(values, owner, n)
-    length = np.bincount(owner, minlength=n)
+    common = _common(kmers_of(np.concatenate(words), length, 1)[0], np.repeat(np.arange(n), length), n)
     likely = common / np.maximum(length[:, None] + length[None, :] - common, 1)
-    if not once.all():
-        shared, length = _common(values[once], owner[once], n), np.bincount(owner[once], minlength=n)
-        likely = np.maximum(likely, shared / np.maximum(length[:, None] + length[None, :] - shared, 1))
     a, b = np.nonzero(wanted & (likely >= at_least - 1e-9))
     parent = list(range(int(root.max()) + 1))
 
@@ -209,10 +271,10 @@ def links_of_block(kmers: list[np.ndarray], first: list[np.ndarray], roots: list
         i, j = int(a[at]), int(b[at])
         x, y = find(int(root[i])), find(int(root[j]))
         if x != y:
-            aligned, jaccard = similarity(kmers[i], kmers[j], first[i], first[j], at_least)
-            if max(aligned, jaccard) >= at_least:
+            aligned = similarity(words[i], words[j], at_least, k)
+            if aligned >= at_least:
                 parent[x] = y
-                out.append((i, j, aligned, jaccard))
+                out.append((i, j, aligned))
     return out
 
 
@@ -221,7 +283,7 @@ def _node(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))
 
 
-def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, bands: int, per_band: int, run_length: int, block_kmers: int):
+def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, bands: int, per_band: int, run_length: int, block_words: int):
     """Tables: a row's key and node; a node's least key, number of rows and class root; verified links."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), _node(text).alias("node"))
 
@@ -237,49 +299,45 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     nodes = sketches.groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("n_rows"), F.any_value("bands").alias("bands"))
     nodes = written(nodes)
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("band"))
-    place = F.xxhash64("node", "band")
-    bucket = member.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "node")).alias("chosen")).where("n > 1").select("band", "n", F.col("chosen.node").alias("chosen"))
+    bucket = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     small = min(_SMALL, run_length)
     shared = written(member.join(bucket, "band"))
     inside = shared.withColumn("run", F.pmod(F.xxhash64("band", "node"), F.ceil(F.col("n") / run_length)))
     order = Window.partitionBy("band", "run").orderBy(F.hash("node", "band"), "node")
-    further = [F.when(F.col("n") <= small, F.lag("node", i).over(order)) for i in range(2, small)]
-    inside = inside.select("node", F.array("chosen", F.lag("node").over(order), *further).alias("others"))
-    pairs = inside.select("node", F.explode("others").alias("other")).where("other is not null and node <> other")
+    before = [F.lag("node").over(order), F.lag("node", 2).over(order), *(F.when(F.col("n") <= small, F.lag("node", i).over(order)) for i in range(3, small))]
+    pairs = inside.select("node", F.array(*before).alias("others")).select("node", F.explode("others").alias("other")).where("other is not null and node <> other")
     pairs = written(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("key").alias("of")), "node")
 
-    def kmers(batches):
+    def split(batches):
         for batch in slices(batches, "text", 2_000_000):
-            found, first, counts = labelled_kmers(batch.column(1).to_pylist(), k)
+            found, counts = word_hashes(batch.column(1).to_pylist())
             ends = np.cumsum(counts)
-            parts = [(found[e - n : e].tobytes(), first[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in parts], pa.binary()), pa.array([f for _, f in parts], pa.binary()), pa.array(counts, pa.int64())], names=["node", "kmers", "first", "size"])
+            parts = [found[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary()), pa.array(counts, pa.int64())], names=["node", "words", "size"])
 
     source = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["key"].eqNullSafe(wanted["of"])).select(rows["node"], rows["text"])
-    texts = written(source.dropDuplicates(["node"]).mapInArrow(kmers, "node binary, kmers binary, first binary, size bigint"))
+    texts = written(source.dropDuplicates(["node"]).mapInArrow(split, "node binary, words binary, size bigint"))
 
     def verify(batches):
-        for batch in slices(batches, "ka", 4_000_000):
-            a, b, ka, fa, kb, fb = (batch.column(i).to_pylist() for i in range(6))
-            found = []
-            for x, y, p, q in zip(ka, kb, fa, fb, strict=True):
-                if min(len(x), len(y)) < at_least * max(len(x), len(y)) and min(sum(p), sum(q)) < at_least * max(sum(p), sum(q)):
-                    found.append((0.0, 0.0))
-                    continue
-                found.append(similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), np.frombuffer(p, bool), np.frombuffer(q, bool), at_least))
-            keep = [i for i, s in enumerate(found) if max(s) >= at_least]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in keep], pa.binary()), pa.array([b[i] for i in keep], pa.binary()), pa.array([found[i][0] for i in keep], pa.float64()), pa.array([found[i][1] for i in keep], pa.float64())],
-                names=["a", "b", "aligned", "jaccard"],
-            )
-
-    left, right = (texts.select(F.col("node").alias(x), F.col("kmers").alias(f"k{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
-
-    def verified(pairs):
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "fa", "kb", "fb")
-        return written(both.mapInArrow(verify, "a binary, b binary, aligned double, jaccard double"))
+        for batch in slices(batches, "wa", 4_000_000):
+            a, b, wa, wb = (batch.column(i).to_pylist() for i in range(4))
+            found = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), at_least, k) for x, y in zip(wa, wb, strict=True)]
+            keep = [i for i, x in enumerate(found) if x >= at_least]
+            columns = [pa.array([x[i] for i in keep], kind) for x, kind in ((a, pa.binary()), (b, pa.binary()), (found, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "aligned"])
+
+    def verified(pairs, parts=1):
+        """The pairs that are links. With ``parts``, each text of side a meets its partners in so many tasks."""
+        left, right = (texts.select(F.col("node").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+        on = ["a"]
+        if parts > 1:
+            on = ["a", "part"]
+            pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int"))
+            left = left.join(pairs.select("a").distinct(), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = pairs.join(left, on).join(right, "b").select("a", "b", "wa", "wb")
+        return both.mapInArrow(verify, "a binary, b binary, aligned double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "aligned")
 
     def of_several_classes(buckets, roots):
         """The members, with the roots of their classes, of the buckets that still hold more than one class."""
@@ -287,7 +345,7 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
         several = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
         return written(rooted.join(several, "band"))
 
-    links = verified(pairs)
+    links = written(verified(pairs))
     roots = written(components(links))
     mixed = of_several_classes(shared.where(F.col("n") > small).select("band", "node", "n"), roots)
 
@@ -298,30 +356,31 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     if large.limit(1).count():
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         hub = large.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
-        spokes = large.join(hub, "band").where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = verified(written(spokes))
+        # a hub's partners in one bucket are met in HUB_PARTS tasks
+        spokes = large.join(F.broadcast(hub) if hub.count() <= _FEW_HUBS else hub, "band").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        found = written(verified(written(spokes), _HUB_PARTS).distinct())
         links, roots = written(links.unionByName(found)), joined(found)
         mixed = of_several_classes(mixed.select("band", "node", "n"), roots)
 
     if mixed.limit(1).count():
-        found = written(_by_blocks(mixed, texts, at_least, block_kmers).distinct())
+        found = written(_by_blocks(mixed, texts, at_least, k, block_words).distinct())
         links, roots = written(links.unionByName(found)), joined(found)
 
     labelled = nodes.select("node", "key", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return sketches.select("key", "node"), labelled, links
 
 
-def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, block_kmers: int) -> DataFrame:
-    """Links between different classes of a bucket, from comparing all its blocks of about ``block_kmers`` with each other.
+def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, block_words: int) -> DataFrame:
+    """Links between different classes of a bucket, from comparing all its blocks of about ``block_words`` with each other.
 
     Classes that fill blocks have their own, which are not compared with each other; the others share blocks.
     """
     weighed = mixed.join(texts.select("node", F.greatest("size", F.lit(500)).alias("weight")), "node")
     of_class = weighed.groupBy("band", "root").agg(F.sum("weight").alias("w"))
-    rest = of_class.where(F.col("w") < block_kmers).groupBy("band").agg(F.sum("w").alias("w_rest"))
+    rest = of_class.where(F.col("w") < block_words).groupBy("band").agg(F.sum("w").alias("w_rest"))
     parts = weighed.join(of_class, ["band", "root"]).join(rest, "band", "left")
-    alone = F.col("w") >= block_kmers
-    number = F.when(alone, F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("w") / block_kmers))).otherwise(F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("w_rest") / block_kmers)))
+    alone = F.col("w") >= block_words
+    number = F.when(alone, F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("w") / block_words))).otherwise(F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("w_rest") / block_words)))
     parts = written(parts.select("band", "node", "root", F.when(alone, F.col("root")).alias("own"), number.alias("number")).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "number")))
     blocks = parts.select("band", "own", "block").distinct()
     other = blocks.select("band", F.col("own").alias("other_own"), F.col("block").alias("other"))
@@ -329,35 +388,32 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, block_kmers:
     task = F.struct("band", "x", "y").alias("task")
     against = against.select("band", task, F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     rows = parts.join(against, ["band", "block"]).select(F.sha2(F.to_json("task"), 256).alias("task"), F.to_json("block").alias("block"), "node", "root")
-    rows = rows.join(texts.select("node", "kmers", "first"), "node")
+    rows = rows.join(texts.select("node", "words"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
         nodes = group["node"].to_pylist()
-        kmers = [np.frombuffer(x, np.uint64) for x in group["kmers"].to_pylist()]
-        first = [np.frombuffer(x, bool) for x in group["first"].to_pylist()]
-        found = links_of_block(kmers, first, group["root"].to_pylist(), group["block"].to_pylist(), at_least)
-        return pa.table(
-            [pa.array([nodes[i] for i, _, _, _ in found], pa.binary()), pa.array([nodes[j] for _, j, _, _ in found], pa.binary()), pa.array([s for _, _, s, _ in found], pa.float64()), pa.array([s for _, _, _, s in found], pa.float64())],
-            names=["a", "b", "aligned", "jaccard"],
-        )
+        words = [np.frombuffer(x, np.uint64) for x in group["words"].to_pylist()]
+        found = links_of_block(words, group["root"].to_pylist(), group["block"].to_pylist(), at_least, k)
+        columns = [([nodes[i] for i, _, _ in found], pa.binary()), ([nodes[j] for _, j, _ in found], pa.binary()), ([x for _, _, x in found], pa.float64())]
+        return pa.table([pa.array(x, kind) for x, kind in columns], names=["a", "b", "aligned"])
 
-    return rows.groupBy("task").applyInArrow(compare, "a binary, b binary, aligned double, jaccard double")
+    return rows.groupBy("task").applyInArrow(compare, "a binary, b binary, aligned double")
 
 
 def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000, block_kmers: int = 500_000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 4000, block_words: int = 500_000
 ) -> DataFrame:
     """One row per row of ``docs``: key, class_id (the least key of its class), class_size (rows) and n_links
     (links of its text to other texts that were verified).
 
-    Two texts are linked if their alignment, or else the Jaccard likeness of their k-mer sets, is ``at_least``; each
-    pair that shares a band is verified, unless other links have put both into one class already.
+    Two texts are linked if aligned words over all words are ``at_least``; each pair that shares a band is verified,
+    unless other links have put both into one class already.
     Equal texts are one class; a null text counts as empty, and texts without words are only equal to equal
     texts. Repeated rows and keys are kept. An empty table gives an empty result; columns other than key and text
     are not read.
     """
-    rows, labelled, links = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_kmers)
+    rows, labelled, links = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_words)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = labelled.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n_rows").alias("class_size"))
     of_node = labelled.join(classes, "root").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -366,13 +422,13 @@ def near_duplicates(
 
 
 def deduplicate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 24, per_band: int = 2, run_length: int = 4000, block_kmers: int = 500_000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 4000, block_words: int = 500_000
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the least key of their class: one row of each class.
 
     Of repeated rows with equal key and text one stays (their other columns may differ: any one of them).
     """
-    rows, labelled, _ = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_kmers)
+    rows, labelled, _ = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_words)
     chosen = labelled.groupBy("root").agg(F.min(F.struct("key", "node")).alias("of")).select(F.col("of.node").alias("__chosen"), F.col("of.key").alias("__key"))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{key}`").alias("__own"), _node(text).alias("__node"))
     kept = left.join(chosen, (F.col("__node") == F.col("__chosen")) & F.col("__own").eqNullSafe(F.col("__key")))
