@@ -5,16 +5,17 @@ before it), so all labelled k-mers of a text differ. For each of several hash fu
 k-mers of least hash and keeps them in the order of the text; two texts agree in a sketch if they share both
 k-mers in the same order. Sketches give candidate buckets, and each pair of texts in a bucket is
 verified or proven to be in one class already, in three steps. First, small buckets give all their pairs, and in the
-others each text is compared with the two before it in a random order (which differs from bucket to bucket); that
+others each text is compared with the one before it in a random order (which differs from bucket to bucket); that
 joins groups whose texts are all alike. Second, in large buckets that still hold several
 classes each text is compared with the text of most links, the likely original of independently edited copies. Last,
 what still holds several classes is compared whole, block by block: the common words of all pairs of two blocks are
 counted at once, and the pairs whose counts allow a link are aligned. Only this last step grows with the square of a
 bucket, and only in texts that are not yet in one class.
-Alignment: labelled k-mers are unique in a text, so the longest chain of common ones in ascending order within the
-band anchors the alignment; between two anchors the longest common subsequence of the words is exact. Texts whose
-words would allow a link that the anchors do not give are aligned without anchors. The likeness
-of two texts is aligned words over all words. Equal texts are one node from the start. Links are closed to classes
+Alignment: the longest common subsequence of the words of two texts within a band, as wide as texts of the likeness
+asked for can drift apart. In long texts, labelled k-mers anchor it: they are unique in a text, so the longest chain
+of common ones in ascending order is aligned first, and then what lies between; where that gives no link but the
+words' counts would allow one, they are aligned without anchors. The likeness of two texts is aligned words over all
+words. Equal texts are one node from the start. Links are closed to classes
 by connected components.
 """
 
@@ -39,6 +40,7 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SMALL = 4  # buckets of so many texts give all their pairs at once
 _HUB = 200  # in larger buckets the text of most links is compared with all others before the blocks are
 _HUB_PARTS = 32
+_ANCHORED = 2000  # words from which on texts are anchored before they are aligned
 _FEW_HUBS = 10_000  # rows of three short columns
 
 
@@ -154,37 +156,47 @@ def _chain(places: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the longest common subsequence, all of ``a`` at once in the bits of one number."""
+def common_subsequence(a: np.ndarray, b: np.ndarray, band: int | None = None, need: float = 0) -> int:
+    """The length of the longest common subsequence, all of ``a`` at once in the bits of one number; with ``band``, of
+    pairs that are at most so many places apart. 0 once it is clear to be less than ``need``."""
     if len(a) > len(b):
         a, b = b, a
     where: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         where[x] = where.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
-    left = full  # a zero bit for each step of the subsequence
-    for x in b.tolist():
-        hit = left & where.get(x, 0)
+    inside = full if band is None else (1 << (2 * band + 1)) - 1
+    left, get, n, m = full, where.get, len(a), len(b)  # left: a zero bit for each step of the subsequence
+    for j, x in enumerate(b.tolist()):
+        hit = left & get(x, 0)
+        if hit and band is not None:
+            hit &= inside << (j - band) if j > band else inside >> (band - j)
         if hit:
             left = ((left + hit) | (left - hit)) & full
-    return len(a) - left.bit_count()
+        if j & 31 == 31 and n - left.bit_count() + m - 1 - j < need:
+            return 0
+    found = n - left.bit_count()
+    return found if found >= need else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray, at_least: float, k: int = 5) -> float:
     """Banded alignment of two texts given as word hashes: aligned words over all words; 0 where the texts are
-    less alike than ``at_least`` for sure.
+    less alike than ``at_least``.
 
-    Anchors lie in a band as wide as two texts of this likeness can drift apart.
+    The band is as wide as two texts of this likeness can drift apart. Long texts are anchored first.
     """
     n, m = len(a), len(b)
     need = at_least / (1 + at_least) * (n + m) - 1e-9
     if not n or not m or min(n, m) < need:
         return 0.0
+    band = int(n + m - 2 * need) + 1  # words that may be left unaligned
+    if max(n, m) <= _ANCHORED:
+        aligned = common_subsequence(a, b, band, need)
+        return aligned / (n + m - aligned)
     one, both = np.array([n]), np.array([m])
     if len(np.intersect1d(kmers_of(a, one, 1)[0], kmers_of(b, both, 1)[0], assume_unique=True)) < need:
         return 0.0
     _, ia, ib = np.intersect1d(kmers_of(a, one, k)[0], kmers_of(b, both, k)[0], assume_unique=True, return_indices=True)
-    band = int((1 - at_least) / at_least * max(n, m)) + 8
     near = np.abs(ia - ib) <= band
     ia, ib = ia[near], ib[near]
     order = np.argsort(ia)
@@ -212,7 +224,7 @@ def similarity(a: np.ndarray, b: np.ndarray, at_least: float, k: int = 5) -> flo
             found = common_subsequence(a[o:p], b[r:q])
             aligned, room = aligned + found, room - least
     if aligned < need:  # repetitive texts may be anchored badly
-        aligned = common_subsequence(a, b)
+        aligned = common_subsequence(a, b, band, need)
     return aligned / (n + m - aligned) if aligned >= need else 0.0
 
 
@@ -304,7 +316,7 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     shared = written(member.join(bucket, "band"))
     inside = shared.withColumn("run", F.pmod(F.xxhash64("band", "node"), F.ceil(F.col("n") / run_length)))
     order = Window.partitionBy("band", "run").orderBy(F.hash("node", "band"), "node")
-    before = [F.lag("node").over(order), F.lag("node", 2).over(order), *(F.when(F.col("n") <= small, F.lag("node", i).over(order)) for i in range(3, small))]
+    before = [F.lag("node").over(order), *(F.when(F.col("n") <= small, F.lag("node", i).over(order)) for i in range(2, small))]
     pairs = inside.select("node", F.array(*before).alias("others")).select("node", F.explode("others").alias("other")).where("other is not null and node <> other")
     pairs = written(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
