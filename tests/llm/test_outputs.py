@@ -24,7 +24,6 @@ TEXTS = [
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -36,6 +35,23 @@ def test_bulk_tokenizer_is_the_library(path, style, sf_dir):
         assert got == one(t).tobytes(), t[:80]
 
 
+def test_special_tokens_and_other_vocabularies(tmp_path):
+    """Ids are the library's plain ones for texts with added tokens, and for a file that cuts in another way."""
+    import json
+
+    bulk = BulkTokenizer(BYTE, "byte")
+    assert np.frombuffer(bulk.encode(["x <|endoftext|> y"])[0], "<u4").tolist() == [87, 220, 50256, 331]
+    with open(BYTE) as f:
+        other = json.load(f)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(other, f)
+    assert not BulkTokenizer(path, "byte").known and bulk.known and BulkTokenizer(WORDS, "word").known
+    for t in TEXTS:
+        assert BulkTokenizer(path, "byte").encode([t])[0] == plain(path)(t).tobytes()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB'st. ,\n\t12é—ÿĀŁ!$"), max_size=40))
 def test_bulk_tokenizer_on_any_text(text):
@@ -104,10 +120,22 @@ def test_packing_as_a_tree(spark):
     n, total = check_packed(got, docs, 32, plain(BYTE))
     assert n <= 1.1 * total / 32
     encode = plain(BYTE)
+    for at_once in (7, 1000):
+        few = packing.pack(df, BYTE, capacity=32, slack=0, items_per_task=20, pieces_at_once=at_once, with_ids=False).collect()
+        check_packed(few, docs, 32, plain(BYTE))
     for r in got[:50]:
         assert r["ids"] == np.append(encode(docs[r["doc_id"]][1]), 2)[r["start"] : r["start"] + r["length"]].tolist()
 
 
+@pytest.mark.parametrize("partitions", [4, 64])
+def test_packing_hardly_depends_on_partitions(spark, documents, partitions):
+    """Within one percent of the least number of sequences that the pieces' lengths allow, in small and in large partitions."""
+    lengths = [r["length"] for r in packing.pack(documents.repartition(partitions), BYTE, with_ids=False).select("sequence_id", "length").groupBy("sequence_id").sum("length").withColumnRenamed("sum(length)", "length").collect()]
+    pieces = [r["length"] for r in packing.pack(documents, BYTE, with_ids=False).collect()]
+    large = sum(n > 512 for n in pieces)
+    assert len(lengths) <= 1.01 * max(large, sum(lengths) / 1024) + 1
+
+
 def test_packing_awkward(awkward, nothing):
     rows = packing.pack(awkward, BYTE, with_ids=False).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in awkward.collect())

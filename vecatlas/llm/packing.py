@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces into sequences, as a tree of merges.
 
 Each input partition cuts and tokenizes its documents and packs what is shorter than a sequence best-fit (longest
-first, each into the fullest sequence that has room). Nearly full sequences are final. The underfull ones of all
-partitions go on as single items, spread at random over fewer tasks, and are packed by best fit again, until one
-task is left or a round no longer lowers their number. An item holds at most ``capacity`` pieces and a task about
-``items_per_task`` items, so neither grows with the corpus.
+first, each into the fullest sequence that has room). Nearly full sequences are final. What is in underfull ones goes
+on as items, spread at random over fewer tasks, and is packed by best fit again, until few enough items are left for
+one task or a round closes few sequences; the last round keeps its underfull sequences. A sequence that is more than
+half full could not be merged with another, so pieces go on one by one rather than in the sequence that did not fill.
+An item holds at most ``capacity`` pieces and a task about ``items_per_task`` items, so neither grows with the corpus.
 """
 
 from __future__ import annotations
@@ -49,6 +50,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return bins, count
 
 
+def opened(bins: np.ndarray, n_bins: int, sizes: np.ndarray, full: int) -> tuple[np.ndarray, int]:
+    """Only bins that hold ``full`` or more stay; every other item gets a bin of its own."""
+    closed = np.bincount(bins, weights=sizes, minlength=n_bins) >= full
+    number = np.cumsum(closed) - 1
+    kept = closed[bins]
+    n = int(closed.sum())
+    return np.where(kept, number[bins], n + np.cumsum(~kept) - 1), n + int((~kept).sum())
+
+
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole sequences, but the first piece, which has the rest."""
     first = length % capacity or min(length, capacity)
@@ -64,7 +74,7 @@ def _types(key_type, with_ids: bool) -> StructType:
     return StructType().add("sequence_id", LongType()).add("fill", IntegerType()).add("closed", BooleanType()).add("members", ArrayType(member))
 
 
-def _rows(ids: np.ndarray, members: pa.StructArray, bins: np.ndarray, n_bins: int, capacity: int, slack: int, names: list[str]) -> pa.RecordBatch:
+def _rows(ids: np.ndarray, members: pa.StructArray, bins: np.ndarray, n_bins: int, full: int, names: list[str]) -> pa.RecordBatch:
     """One row for a bin from its members (already grouped: bins ascending), with the members' offsets set."""
     lengths = members.field(members.type.get_field_index("length")).to_numpy(zero_copy_only=False)
     counts = np.bincount(bins, minlength=n_bins)
@@ -77,17 +87,18 @@ def _rows(ids: np.ndarray, members: pa.StructArray, bins: np.ndarray, n_bins: in
     fields[at] = pa.array(ends - lengths - np.repeat(before, counts), pa.int64())
     inner = pa.StructArray.from_arrays(fields, fields=list(members.type))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(fill.astype(np.int32)), pa.array(fill >= capacity - slack), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), inner)], names=names
+        [pa.array(ids, pa.int64()), pa.array(fill.astype(np.int32)), pa.array(fill >= full), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), inner)], names=names
     )
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2, capacity: int = 1024, slack: int = 8,
-    items_per_task: int = 20_000, fan_in: int = 8, with_ids: bool = True,
+    items_per_task: int = 20_000, fan_in: int = 8, pieces_at_once: int = 100_000, with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    Only documents longer than ``capacity`` are cut. A sequence is final once it lacks at most ``slack`` tokens.
+    Only documents longer than ``capacity`` are cut. A sequence is final once it lacks at most ``slack`` tokens. A task
+    of the first round packs ``pieces_at_once`` pieces together.
     A null text counts as empty: its document is the end id alone. Null and repeated keys are kept: each row is a
     document. An empty table gives an empty result. Columns other than key and text are not read.
     """
@@ -99,17 +110,19 @@ def pack(
     def first_round(batches):
         base, made = TaskContext.get().partitionId() << 34, 0
         member = to_arrow_type(schema["members"].dataType).value_type
-        keys, numbers, held = [], [[] for _ in NUMBERS], []
         library = tokenizer(tokenizer_path, "byte")
+        keys, numbers, held, seen = [], [[] for _ in NUMBERS], [], 0  # seen: rows so far, what "offset" holds until the bins are known
 
-        def flushed(bins, n_bins, order):
+        def packed():
+            sizes = np.array(numbers[2])
+            bins, n_bins = opened(*best_fit(sizes, capacity), sizes, capacity - slack)
+            order = np.argsort(bins, kind="stable")
             columns = [pa.concat_arrays(keys).take(pa.array(np.array(numbers[-1])[order])), *(pa.array(np.array(n, dtype=np.int64)[order]).cast(member.field(f).type) for f, n in zip(NUMBERS, numbers, strict=True))]
             if with_ids:
                 columns.append(pa.array([np.frombuffer(held[i], "<i4") for i in order.tolist()], member.field("ids").type))
             inner = pa.StructArray.from_arrays(columns, fields=list(member))
-            return _rows(base + made + np.arange(n_bins), inner, bins[order], n_bins, capacity, slack, names)
+            return _rows(base + made + np.arange(n_bins), inner, bins[order], n_bins, capacity - slack, names)
 
-        seen = 0  # rows so far: what "offset" holds until the bins are known
         for batch in slices(batches, "text", 2_000_000):
             keys.append(batch.column(0))
             for row, ids in enumerate(library.encode(batch.column(1).to_pylist())):
@@ -121,36 +134,49 @@ def pack(
                     if with_ids:
                         held.append(part)
             seen += batch.num_rows
+            if len(numbers[0]) >= pieces_at_once:
+                out = packed()
+                made += out.num_rows
+                yield out
+                keys, numbers, held, seen = [], [[] for _ in NUMBERS], [], 0
         if seen:
-            bins, n_bins = best_fit(np.array(numbers[2]), capacity)
-            yield flushed(bins, n_bins, np.argsort(bins, kind="stable"))
-
-    def merge_round(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        items = pa.Table.from_batches(held).combine_chunks()
-        lists = items.column("members").chunk(0)
-        inner, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bins, n_bins = best_fit(items.column("fill").to_numpy(), capacity)
-        order = np.argsort(bins, kind="stable")
-        counts = np.diff(edges)[order]
-        take = np.repeat(edges[:-1][order] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        ids = items.column("sequence_id").to_numpy()[order][np.searchsorted(bins[order], np.arange(n_bins))]
-        yield _rows(ids, inner.take(pa.array(take)), np.repeat(bins[order], counts), n_bins, capacity, slack, names)
+            yield packed()
+
+    def merge_round(last: bool):
+        def run(batches):
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            items = pa.Table.from_batches(held).combine_chunks()
+            lists = items.column("members").chunk(0)
+            inner, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = items.column("fill").to_numpy()
+            bins, n_bins = best_fit(sizes, capacity)
+            if not last:
+                bins, n_bins = opened(bins, n_bins, sizes, capacity - slack)
+            order = np.argsort(bins, kind="stable")
+            counts = np.diff(edges)[order]
+            take = np.repeat(edges[:-1][order] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            ids = items.column("sequence_id").to_numpy()[order][np.searchsorted(bins[order], np.arange(n_bins))]
+            yield _rows(ids, inner.take(pa.array(take)), np.repeat(bins[order], counts), n_bins, capacity - slack, names)
+
+        return run
 
     level = written(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(first_round, schema))
-    done, tasks = [], None
+    done, tasks, before = [], None, None
     while True:
         done.append(level.where("closed"))
         rest = level.where("not closed")
         n = rest.count()
-        most = ceil(n / items_per_task) if tasks is None else max(ceil(n / items_per_task), ceil(tasks / fan_in))
-        if not n or tasks == 1 or (tasks is not None and n > 0.95 * before):
-            done.append(rest)
+        if not n:
+            break
+        least = ceil(n / items_per_task)
+        tasks = least if tasks is None else max(least, ceil(tasks / fan_in))
+        last = tasks == 1 or (before is not None and n > 0.9 * before)
+        level, before = written(rest.repartition(tasks, F.xxhash64("sequence_id")).mapInArrow(merge_round(last), schema)), n
+        if last:
+            done.append(level)
             break
-        tasks, before = max(1, most), n
-        level = written(rest.repartition(tasks, F.xxhash64("sequence_id")).mapInArrow(merge_round, schema))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)

@@ -3,12 +3,14 @@
 Both public vocabularies cut a text at white space before they merge bytes, so the ids of a text are those of
 its runs of non-space characters one after another (byte level: with the space before them). A worker keeps the
 ids of the runs that it has met and asks the library's model for new ones only. Texts with characters for which
-the cut could depend on a Unicode version or a normaliser (beyond Latin letters and common punctuation) go
-through the library's whole chain.
+the cut could depend on a Unicode version or a normaliser (beyond Latin letters and common punctuation), texts with
+one of the vocabulary's added tokens, and all texts under a vocabulary that cuts in another way go through the
+library's whole chain.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -18,6 +20,17 @@ import numpy as np
 # How the two vocabularies cut a text before they merge bytes.
 BYTE_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The normaliser and cut that a vocabulary file of either style declares.
+DECLARED = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORD_CUT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+}
 # Characters for which the runs' ids are the whole text's ids.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ž‐-―‘-‟•…€]*")
 RUNS = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
@@ -74,7 +87,11 @@ class BulkTokenizer:
         from tokenizers import Tokenizer
 
         self.library, self.style = Tokenizer.from_file(path), style
-        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            declared = json.load(f)
+        self.added = [t["content"] for t in declared["added_tokens"]]
+        plain = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in declared["added_tokens"])
+        self.known = plain and (declared["normalizer"], declared["pre_tokenizer"]) == DECLARED[style]
         cut = regex.compile(BYTE_CUT if style == "byte" else WORD_CUT).findall
         self.pieces = _Pieces(self.library.model)
         self.bare, self.spaced = _Runs(self.pieces, cut, ""), _Runs(self.pieces, cut, " ")
@@ -85,7 +102,7 @@ class BulkTokenizer:
     def _one(self, text: str) -> bytes:
         if not text:
             return b""
-        if not PLAIN.fullmatch(text):
+        if not self.known or not PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return self._whole(text)
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         if self.style == "word":
