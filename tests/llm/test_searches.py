@@ -330,12 +330,13 @@ def fingerprints(rows, max_share=0.05, min_docs=2):
     number = lambda n, seed=42: h((n & (1 << 64) - 1).to_bytes(8, "little"), seed)
     small = lambda n, seed: h(n.to_bytes(4, "little"), seed)
     terms = lambda t: {h(x.encode()) for x in split.split(t.lower()) if x}
-    cells = Counter(x % imatch.CELLS for _, t in rows for x in terms(t))
+    seen = Counter(x for _, t in rows for x in terms(t))
     high = max(min_docs, int(max_share * len(rows)))
-    known = {c for c, n in cells.items() if min_docs <= n <= high}
+    known = {x % imatch.LEAST_CELLS for x, n in seen.items() if min_docs <= n <= high}
+    assert imatch.CELLS_PER_TERM * len(known) < imatch.LEAST_CELLS
 
     def parts(t):
-        kept, out = sorted(x for x in terms(t) if x % imatch.CELLS in known), []
+        kept, out = sorted(x for x in terms(t) if x % imatch.LEAST_CELLS in known), []
         nested = [kept for _ in imatch.FAMILIES]
         for level in range(len(imatch.FAMILIES[0])):
             for k, rates in enumerate(imatch.FAMILIES):
@@ -382,6 +383,29 @@ def test_fingerprints_across_ranges(spark, monkeypatch):
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("kind", ["signed", "outlier", "text", "null", "repeated"])
+def test_fingerprints_of_any_ids(spark, monkeypatch, kind):
+    """Wide, negative, far-off, text, null and repeated ids: right neighbours, and ranges of a few rows each."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 4)
+    monkeypatch.setattr(imatch, "DRAWN_FOR_BOUND", 2)
+    rng = random.Random(14)
+    text = lambda: " ".join(rng.choice("ab cd ef gh ij kl é".split()) for _ in range(rng.randint(1, 12)))
+    ids = {
+        "signed": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)], "outlier": [*range(199), (1 << 63) - 1],
+        "text": [f"d\"{rng.randrange(10**9)}é" for _ in range(200)], "null": [None] * 70 + [*range(130)], "repeated": [5] * 70 + [*range(130)],
+    }[kind]
+    rows = [(i, text()) for i in ids]
+    rows += [rows[0]] * 40 if kind in ("null", "repeated") else []
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'text' else 'long'}, text string").repartition(4)
+    tie = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0].encode() if kind == "text" else r[0]) if r[0] is not None else 0, tie(r[1])))
+    got = Counter(map(tuple, imatch.fingerprint_and_compare(df).collect()))
+    assert got == Counter(fingerprints(order))
+    own = df.selectExpr("doc_id as key", "xxhash64(text) as tie").withColumn("lot", F.xxhash64(F.monotonically_increasing_id()))
+    sizes = [r["count"] for r in imatch._with_range(own, ("key", "tie", "lot"), len(rows)).groupBy("range").count().collect()]
+    assert max(sizes) <= 24 and len(sizes) > 15
+
+
 def test_fingerprints_awkward(awkward, nothing):
     got = imatch.fingerprint_and_compare(awkward).toPandas()
     assert len(got) == awkward.count() and not got.drop(columns="doc_id").isna().any().any() and imatch.fingerprint_and_compare(nothing).count() == 0

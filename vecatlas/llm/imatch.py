@@ -1,7 +1,8 @@
 """I-Match fingerprints with randomised lexicons, with DataFrame operations only.
 
-The lexicon is the terms within a band of inverse document frequency, counted over all documents; terms are
-hashed to a fixed number of cells, so the lexicon is a bit for each cell whatever the vocabulary. A text's
+The lexicon is the terms within a band of inverse document frequency, counted over all documents. As the band's
+ends are shares of the documents, the lexicon does not grow with them: at most (terms of a document) / min_share
+terms stand in min_share of all. It is held as a table of bits, many for each of its terms. A text's
 distinct terms of the lexicon are sorted, and each of several random subsets of the lexicon gives one component:
 the hash of the sorted terms that lie in the subset. Subsets keep from a half to 1/512 of the lexicon, so some
 components survive small changes only and others large ones. The likeness of two fingerprints is the share of
@@ -10,14 +11,20 @@ equal components among those that either of them has.
 
 from __future__ import annotations
 
+import json
+from math import ceil, isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 22
+from vecatlas.llm.common import written
+
+LEAST_CELLS = 1 << 22
+CELLS_PER_TERM = 16
 #: Families of nested random subsets: 1 of so many terms is kept.
 FAMILIES = (*[(2, 8, 32)] * 2, *[(32, 128, 512)] * 14)
-#: Documents in a range of neighbouring ids, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 512, 100_000
+#: Documents in a range of neighbouring ids, ranges at most, and drawn rows for each bound between two ranges.
+RANGE_ROWS, MOST_RANGES, DRAWN_FOR_BOUND = 512, 100_000, 16
 
 
 def terms(text: Column) -> Column:
@@ -26,20 +33,25 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
-def _cell(term: Column) -> Column:
-    return F.pmod(term, F.lit(CELLS))
+def _cell(term: Column, cells: int) -> Column:
+    return F.pmod(term, F.lit(cells))
 
 
-def lexicon(docs: DataFrame, text: str = "text", *, max_share: float = 0.05, min_docs: int = 2) -> list[int]:
-    """Bits (64 to a number) of the cells whose terms stand in at least ``min_docs`` documents and at most
-    ``max_share`` of them: the band of inverse document frequency from -log(max_share) to log(n / min_docs)."""
+def lexicon(docs: DataFrame, text: str = "text", *, max_share: float = 0.05, min_share: float = 1e-5, min_docs: int = 2) -> list[int]:
+    """Bits (64 to a number) of the lexicon: the terms that stand in at least ``min_share`` of the documents, and in
+    ``min_docs``, and in at most ``max_share``. That is the band of inverse document frequency from -log(max_share) to
+    -log(min_share), but for the few documents of a small table. A term outside it passes for one of the lexicon if
+    their bits coincide, which one in CELLS_PER_TERM does at most."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     n = docs.count()
-    seen = docs.select(F.explode(terms(body)).alias("term")).groupBy(_cell(F.col("term")).alias("cell")).agg(F.count("*").alias("n"))
-    band = seen.where(F.col("n").between(min_docs, max(min_docs, int(max_share * n))))
+    low = max(min_docs, ceil(min_share * n))
+    seen = docs.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    band = written(seen.where(F.col("n").between(low, max(low, int(max_share * n)))).select("term"))
+    cells = max(LEAST_CELLS, 1 << (CELLS_PER_TERM * band.count()).bit_length())
+    cell = _cell(F.col("term"), cells)
     word = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    words = band.groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(word).alias("bits")).collect()  # CELLS / 64 rows at most
-    out = [0] * (CELLS // 64)
+    words = band.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(word).alias("bits")).collect()  # a row for each term at most
+    out = [0] * (cells // 64)
     for r in words:
         out[r["at"]] = r["bits"]
     return out
@@ -53,7 +65,8 @@ def _drawn(family: int, rate: int):
 def with_fingerprint(df: DataFrame, text: str, words: list[int], into: str) -> DataFrame:
     """Add ``into``: one hash per random subset of the lexicon, null where the text has no term in the subset."""
     bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
-    known = F.filter(terms(F.col(text)), lambda t: F.getbit(F.element_at(bits, (F.floor(_cell(t) / 64) + 1).cast("int")), (_cell(t) % 64).cast("int")) == 1)
+    cells = 64 * len(words)
+    known = F.filter(terms(F.col(text)), lambda t: F.getbit(F.element_at(bits, (F.floor(_cell(t, cells) / 64) + 1).cast("int")), (_cell(t, cells) % 64).cast("int")) == 1)
     out, subsets = df.withColumn("__kept", F.array_sort(known)), []
     for level in range(len(FAMILIES[0])):
         layer = {}
@@ -81,22 +94,43 @@ def written_out(parts: Column, text: Column) -> Column:
     return F.when(F.exists(parts, lambda x: x.isNotNull()), digits).otherwise(F.concat(F.lit("text:"), F.md5(text.cast("binary"))))
 
 
+def _with_range(rows: DataFrame, order: tuple[str, ...], n: int) -> DataFrame:
+    """Add ``range``: ascending numbers of ranges of about RANGE_ROWS rows in the order of the columns ``order``.
+
+    The bounds are every DRAWN_FOR_BOUND-th of rows drawn by a hash, so their number is bounded (MOST_RANGES) and they
+    follow the rows, whatever the columns' types and values. They are looked up in two levels.
+    """
+    ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    me = F.struct(*order)
+    drawn = rows.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (ranges * DRAWN_FOR_BOUND)))) == 0).select(*order)
+    place = F.row_number().over(Window.orderBy(*order))  # about MOST_RANGES x DRAWN_FOR_BOUND short rows at most
+    bounds = drawn.withColumn("place", place).where(F.col("place") % DRAWN_FOR_BOUND == 0).orderBy("place").select(F.to_json(me).alias("bound"))
+    found = [json.loads(r["bound"]) for r in bounds.collect()]
+    if not found:
+        return rows.withColumn("range", F.lit(0))
+    step = isqrt(len(found)) + 1
+    groups = [{"first": found[i], "all": found[i : i + step]} for i in range(0, len(found), step)]
+    one = rows.select(me.alias("x")).schema["x"].dataType.simpleString()
+    table = F.from_json(F.lit(json.dumps(groups)), f"array<struct<first:{one},all:array<{one}>>>")  # folded to a constant
+    coarse = F.size(F.filter(table, lambda g: g["first"] <= me))
+    fine = F.size(F.filter(F.element_at(table, F.greatest(coarse, F.lit(1)))["all"], lambda b: b <= me))
+    return rows.withColumn("range", F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine))
+
+
 def fingerprint_and_compare(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half (rounded down) replaced by as many of the next document's first code points
     as it has; the next document is the next in ascending key order (null keys first, ties by a hash of the text),
-    after the last the first. A null text counts as empty. Rows are dealt by ranges of the key, each of about
-    RANGE_ROWS rows; the first text of a range also goes to the range before it. Repeated rows get the same
+    after the last the first. A null text counts as empty. Keys may have any type that sorts and that JSON holds.
+    Rows are dealt by ranges of (key, tie), each of about RANGE_ROWS rows, so neither far-off ids nor one repeated id
+    fill a task; the first text of a range also goes to the range before it. Repeated rows get the same
     fingerprint. An empty table gives an empty result; other columns are not read.
     """
     words = lexicon(docs, text)
-    row = docs.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()
-    low, high = row["low"] or 0, row["high"] or 0
-    ranges = max(1, min(MOST_RANGES, row["n"] // RANGE_ROWS))
-    step = (high - low) // ranges + 1
-    own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = own.withColumn("range", F.coalesce(F.floor((F.col("key") - low) / step), F.lit(-1))).withColumn("tie", F.xxhash64("text"))
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # rows equal in key and text are split at random; which of them comes first does not matter
+    own = _with_range(own.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())), ("key", "tie", "lot"), docs.count()).drop("lot")
 
     firsts = own.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("head"))  # at most MOST_RANGES + 1 rows
     order = Window.orderBy("range")
