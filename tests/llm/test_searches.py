@@ -41,6 +41,7 @@ def decontaminated(docs, items, window=10):
                 if ids := patterns.get(tuple(w[k : k + n])):
                     hit.update(range(k, k + n))
                     found |= ids
+        found.discard(None)
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out[key] = (i, len(w), len(hit), len(found), digest, bool(hit))
     return sorted(out.values(), key=str)
@@ -56,7 +57,21 @@ def test_decontamination_against_brute_force(spark, max_bytes):
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame([(*r, "x", "y") for r in docs], "doc_id long, text string, items string, n_words string")
     got = decontam.report(decontam.find(d, b, keep=["doc_id"], window=4, max_bytes=max_bytes), ["doc_id"])
-    assert sorted(map(tuple, got.collect()), key=str) == decontaminated(docs, [x for x in items if x[0] is not None], 4)
+    assert sorted(map(tuple, got.collect()), key=str) == decontaminated(docs, items, 4)
+
+
+def test_tables_have_bounded_memory():
+    """What a worker holds for a group of the default size, if all its words differ."""
+    import tracemalloc
+
+    rng = random.Random(15)
+    items = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(1000))) for k in range(30)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = decontam.tables_of(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert tables and held < 80 * size and peak < 120 * size
 
 
 def test_decontamination_whole_table(spark, sf_dir):

@@ -2,17 +2,21 @@
 
 The patterns are windows of consecutive words of benchmark items. Patterns of one length form one table set:
 a shift table over blocks of two words tells how far a search position may move on, blocks that may end a
-pattern lead to a bucket of patterns with that suffix, a prefix word filters the bucket, and direct comparison
-of the words confirms each occurrence. The tables are broadcast after a check of their size; more patterns than
-fit are searched in several passes over the documents.
+pattern lead to a bucket of patterns with that suffix, and direct comparison, first word first, confirms each
+occurrence. Spark drops repeated items and deals the rest to groups of bounded size. One group is broadcast; more are
+written to the shared folder, and each task builds the tables of one group after another, so that a worker holds one
+group's tables whatever the benchmark's size, and no text is carried from pass to pass.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
@@ -36,7 +40,7 @@ class PatternTables:
 
     length: int
     shift: dict  # block -> safe shift; blocks that are in no pattern allow the largest
-    suffix: dict  # block at a pattern's end -> {pattern's first word: [(pattern words, item ids), ...]}
+    suffix: dict  # block at a pattern's end -> [pattern words, item ids, pattern words, item ids, ...]
     block: int
 
     @staticmethod
@@ -48,7 +52,7 @@ class PatternTables:
             for end in range(block, length + 1):
                 key = words[end - block : end] if block == 2 else words[end - 1]
                 shift[key] = min(shift.get(key, length), length - end)
-            suffix.setdefault(key, {}).setdefault(words[0], []).append((words, items))
+            suffix.setdefault(key, []).extend((words, items))
         return PatternTables(length, shift, suffix, block)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
@@ -58,7 +62,7 @@ class PatternTables:
         if self.block == 1:
             for i, w in enumerate(words):
                 if w in suffix:
-                    yield i, suffix[w][w][0][1]
+                    yield i, suffix[w][1]
             return
         get = shift.get
         while at < n:
@@ -67,21 +71,38 @@ class PatternTables:
                 at += move
                 continue
             start = at - m + 1
-            for pattern, items in suffix[(words[at - 1], words[at])].get(words[start], ()):
-                if tuple(words[start : at + 1]) == pattern:
-                    yield start, items
+            found, here = suffix[(words[at - 1], words[at])], tuple(words[start : at + 1])
+            for i in range(0, len(found), 2):
+                if found[i] == here:
+                    yield start, found[i + 1]
             at += 1
 
 
-def patterns_of(items: list[tuple[int, str | None]], window: int) -> dict[int, dict[tuple[bytes, ...], tuple[int, ...]]]:
-    """length -> pattern words -> ids of the items it stands in. An item shorter than a window, but not empty, is one pattern."""
-    found: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
+def tables_of(items: list[tuple[int | None, str | None]], window: int) -> list[PatternTables]:
+    """The tables of all windows of the items. An item shorter than a window, but not empty, is one pattern."""
+    found: dict[int, dict[tuple[bytes, ...], tuple]] = {}
+    same: dict = {}  # one object for all occurrences of a word or of a tuple of ids
     for item, text in items:
-        words = words_of(text)
+        words = [same.setdefault(w, w) for w in words_of(text)]
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            found.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-    return {n: {w: tuple(sorted(ids)) for w, ids in x.items()} for n, x in found.items()}
+            patterns, key = found.setdefault(size, {}), tuple(words[i : i + size])
+            ids = patterns.get(key, ())
+            if item not in ids:
+                ids = (*ids, item)
+                patterns[key] = same.setdefault(ids, ids)
+    return [PatternTables.build(p, n) for n, p in sorted(found.items())]
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def search_text(text: str | None, tables: list[PatternTables]) -> tuple[int, list[tuple[int, int]], set[int]]:
@@ -93,82 +114,79 @@ def search_text(text: str | None, tables: list[PatternTables]) -> tuple[int, lis
         for start, ids in t.search(words):
             ranges.append((start, start + t.length))
             items.update(ids)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(words), merged, items
-
-
-def _passes(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items, in groups whose texts have at most ``max_bytes`` bytes (or are one item)."""
-    group, held = [], 0
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").toLocalIterator()
-    for row in rows:
-        size = len(row["text"].encode("utf-8", "surrogatepass"))
-        if group and held + size > max_bytes:
-            yield group
-            group, held = [], 0
-        group.append((row["item"], row["text"]))
-        held += size
-    yield group
+    return len(words), merged(ranges), items
+
+
+def _groups(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> list[tuple[list[str], list]]:
+    """The distinct items in groups of about ``max_bytes`` bytes of text: (files in the shared folder, rows), of which
+    a single group has rows and several have files."""
+    rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null").distinct()
+    size = F.octet_length("text").cast("long")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total <= max_bytes:
+        return [([], [tuple(r) for r in rows.collect()])]
+    dealt = written(rows.repartition(-(-2 * total // max_bytes), F.xxhash64("item", "text")))
+    files = dealt.groupBy(F.input_file_name().alias("file")).agg(F.sum(size).alias("n")).orderBy("file").collect()  # a row for each group
+    out, held = [], 0
+    for f in files:
+        if not out or held + f["n"] > max_bytes:
+            out.append(([], []))
+            held = 0
+        out[-1][0].append(f["file"])
+        held += f["n"]
+    return out
+
+
+_built: dict[tuple, list[PatternTables]] = {}
+
+
+def _tables(name: tuple, files: list[str], rows: list, window: int) -> list[PatternTables]:
+    """The tables of one group; a worker keeps those of the last group that it used."""
+    if name not in _built:
+        _built.clear()
+        for file in files:
+            system, path = fs.FileSystem.from_uri(file)
+            found = pq.read_table(path, filesystem=system)
+            rows = [*rows, *zip(found.column("item").to_pylist(), found.column("text").to_pylist(), strict=True)]
+        _built[name] = tables_of(rows, window)
+    return _built[name]
 
 
 def find(
     docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = 10, max_bytes: int = 4 << 20,
+    window: int = 10, max_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Add ``n_words``, ``hit_ranges`` (merged word ranges that occurrences cover) and ``items`` to the ``keep`` columns.
 
-    Benchmark texts stream through the driver ``max_bytes`` at a time, and each such group is broadcast as one
-    set of tables, so what is held is bounded; a larger benchmark takes a further pass over the documents for
-    each group. Null and empty texts have no words and no hits; null items, null benchmark texts and repeated
+    A worker holds the tables of ``max_bytes`` of benchmark text at a time (about 70 times as much memory, if all
+    words differ), and searches each batch of documents for one group after another. Null and empty texts have no
+    words and no hits; an item with a null id hits words but is not listed; null benchmark texts and repeated
     items add nothing; an empty benchmark hits nothing. Rows are searched one by one in full, so repeated rows
     get equal results. Input columns with the names of results are replaced.
     """
     own = ["n_words", "hit_ranges", "items"]
     keep = [c for c in (keep or docs.columns) if c not in own]
-    context = docs.sparkSession.sparkContext
+    groups = docs.sparkSession.sparkContext.broadcast(_groups(benchmark, item, item_text, max_bytes))
+    mark, several = uuid.uuid4().hex, len(groups.value) > 1
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     range_type = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
 
-    def searched(rows: DataFrame, group: list, carried: bool) -> DataFrame:
-        tables = context.broadcast([PatternTables.build(p, n) for n, p in sorted(patterns_of(group, window).items())])
-        names = [*keep, *own, *(["__text"] if carried else [])]
-
-        def run(batches):
-            for batch in slices(batches, "__text", 2_000_000):
-                texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
-                before = [[] for _ in texts], [set() for _ in texts]
-                if "items" in batch.schema.names:
-                    before = [[(r["start"], r["end"]) for r in x] for x in batch.column("hit_ranges").to_pylist()], [set(x) for x in batch.column("items").to_pylist()]
-                n_words, ranges, items = [], [], []
-                for t, old, ids in zip(texts, *before, strict=True):
-                    n, new, more = search_text(t, tables.value)
-                    merged: list[list[int]] = []
-                    for a, b in sorted([*old, *new]):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    n_words.append(n)
-                    ranges.append([{"start": a, "end": b} for a, b in merged])
-                    items.append(sorted(ids | more))
-                arrays = [*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(ranges, kind), pa.array(items, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *([batch.column(batch.schema.get_field_index("__text"))] if carried else [])], names=names)
-
-        schema = StructType([f for f in rows.schema if f.name in keep]).add("n_words", LongType()).add("hit_ranges", range_type).add("items", ArrayType(LongType()))
-        return rows.mapInArrow(run, schema.add("__text", "string") if carried else schema)
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    group = None
-    for following in _passes(benchmark, item, item_text, max_bytes):
-        if group is not None:
-            rows = written(searched(rows, group, True))
-        group = following
-    return searched(rows, group, False)
+    def run(batches):
+        for batch in slices(batches, "__text", 64_000_000 if several else 2_000_000):
+            texts = batch.column(len(keep)).to_pylist()
+            n_words, ranges, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for k, (files, rows) in enumerate(groups.value):
+                tables = _tables((mark, k), files, rows, window)
+                for i, t in enumerate(texts):
+                    n_words[i], found, ids = search_text(t, tables)
+                    if found:
+                        ranges[i] = merged([*ranges[i], *found])
+                        items[i] |= ids
+            arrays = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in ranges], kind), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *own])
+
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    return given.mapInArrow(run, given.drop("__text").schema.add("n_words", LongType()).add("hit_ranges", range_type).add("items", ArrayType(LongType())))
 
 
 def report(found: DataFrame, keep: list[str]) -> DataFrame:
