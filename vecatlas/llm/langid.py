@@ -71,13 +71,14 @@ def ngram_buckets(texts: list[str], orders: tuple[int, ...], buckets: int):
 
 def fit(
     labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_language: int = 8000,
-    orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 16, max_matrix_bytes: int = 256 << 20, smoothing: float = 0.5,
+    orders: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 16, max_matrix_bytes: int = 64 << 20, smoothing: float = 0.5,
 ) -> LanguageModel:
     """Fit on the rows of ``labelled`` that have a text, a language and a key.
 
     The sample is bounded: a language with more than ``max_docs_per_language`` rows gives about that many,
-    chosen by a hash of the key. The matrix has buckets x languages float32 entries; while that exceeds
-    ``max_matrix_bytes``, the number of buckets is halved (at least 1024), so the broadcast is bounded.
+    chosen by a hash of the key. The matrix has buckets x languages float32 entries; if that is more than
+    ``max_matrix_bytes``, ValueError asks for fewer buckets or another bound, so what the driver holds and broadcasts
+    is bounded and a model never changes by itself.
     With no usable row the model has no language and every text is undetermined.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).where(
@@ -85,8 +86,8 @@ def fit(
     )
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(totals))
-    while buckets > 1024 and buckets * len(languages) * 4 > max_matrix_bytes:
-        buckets //= 2
+    if buckets * len(languages) * 4 > max_matrix_bytes:
+        raise ValueError(f"{buckets} buckets x {len(languages)} languages exceed max_matrix_bytes={max_matrix_bytes}")
     if not languages:
         return LanguageModel((), np.zeros((buckets + 1, 0), np.float32), np.zeros(0), orders, buckets)
     rates = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, max_docs_per_language / totals[name]))])
@@ -105,9 +106,11 @@ def fit(
             at = np.flatnonzero(into[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(into[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = rows.where(drawn).select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where(drawn).select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    place = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+    counts = counts.select("bucket", place.alias("place"), "n").toArrow()  # buckets x languages rows at most
     matrix = np.full((buckets + 1, len(languages)), smoothing)
-    matrix[counts["bucket"].to_numpy(), np.searchsorted(np.array(languages), counts["lang"].to_numpy().astype(str))] += counts["n"].to_numpy()
+    matrix[counts.column("bucket").to_numpy(), counts.column("place").to_numpy()] += counts.column("n").to_numpy()
     matrix = np.log(matrix) - np.log(matrix[:-1].sum(axis=0))
     matrix[-1] = 0
     prior = np.array([totals[name] for name in languages], dtype=float)
