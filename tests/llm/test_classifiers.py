@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from vecatlas.llm import crf, langid, quality, queries, toxicity
-from vecatlas.llm.common import held_out
+from vecatlas.llm.common import held_out, labelled_sample
 
 
 def enumerated(score, trans):
@@ -122,7 +122,87 @@ def test_nothing_to_learn_from(spark, awkward, nothing):
 
 
 def test_matrix_is_bounded(spark, documents):
-    assert langid.fit(documents, max_matrix_bytes=1 << 16).log_prob.nbytes <= 2 * (1 << 16)
+    """A model that would exceed the bound is refused, not changed."""
+    with pytest.raises(ValueError, match="max_matrix_bytes"):
+        langid.fit(documents, max_matrix_bytes=1 << 16)
+    assert langid.fit(documents, buckets=1 << 12, max_matrix_bytes=1 << 16).buckets == 1 << 12
+
+
+def test_counts_by_hand(spark, documents):
+    """The matrix of counts that Spark sums is that of all n-grams of the sample."""
+    model = langid.fit(documents, orders=(2,), buckets=256)
+    rows = documents.where("text is not null and lang is not null").select("text", "lang").collect()
+    counts = np.full((257, len(model.languages)), 0.5)
+    for r in rows:
+        for b in langid.ngram_buckets([r["text"]], (2,), 256)[0][0].tolist():
+            counts[b, model.languages.index(r["lang"])] += 1
+    want = np.log(counts[:256]) - np.log(counts[:256].sum(axis=0))
+    assert np.allclose(model.log_prob[:256], want, atol=1e-5) and not model.log_prob[256].any()
+
+
+def test_sample_is_bounded_by_characters(spark):
+    """Long texts are drawn like short ones; the sample ends with the text that goes beyond the bound."""
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 3 else 1000)) for i in range(200)] + [(3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 0)], "doc_id long, quality int")
+    texts, y, totals = labelled_sample(docs, labels, "quality", max_chars_per_class=5000)
+    assert totals.tolist() == [100, 99] and any(len(t) == 1000 for t in texts)
+    for c in (0, 1):
+        held = [len(t) for t, k in zip(texts, y, strict=True) if k == c]
+        assert 5000 <= sum(held) < 6000
+    again = labelled_sample(docs.repartition(7), labels, "quality", max_chars_per_class=5000)
+    assert sorted(again[0]) == sorted(texts)
+
+
+def plain_marginals(score, trans):
+    """Forward-backward in probabilities, position by position."""
+    e = np.exp(np.stack([np.zeros(len(score)), score], axis=1))
+    t = np.exp(trans)
+    ahead, back = [e[0] / e[0].sum()], [np.ones(2)]
+    for x in e[1:]:
+        a = (ahead[-1] @ t) * x
+        ahead.append(a / a.sum())
+    for x in e[:0:-1]:
+        b = t @ (x * back[-1])
+        back.append(b / b.sum())
+    both = np.array(ahead) * np.array(back[::-1])
+    return both[:, 1] / both.sum(axis=1)
+
+
+def logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def test_quality_score_by_hand(documents, labels):
+    """From a document's line features to its score: neighbours, marginals, length-weighted mean, calibration."""
+    model = quality.fit(documents, labels)
+    for r in documents.where("text is not null").limit(60).collect():
+        lines = [x for x in r["text"].split("\n") if x.strip()]
+        if not lines:
+            continue
+        x = quality.line_features(lines, np.array([float(l in lines[:i]) for i, l in enumerate(lines)])) @ model.weights
+        unary = np.array([x[i, 0] + (x[i - 1, 1] if i else 0) + (x[i + 1, 2] if i + 1 < len(lines) else 0) for i in range(len(lines))])
+        p, size = plain_marginals(unary, model.trans), np.array([len(x) for x in lines])
+        mean = np.clip((p * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        want = logistic(model.calibration[0] + model.calibration[1] * np.log(mean / (1 - mean)))
+        assert quality.score_texts([r["text"]], model)[0][0] == pytest.approx(want, abs=1e-3)
+
+
+def test_toxicity_score_by_hand(documents, labels):
+    """From a document's tokens to its score: weights of features, neighbours, marginals, aggregates, calibration."""
+    rng = np.random.default_rng(5)
+    words = sorted({w for r in documents.limit(40).collect() for c in toxicity._chains(r["text"]) for w in c})
+    features = {f: tuple(rng.normal(size=3)) for w in words[::3] for f in toxicity.features_of(w)}
+    model = toxicity.ToxicityModel(features, -1.0, rng.normal(size=(2, 2)), np.array([0.3, 0.5, 0.2]))
+    for r in documents.limit(40).collect():
+        p = []
+        for c in toxicity._chains(r["text"]):
+            w = [np.sum([features[f] for f in toxicity.features_of(x) if f in features] or [(0.0, 0.0, 0.0)], axis=0) for x in c]
+            score = np.array([w[i][0] - 1.0 + (w[i - 1][1] if i else 0) + (w[i + 1][2] if i + 1 < len(c) else 0) for i in range(len(c))])
+            p += plain_marginals(score, model.trans).tolist()
+        if p:
+            p = np.clip(p, 1e-9, 1 - 1e-9)
+            want = logistic(0.3 + 0.5 * np.log(p / (1 - p)).max() + 0.2 * np.log(p.sum() + 1e-3))
+            assert toxicity.score_texts([r["text"]], model)[0][0] == pytest.approx(want, abs=1e-4)
 
 
 def test_held_out(spark):

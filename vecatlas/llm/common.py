@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,14 +30,22 @@ def held_out(column: str | Column, modulus: int, remainder: int) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared place that the cluster names in spark.checkpoint.dir."""
+    """A new folder in the shared place that the cluster names in spark.checkpoint.dir; on a local master a temporary folder will do."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vecatlas-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vecatlas-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a working folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> None:
     """Let Hadoop's file system remove a working folder when the driver ends."""
     jvm = spark.sparkContext._jvm
@@ -72,13 +80,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4_000_00
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", max_docs_per_class: int = 3000, max_chars: int = 20_000
+    docs: DataFrame, labels: DataFrame, label: str, *, key: str = "doc_id", text: str = "text", max_docs_per_class: int = 3000, max_chars_per_class: int = 5_000_000
 ) -> tuple[list[str], np.ndarray, np.ndarray]:
     """A bounded sample of labelled texts for fitting on the driver: texts, 0/1 labels, rows of either class.
 
-    About ``max_docs_per_class`` labels of each class are drawn by a hash of the key; texts longer than
-    ``max_chars`` are left out of the sample (of fitting only), so it holds at most 2 x max_docs_per_class x
-    max_chars characters. Keys with contradicting labels, null keys, null labels and null texts are left out;
+    About ``max_docs_per_class`` labels of each class are drawn by a hash of the key, and of their texts, in the order
+    of that hash, as many as hold ``max_chars_per_class`` characters and the one that goes beyond it. Texts are drawn
+    whole, whatever their length. Keys with contradicting labels, null keys, null labels and null texts are left out;
     repeated keys count once.
     """
     one = (
@@ -91,12 +99,13 @@ def labelled_sample(
         totals[row["label"]] = row["n"]
     rate = np.minimum(1.0, max_docs_per_class / np.maximum(totals, 1))
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    drawn = one.where(draw < F.when(F.col("label") == 1, float(rate[1] * (1 << 30))).otherwise(float(rate[0] * (1 << 30))))
+    drawn = one.withColumn("draw", draw).where(F.col("draw") < F.when(F.col("label") == 1, float(rate[1] * (1 << 30))).otherwise(float(rate[0] * (1 << 30))))
+    before = Window.partitionBy("label").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, -1)  # about max_docs_per_class rows
     rows = (
-        docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .where(f"text is not null and length(text) <= {max_chars}")
-        .join(F.broadcast(drawn), "key")  # at most about 2 x max_docs_per_class rows of two numbers
-        .groupBy("key").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+        docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+        .join(F.broadcast(drawn), "key")  # at most about 2 x max_docs_per_class rows of three numbers
+        .groupBy("key").agg(F.min("text").alias("text"), F.min("label").alias("label"), F.min("draw").alias("draw"))
+        .withColumn("held", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0))).where(F.col("held") < max_chars_per_class)
         .orderBy("key")
         .select("text", "label").toArrow()
     )

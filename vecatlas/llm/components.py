@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import written
+from vecatlas.llm.common import delete, work_dir, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (columns a, b; any sortable type): root is the least node
     that it is connected to. Loops and repeated edges change nothing; no edge gives no row.
 
-    Each round is written to the shared folder; the rounds end when the edges no longer change.
+    Each round is written to the shared folder and removed after the next; the rounds end when the edges no longer
+    change.
     """
-    stars, mark = written(edges.where("a <> b").select("a", "b").distinct()), None
+    spark = edges.sparkSession
+    path, mark = work_dir(spark), None
+    stars = written(edges.where("a <> b").select("a", "b").distinct(), path)
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark or not now[0]:
             break
-        mark = now
-        stars = written(_small_star(_large_star(stars)).where("a <> b").distinct())
+        mark, old, path = now, path, work_dir(spark)
+        stars = written(_small_star(_large_star(stars)).where("a <> b").distinct(), path)
+        delete(spark, old)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -119,9 +119,9 @@ def _design(mean: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(mean)), np.log(mean / (1 - mean))], axis=1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_docs_per_class: int = 2500, max_chars: int = 20_000, steps: int = 80, **columns: str) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_docs_per_class: int = 2500, max_chars_per_class: int = 5_000_000, steps: int = 80, **columns: str) -> QualityModel | None:
     """Fit on a bounded sample (see ``labelled_sample``); None where either class has no row."""
-    texts, y, totals = labelled_sample(docs, labels, label, max_docs_per_class=max_docs_per_class, max_chars=max_chars, **columns)
+    texts, y, totals = labelled_sample(docs, labels, label, max_docs_per_class=max_docs_per_class, max_chars_per_class=max_chars_per_class, **columns)
     lines, counts, lengths, repeated = _documents(texts)
     if not len(lines) or len(set(y[counts > 0].tolist())) < 2:
         return None

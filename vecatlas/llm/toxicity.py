@@ -108,9 +108,9 @@ def _toxic_features(texts: list[str], docs_chains: list, y: np.ndarray, purity:
     return marked, seen
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_docs_per_class: int = 2500, max_chars: int = 10_000, steps: int = 100, purity: float = 0.99, **columns: str) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", max_docs_per_class: int = 2500, max_chars_per_class: int = 5_000_000, steps: int = 100, purity: float = 0.99, **columns: str) -> ToxicityModel | None:
     """Fit on a bounded sample (see ``labelled_sample``); None where either class has no row."""
-    texts, y, totals = labelled_sample(docs, labels, label, max_docs_per_class=max_docs_per_class, max_chars=max_chars, **columns)
+    texts, y, totals = labelled_sample(docs, labels, label, max_docs_per_class=max_docs_per_class, max_chars_per_class=max_chars_per_class, **columns)
     n0, n1 = np.bincount(y, minlength=2)
     if not n0 or not n1:
         return None
@@ -158,12 +158,19 @@ class _Types(dict):
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.model, self.weights = model, []
+        self.model, self.new, self.table = model, [], np.zeros((0, 3))
+
+    def weights(self) -> np.ndarray:
+        """The weights of all tokens met, by number."""
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new)])
+            self.new = []
+        return self.table
 
     def __missing__(self, word: str) -> int:
         found = [x for f in features_of(word) if (x := self.model.features.get(f))]
-        self.weights.append(tuple(map(sum, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0))
-        self[word] = at = len(self.weights) - 1
+        self.new.append(tuple(map(sum, zip(*found, strict=True))) if found else (0.0, 0.0, 0.0))
+        self[word] = at = len(self)
         return at
 
 
@@ -180,7 +187,7 @@ def _document_aggregates(texts: list[str | None], model: ToxicityModel, types: _
     if not flat:
         return _aggregates(np.zeros(0), np.zeros(0, dtype=np.int64), len(texts)), np.zeros(0), counts
     lengths = np.array(lengths)
-    p = crf.marginals(_unary(np.array(flat), lengths, np.array(types.weights), model.bias), lengths, model.trans)
+    p = crf.marginals(_unary(np.array(flat), lengths, types.weights(), model.bias), lengths, model.trans)
     return _aggregates(p, np.repeat(np.arange(len(texts)), counts), len(texts)), p, counts
 
 
