@@ -40,6 +40,7 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SMALL = 4  # buckets of so many texts give all their pairs at once
 _HUB = 200  # in larger buckets the text of most links is compared with all others before the blocks are
 _HUB_PARTS = 32
+_LARGE_CLASS = 16  # members in a bucket from which on a class is compared with its strangers of all buckets at once
 _ANCHORED = 2000  # words from which on texts are anchored before they are aligned
 _FEW_HUBS = 10_000  # rows of three short columns
 
@@ -354,8 +355,7 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     def of_several_classes(buckets, roots):
         """The members, with the roots of their classes, of the buckets that still hold more than one class."""
         rooted = written(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        several = rooted.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band")
-        return written(rooted.join(several, "band"))
+        return written(_several(rooted, "band"))
 
     links = written(verified(pairs))
     roots = written(components(links))
@@ -382,25 +382,44 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     return sketches.select("key", "node"), labelled, links
 
 
+def _several(rows: DataFrame, of: str) -> DataFrame:
+    """The rows of those ``of`` that hold more than one root."""
+    several = rows.groupBy(of).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(of)
+    return rows.join(several, of)
+
+
 def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, block_words: int) -> DataFrame:
-    """Links between different classes of a bucket, from comparing all its blocks of about ``block_words`` with each other.
+    """Links between different classes of a bucket, from comparing its members in blocks of about ``block_words``.
 
-    Classes that fill blocks have their own, which are not compared with each other; the others share blocks.
+    Texts can be alike only if their sizes are, so a bucket is cut into windows of two neighbouring classes of size,
+    and windows of one class need no comparison. A class with many members in a window (as of copies with a few
+    strangers beside them) is compared once with all strangers that it meets in any bucket; what else a window holds
+    is compared within it.
     """
-    weighed = mixed.join(texts.select("node", F.greatest("size", F.lit(500)).alias("weight")), "node")
-    of_class = weighed.groupBy("band", "root").agg(F.sum("weight").alias("w"))
-    rest = of_class.where(F.col("w") < block_words).groupBy("band").agg(F.sum("w").alias("w_rest"))
-    parts = weighed.join(of_class, ["band", "root"]).join(rest, "band", "left")
-    alone = F.col("w") >= block_words
-    number = F.when(alone, F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("w") / block_words))).otherwise(F.pmod(F.xxhash64("root", "band"), F.ceil(F.col("w_rest") / block_words)))
-    parts = written(parts.select("band", "node", "root", F.when(alone, F.col("root")).alias("own"), number.alias("number")).withColumn("block", F.struct(F.coalesce("own", F.lit(b"")).alias("own"), "number")))
-    blocks = parts.select("band", "own", "block").distinct()
-    other = blocks.select("band", F.col("own").alias("other_own"), F.col("block").alias("other"))
-    against = blocks.join(other, "band").where("block <= other and (own is null or other_own is null or own <> other_own)").select("band", F.col("block").alias("x"), F.col("other").alias("y"))
-    task = F.struct("band", "x", "y").alias("task")
-    against = against.select("band", task, F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    rows = parts.join(against, ["band", "block"]).select(F.sha2(F.to_json("task"), 256).alias("task"), F.to_json("block").alias("block"), "node", "root")
-    rows = rows.join(texts.select("node", "words"), "node")
+    size = F.greatest("size", F.lit(1))
+    cell = F.floor(F.log(size) / F.log(F.lit(1 / at_least)) + 1e-9).cast("int")
+    sized = mixed.join(texts.select("node", "size", cell.alias("cell")), "node").select("band", F.explode(F.array("cell", F.col("cell") + 1)).alias("w"), "node", "root", F.greatest("size", F.lit(500)).alias("weight"))
+    members = written(_several(sized.withColumn("window", F.xxhash64("band", "w")).drop("band", "w"), "window"))
+    large = members.groupBy("window", "root").agg(F.count("*").alias("n")).where(F.col("n") >= _LARGE_CLASS).select("window", "root")
+    large = written(large)
+
+    def in_blocks(rows: DataFrame, of: str, side: str) -> DataFrame:
+        """Add ``block``, a number of ``side``, to the rows of each ``of``."""
+        total = rows.groupBy(of).agg(F.ceil(F.sum("weight") / block_words).alias("blocks"))
+        return rows.join(total, of).withColumn("block", F.concat(F.lit(side), F.pmod(F.xxhash64("root" if side == "" else "node"), F.col("blocks")).cast("string")))
+
+    def tasks(left: DataFrame, right: DataFrame, of: str, apart: str) -> DataFrame:
+        """Rows of both sides for each pair of their blocks."""
+        x, y = (d.select(F.col(of), F.col("block").alias(name)).distinct() for d, name in ((left, "x"), (right, "y")))
+        against = x.join(y, of).where(apart).select(of, F.sha2(F.to_json(F.struct(of, "x", "y")), 256).alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+        both = left.unionByName(right) if left is not right else left
+        return both.join(against, [of, "block"]).select("task", "block", "node", "root")
+
+    own = members.join(large, ["window", "root"]).select(F.col("root").alias("of"), "node", "root", "weight").distinct()
+    strangers = members.join(large.withColumnRenamed("root", "of"), "window").where("root <> of").select("of", "node", "root", "weight").distinct()
+    by_class = tasks(in_blocks(own, "of", "own"), in_blocks(strangers, "of", "other"), "of", "true")
+    rest = in_blocks(_several(members.join(large, ["window", "root"], "left_anti"), "window"), "window", "")
+    rows = by_class.unionByName(tasks(rest, rest, "window", "x <= y")).join(texts.select("node", "words"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -414,7 +433,7 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
 
 
 def near_duplicates(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 4000, block_words: int = 500_000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 500, block_words: int = 500_000
 ) -> DataFrame:
     """One row per row of ``docs``: key, class_id (the least key of its class), class_size (rows) and n_links
     (links of its text to other texts that were verified).
@@ -434,7 +453,7 @@ def near_duplicates(
 
 
 def deduplicate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 4000, block_words: int = 500_000
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", at_least: float = 0.8, k: int = 5, bands: int = 32, per_band: int = 1, run_length: int = 500, block_words: int = 500_000
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that have the least key of their class: one row of each class.
 
