@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from vecatlas.llm.common import written
 
 LEAST_CELLS = 1 << 22
-CELLS_PER_TERM = 16
+CELLS_PER_TERM = 8
 #: Families of nested random subsets: 1 of so many terms is kept.
 FAMILIES = (*[(2, 8, 32)] * 2, *[(32, 128, 512)] * 14)
 #: Documents in a range of neighbouring ids, ranges at most, and drawn rows for each bound between two ranges.
-RANGE_ROWS, MOST_RANGES, DRAWN_FOR_BOUND = 512, 100_000, 16
+RANGE_ROWS, MOST_RANGES, DRAWN_FOR_BOUND = 512, 30_000, 16
 
 
 def terms(text: Column) -> Column:
@@ -47,7 +47,7 @@ def lexicon(docs: DataFrame, text: str = "text", *, max_share: float = 0.05, min
     low = max(min_docs, ceil(min_share * n))
     seen = docs.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     band = written(seen.where(F.col("n").between(low, max(low, int(max_share * n)))).select("term"))
-    cells = max(LEAST_CELLS, 1 << (CELLS_PER_TERM * band.count()).bit_length())
+    cells = max(LEAST_CELLS, 1 << (CELLS_PER_TERM * band.count() - 1).bit_length())
     cell = _cell(F.col("term"), cells)
     word = F.expr("shiftleft(1L, cast(cell % 64 as int))")
     words = band.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(word).alias("bits")).collect()  # a row for each term at most
@@ -62,12 +62,19 @@ def _drawn(family: int, rate: int):
     return lambda t: F.pmod(F.xxhash64(t, F.lit(family)), F.lit(rate)) == 0
 
 
-def with_fingerprint(df: DataFrame, text: str, words: list[int], into: str) -> DataFrame:
-    """Add ``into``: one hash per random subset of the lexicon, null where the text has no term in the subset."""
-    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a constant
-    cells = 64 * len(words)
-    known = F.filter(terms(F.col(text)), lambda t: F.getbit(F.element_at(bits, (F.floor(_cell(t, cells) / 64) + 1).cast("int")), (_cell(t, cells) % 64).cast("int")) == 1)
-    out, subsets = df.withColumn("__kept", F.array_sort(known)), []
+def with_known(df: DataFrame, texts: list[str], words: list[int], into: str) -> DataFrame:
+    """Add ``into``: for each of the texts its sorted terms of the lexicon. The lexicon stands in the plan once."""
+    bits, cells = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), 64 * len(words)  # folded to a constant
+
+    def known(t: Column) -> Column:
+        return F.getbit(F.element_at(bits, (F.floor(_cell(t, cells) / 64) + 1).cast("int")), (_cell(t, cells) % 64).cast("int")) == 1
+
+    return df.withColumn(into, F.transform(F.array(*texts), lambda text: F.array_sort(F.filter(terms(text), known))))
+
+
+def with_parts(df: DataFrame, known: Column, into: str) -> DataFrame:
+    """Add ``into``: one hash per random subset of the lexicon, null where there is no term in the subset."""
+    out, subsets = df.withColumn("__kept", known), []
     for level in range(len(FAMILIES[0])):
         layer = {}
         for k, rates in enumerate(FAMILIES):
@@ -137,16 +144,17 @@ def fingerprint_and_compare(docs: DataFrame, *, key: str = "doc_id", text: str =
     firsts = firsts.select("head.*", F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     firsts = firsts.withColumnsRenamed({"key": "head_key", "tie": "head_tie"})
     heads = own.join(F.broadcast(firsts), F.col("key").eqNullSafe(F.col("head_key")) & (F.col("tie") == F.col("head_tie")))
-    heads = with_fingerprint(heads.select(F.col("to").alias("range"), F.col("text").alias("head_text")).dropDuplicates(["range"]), "head_text", words, "head_parts")
+    heads = heads.select(F.col("to").alias("range"), F.col("text").alias("head_text")).dropDuplicates(["range"])
 
     following = Window.partitionBy("range").orderBy("key", "tie")
-    rows = with_fingerprint(own, "text", words, "parts").withColumns({"next_text": F.lead("text").over(following), "next_parts": F.lead("parts").over(following)})
-    rows = rows.join(heads, "range", "left").select(
-        "key", "text", "parts", F.length("text").alias("n"), F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_parts", "head_parts").alias("next_parts")
-    )
+    rows = own.withColumn("next_text", F.lead("text").over(following)).join(heads, "range", "left")
+    rows = rows.select("key", "text", F.length("text").alias("n"), F.coalesce("next_text", "head_text").alias("next_text"))
     half = F.floor(F.col("n") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)))
-    rows = with_fingerprint(rows, "edited", words, "edited_parts").withColumns({
+    rows = with_known(rows, ["text", "edited", "next_text"], words, "known")
+    for i, into in enumerate(("parts", "edited_parts", "next_parts")):
+        rows = with_parts(rows, F.col("known")[i], into)
+    rows = rows.withColumns({
         "fingerprint": written_out(F.col("parts"), F.col("text")), "edited_fingerprint": written_out(F.col("edited_parts"), F.col("edited")), "next_fingerprint": written_out(F.col("next_parts"), F.col("next_text")),
     })
 
