@@ -415,10 +415,12 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
         both = left.unionByName(right) if left is not right else left
         return both.join(against, [of, "block"]).select("task", "block", "node", "root")
 
-    own = members.join(large, ["window", "root"]).select(F.col("root").alias("of"), "node", "root", "weight").distinct()
-    strangers = members.join(large.withColumnRenamed("root", "of"), "window").where("root <> of").select("of", "node", "root", "weight").distinct()
+    # each is read several times below
+    own = written(members.join(large, ["window", "root"]).select(F.col("root").alias("of"), "node", "root", "weight").distinct())
+    strangers = written(members.join(large.withColumnRenamed("root", "of"), "window").where("root <> of").select("of", "node", "root", "weight").distinct())
+    others = written(members.join(large, ["window", "root"], "left_anti"))
     by_class = tasks(in_blocks(own, "of", "own"), in_blocks(strangers, "of", "other"), "of", "true")
-    rest = in_blocks(_several(members.join(large, ["window", "root"], "left_anti"), "window"), "window", "")
+    rest = written(in_blocks(_several(others, "window"), "window", ""))
     rows = by_class.unionByName(tasks(rest, rest, "window", "x <= y")).join(texts.select("node", "words"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
