@@ -47,8 +47,8 @@ def test_sample_does_not_depend_on_partitions(items):
 
 
 def test_requests():
-    assert [catalogue.clamped(x, 20, 1, 50) for x in (None, "x", 0, -3, 7, 99, "12")] == [20, 20, 20, 1, 7, 50, 12]
-    assert catalogue.id_list("1, 2,x,,-3,4.5") == [1, 2, -3]
+    assert [catalogue.clamped(x, 20, 1, 50) for x in (None, "x", 0, -3, 7, 99, "12", "12abc", "1e3", "inf")] == [20, 20, 20, 1, 7, 50, 12, 12, 1, 20]
+    assert catalogue.id_list("1, 2,x,,-3,4.5,7abc,--5,²") == [1, 2, -3, 4, 7]
     for args in ((0, 1, 1), (3, float("nan"), 1)):
         with pytest.raises(ValueError):
             field.one_chunk(None, *args, basis=[])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,18 +50,20 @@ def clamp(value: Column, default: int, low: int, high: int) -> Column:
     return F.least(F.greatest(F.coalesce(F.nullif(n, F.lit(0)), F.lit(default)), F.lit(low)), F.lit(high))
 
 
+def leading_integer(value) -> int | None:
+    """The integer that a value's text starts with, after white space."""
+    found = re.match(r"\s*([+-]?[0-9]+)", "" if value is None else str(value))
+    return int(found[1]) if found else None
+
+
 def clamped(value, default: int, low: int, high: int) -> int:
     """``clamp`` for one value on the driver."""
-    try:
-        n = int(float(value)) if value is not None else 0
-    except (TypeError, ValueError):
-        n = 0
-    return min(high, max(low, n or default))
+    return min(high, max(low, leading_integer(value) or default))
 
 
 def id_list(text: str | None) -> list[int]:
-    """The integers of a comma list; what isn't a number is dropped."""
-    return [int(x) for x in (p.strip() for p in (text or "").split(",")) if x.lstrip("+-").isdigit()]
+    """The integers that the parts of a comma list start with; parts that start with none are dropped."""
+    return [n for n in map(leading_integer, (text or "").split(",")) if n is not None]
 
 
 def without(df: DataFrame, ids, column: str = "id", most_listed: int = 1000) -> DataFrame:

@@ -97,7 +97,8 @@ def _respond(artworks: DataFrame, item: int, basis, chunks: list[dict], count: i
 
     picked = pools.groupBy(F.lit(item).alias("target")).applyInPandas(pick, PICKED)  # a few thousand rows at most
     facts = artworks.select("id", "objectId", "title", "artist", image_url().alias("imageUrl"), F.col("primaryImage").alias("originalImageUrl"), image_source().alias("imageSource"))
-    return picked.join(facts, "id").select("place", "x", "y", "pos", "id", "objectId", "title", "artist", "imageUrl", "originalImageUrl", "imageSource", "similarity", "source")
+    return facts.join(F.broadcast(picked), "id").select(  # picked: 50 rows for each of 16 chunks at most
+        "place", "x", "y", "pos", "id", "objectId", "title", "artist", "imageUrl", "originalImageUrl", "imageSource", "similarity", "source")
 
 
 def one_chunk(artworks: DataFrame, item: int, x: float, y: float, basis, *, count: int = 20, seed: int = 0, exclude=()) -> Response:
