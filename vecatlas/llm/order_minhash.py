@@ -40,7 +40,7 @@ _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SMALL = 4  # buckets of so many texts give all their pairs at once
 _HUB = 200  # in larger buckets the text of most links is compared with all others before the blocks are
 _HUB_PARTS = 32
-_LARGE_CLASS = 16  # members in a bucket from which on a class is compared with its strangers of all buckets at once
+_LARGE_CLASS = 16  # members in a bucket from which on the largest class is compared with its strangers of all buckets at once
 _ANCHORED = 2000  # words from which on texts are anchored before they are aligned
 _FEW_HUBS = 10_000  # rows of three short columns
 
@@ -392,21 +392,32 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
     """Links between different classes of a bucket, from comparing its members in blocks of about ``block_words``.
 
     Texts can be alike only if their sizes are, so a bucket is cut into windows of two neighbouring classes of size,
-    and windows of one class need no comparison. A class with many members in a window (as of copies with a few
-    strangers beside them) is compared once with all strangers that it meets in any bucket; what else a window holds
-    is compared within it.
+    and windows of one class need no comparison. The largest class of a window, if it has many members there (as of
+    copies with strangers beside them), is compared once with all strangers that it meets in any bucket; what else
+    the window holds is compared within it.
     """
     size = F.greatest("size", F.lit(1))
     cell = F.floor(F.log(size) / F.log(F.lit(1 / at_least)) + 1e-9).cast("int")
     sized = mixed.join(texts.select("node", "size", cell.alias("cell")), "node").select("band", F.explode(F.array("cell", F.col("cell") + 1)).alias("w"), "node", "root", F.greatest("size", F.lit(500)).alias("weight"))
-    members = written(_several(sized.withColumn("window", F.xxhash64("band", "w")).drop("band", "w"), "window"))
-    large = members.groupBy("window", "root").agg(F.count("*").alias("n")).where(F.col("n") >= _LARGE_CLASS).select("window", "root")
-    large = written(large)
+    sized = written(sized.withColumn("window", F.xxhash64("band", "w")).drop("band", "w"))
+    held = sized.groupBy("window", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    held = held.groupBy("window").agg(F.count("*").alias("classes"), F.sum("weight").alias("weight"), F.max(F.struct("n", "root", "weight")).alias("top")).where("classes > 1")
+    has_large = F.col("top.n") >= _LARGE_CLASS
+    left = F.col("classes") - F.when(has_large, 1).otherwise(0)
+    blocks = F.ceil((F.col("weight") - F.when(has_large, F.col("top.weight")).otherwise(0)) / block_words)
+    held = held.select("window", F.when(has_large, F.col("top.root")).alias("of"), left.alias("left"), blocks.alias("blocks"))
+    members = written(sized.join(held, "window"))
 
-    def in_blocks(rows: DataFrame, of: str, side: str) -> DataFrame:
-        """Add ``block``, a number of ``side``, to the rows of each ``of``."""
-        total = rows.groupBy(of).agg(F.ceil(F.sum("weight") / block_words).alias("blocks"))
-        return rows.join(total, of).withColumn("block", F.concat(F.lit(side), F.pmod(F.xxhash64("root" if side == "" else "node"), F.col("blocks")).cast("string")))
+    # each is read several times below
+    own = written(members.where("root = of").select("of", "node", "root", "weight").distinct())
+    strangers = written(members.where("root <> of").select("of", "node", "root", "weight").distinct())
+    others = members.where("left > 1 and (of is null or root <> of)")
+    rest = written(others.select("window", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string").alias("block")))
+
+    def in_blocks(rows: DataFrame, side: str) -> DataFrame:
+        """Add ``block``, a number of ``side``, to the rows of each class."""
+        total = rows.groupBy("of").agg(F.ceil(F.sum("weight") / block_words).alias("blocks"))
+        return rows.join(total, "of").withColumn("block", F.concat(F.lit(side), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")))
 
     def tasks(left: DataFrame, right: DataFrame, of: str, apart: str) -> DataFrame:
         """Rows of both sides for each pair of their blocks."""
@@ -415,12 +426,7 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
         both = left.unionByName(right) if left is not right else left
         return both.join(against, [of, "block"]).select("task", "block", "node", "root")
 
-    # each is read several times below
-    own = written(members.join(large, ["window", "root"]).select(F.col("root").alias("of"), "node", "root", "weight").distinct())
-    strangers = written(members.join(large.withColumnRenamed("root", "of"), "window").where("root <> of").select("of", "node", "root", "weight").distinct())
-    others = written(members.join(large, ["window", "root"], "left_anti"))
-    by_class = tasks(in_blocks(own, "of", "own"), in_blocks(strangers, "of", "other"), "of", "true")
-    rest = written(in_blocks(_several(others, "window"), "window", ""))
+    by_class = tasks(in_blocks(own, "own"), in_blocks(strangers, "other"), "of", "true")
     rows = by_class.unionByName(tasks(rest, rest, "window", "x <= y")).join(texts.select("node", "words"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
