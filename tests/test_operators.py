@@ -124,9 +124,9 @@ def test_fallback_order():
 def test_basis_document(spark, items, tmp_path):
     fitted = components.fit(items)
     path = str(tmp_path / "basis.json")
-    stores.write_basis(path, fitted["basis"], fitted["explained_variance_ratio"], fitted["n_samples"])
+    stores.write_basis(spark, path, fitted["basis"], fitted["explained_variance_ratio"], fitted["n_samples"])
     assert np.allclose(stores.read_basis(spark, path), fitted["basis"])
-    stores.write_basis(path, [[1.0, 2.0]], [1.0], 3)
+    stores.write_basis(spark, path, [[1.0, 2.0]], [1.0], 3)
     with pytest.raises(ValueError):
         stores.read_basis(spark, path)
 
@@ -161,6 +161,56 @@ def test_ingest_keeps_errors_apart_and_resumes(spark, items):
     assert (total["succeeded"], total["failed"]) == (results.count() - failed, failed)
 
 
+def test_ingest_stops_when_limited(spark):
+    queue = spark.range(1, 41).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("u"), "id").alias("primaryImage")).coalesce(1)
+
+    def fetcher(u):
+        if u == "u11":
+            raise ingest.RateLimited("status 429")
+        return b"x"
+
+    rows = {r["id"]: r for r in ingest.fetch(queue, fetcher, lambda k, b: None, attempts=3, pause=0.0).collect()}
+    assert [i for i, r in rows.items() if r["ok"]] == list(range(1, 11))
+    assert rows[11]["error"] == "RateLimited: status 429" and rows[40]["error"] == "RateLimited: not tried"
+    several = ingest.fetch(queue, lambda u: b"x", lambda k, b: None, concurrency=4, jitter=0.001)
+    total = ingest.report(several.join(ingest.numbered(queue, 25, 10), "id"), rate=True).orderBy("batch").collect()
+    assert [(r["batch"], r["succeeded"]) for r in total] == [(0, 40), (1, 25), (2, 15)] and total[0]["items_per_second"] > 0
+
+
+def test_http_fetcher():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(int(self.path[1:]))
+            self.end_headers()
+            self.wfile.write(self.headers["User-Agent"].encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    get, at = ingest.http_fetcher("a test"), f"http://127.0.0.1:{server.server_port}"
+    assert get(f"{at}/200") == b"a test"
+    with pytest.raises(ingest.RateLimited):
+        get(f"{at}/429")
+    with pytest.raises(OSError, match="status 404"):
+        get(f"{at}/404")
+    server.shutdown()
+
+
+def test_response_is_counted(items):
+    rows, meta = catalogue.random_sample(items, 42, 7).fetched()
+    assert len(rows) == meta["totalItems"] == 7 and meta["processingTime"] >= 0 and meta["seed"] == 42
+
+
+def test_no_results(spark):
+    asked, given = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
+    assert tuple(telemetry.no_results(asked, given, "k").first()) == (4, 3, 0.75)
+
+
 def test_embedding_stream_resumes(spark, items, tmp_path):
     where = {k: str(tmp_path / k) for k in ("in", "out", "check")}
     items.write.parquet(where["in"])
@@ -202,5 +252,15 @@ def test_top_k_stays_in_the_scan_tasks(items):
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
+def test_jdbc(spark, items):
+    url = "jdbc:derby:memory:catalogue;create=true"
+    text = items.where("id <= 20").select("id", "objectId", "title", stores.vector_to_text("imgVec").alias("imgVec"))
+    text.write.jdbc(url, "art", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    got = stores.read_jdbc(spark, url, "art", partitions=3, bounds=(1, 20), driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert got.columns == source.SCHEMA.fieldNames() and got.rdd.getNumPartitions() == 3
+    key = lambda df: sorted((r["id"], r["title"], r["imgVec"]) for r in df.select("id", "title", "imgVec").collect())
+    assert key(got) == key(items.where("id <= 20"))
+
+
 def test_ping(spark):
     assert stores.ping(spark).count() == 1

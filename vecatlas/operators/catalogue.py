@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,12 @@ class Response:
         """The rows as JSON text."""
         return self.data.select(F.to_json(F.struct(*self.data.columns)).alias("json"))
 
+    def fetched(self) -> tuple[list, dict]:
+        """The rows of a request, which its limits bound, and its facts with their number and the milliseconds that they took."""
+        start = time.perf_counter()
+        rows = self.data.collect()
+        return rows, self.meta | {"totalItems": len(rows), "processingTime": round(1000 * (time.perf_counter() - start))}
+
 
 def eligible() -> Column:
     """A vector and a stored image."""
@@ -79,12 +86,19 @@ def without(df: DataFrame, ids, column: str = "id", most_listed: int = 1000) ->
 
 def target(artworks: DataFrame, item: int) -> dict:
     """The eligible item of this id."""
-    if not isinstance(item, int) or item <= 0:
-        raise ValueError("an item id is a positive integer")
-    row = artworks.where((F.col("id") == item) & eligible()).select("id", "title", "artist", "imgVec").first()
-    if row is None:
-        raise TargetNotFound(f"no eligible item {item}")
-    return row.asDict()
+    return targets(artworks, [item])[0]
+
+
+def targets(artworks: DataFrame, items: list[int], most: int = 100) -> list[dict]:
+    """The eligible items of a few ids, in the order asked for, by one job."""
+    if len(items) > most or not all(isinstance(i, int) and i > 0 for i in items):
+        raise ValueError(f"item ids are positive integers, {most} at most")
+    rows = artworks.where(F.col("id").isin(items) & eligible()).select("id", "title", "artist", "imgVec").dropDuplicates(["id"]).collect()
+    found = {r["id"]: r.asDict() for r in rows}
+    for i in items:
+        if i not in found:
+            raise TargetNotFound(f"no eligible item {i}")
+    return [found[i] for i in items]
 
 
 def random_key(seed: Column | int) -> Column:
@@ -108,15 +122,17 @@ def first_items(artworks: DataFrame, count: int = 10) -> DataFrame:
     return artworks.orderBy("id").limit(count)
 
 
-def download_queue(artworks: DataFrame, count: int = 10_000) -> DataFrame:
-    """Items with an original image that isn't stored yet."""
+def download_queue(artworks: DataFrame, count: int | None = 10_000) -> DataFrame:
+    """Items with an original image that isn't stored yet, the first ``count`` by id (None: all, in no order)."""
     open_ = (F.col("primaryImage") != "") & (F.col("localImageUrl").isNull() | (F.col("localImageUrl") == ""))
-    return artworks.where(open_).orderBy("id").limit(count).select("id", "primaryImage")
+    queue = artworks.where(open_).select("id", "primaryImage")
+    return queue if count is None else queue.orderBy("id").limit(count)
 
 
-def embedding_queue(artworks: DataFrame, count: int = 7500, offset: int = 0) -> DataFrame:
-    """Items with a stored image and no vector."""
-    return artworks.where((F.col("localImageUrl") != "") & F.col("imgVec").isNull()).orderBy("id").offset(offset).limit(count).select("id", "localImageUrl")
+def embedding_queue(artworks: DataFrame, count: int | None = 7500, offset: int = 0) -> DataFrame:
+    """Items with a stored image and no vector, ``count`` by id after ``offset`` (None: all, in no order)."""
+    queue = artworks.where((F.col("localImageUrl") != "") & F.col("imgVec").isNull()).select("id", "localImageUrl")
+    return queue if count is None else queue.orderBy("id").offset(offset).limit(count)
 
 
 def facets(artworks: DataFrame, column: str = "department") -> DataFrame:

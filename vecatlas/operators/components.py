@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,9 +22,12 @@ def fit(artworks: DataFrame, k: int = 4) -> dict:
     """
     rows = artworks.where(eligible()).select(F.transform("imgVec", lambda x: x.cast("double")).alias("v"))
     scaled = rows.withColumn("n", scalars.norm(F.col("v")) + GUARD).select(F.transform("v", lambda x: x / F.col("n")).alias("v"))
-    vectors = scaled.select(array_to_vector("v").alias("v"))
-    n = vectors.count()
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+    vectors = scaled.select(array_to_vector("v").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)  # read once, passed over several times
+    try:
+        n = vectors.count()
+        model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+    finally:
+        vectors.unpersist()
     found = np.asarray(model.pc.toArray()).T
     found = found / (np.linalg.norm(found, axis=1, keepdims=True) + GUARD)
     largest = found[np.arange(len(found)), np.abs(found).argmax(axis=1)]

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -18,11 +23,32 @@ def stored_url(base: str = PUBLIC_BASE) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/artworks/"), F.col("id").cast("string"), F.lit(".jpg"))
 
 
+class RateLimited(OSError):
+    """The server asks for fewer requests: a task that meets this asks for nothing more."""
+
+
+def http_fetcher(agent: str = "vecatlas/1.0 (batch ingest)", timeout: float = 10.0) -> Callable[[str], bytes]:
+    """Gets an address's bytes; every answer outside 200-299 is an error, and 429 is RateLimited."""
+
+    def fetcher(url: str) -> bytes:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
+                if not 200 <= answer.status < 300:
+                    raise OSError(f"status {answer.status}")
+                return answer.read()
+        except urllib.error.HTTPError as e:
+            raise RateLimited("status 429") if e.code == 429 else OSError(f"status {e.code}") from None
+
+    return fetcher
+
+
 def _tried(action: Callable, value, attempts: int, pause: float):
-    """The action's result and None, or None and the last error's text; pauses double between attempts."""
+    """The action's result and None, or None and the last error's text; pauses double between attempts. RateLimited goes on to the caller."""
     for k in range(attempts):
         try:
             return action(value), None
+        except RateLimited:
+            raise
         except Exception as e:
             error = f"{type(e).__name__}: {e}"
             if k + 1 < attempts:
@@ -30,26 +56,37 @@ def _tried(action: Callable, value, attempts: int, pause: float):
     return None, error
 
 
-def fetch(queue: DataFrame, fetcher: Callable[[str], bytes], store: Callable[[str, bytes], None], *, url: str = "primaryImage", base: str = PUBLIC_BASE, partitions: int | None = None, per_second: float | None = None, attempts: int = 1, pause: float = 1.0) -> DataFrame:
-    """id, ok, url, error for each queued item: ``fetcher`` gets the bytes and ``store`` takes them under the item's key.
+def fetch(queue: DataFrame, fetcher: Callable[[str], bytes], store: Callable[[str, bytes], None], *, url: str = "primaryImage", base: str = PUBLIC_BASE, partitions: int | None = None, per_second: float | None = None, jitter: float = 0.0, concurrency: int = 1, attempts: int = 1, pause: float = 1.0) -> DataFrame:
+    """id, ok, url, error, seconds for each queued item: ``fetcher`` gets the bytes and ``store`` takes them under the item's key.
 
-    An item's error doesn't touch others. ``per_second`` limits each task; ``attempts`` and ``pause`` retry with doubling pauses.
+    An item's error doesn't touch others. Each task has ``concurrency`` requests open at most; ``per_second`` limits it, with up
+    to ``jitter`` random seconds more after each; ``attempts`` and ``pause`` retry with doubling pauses. After RateLimited, the
+    rest of the task's items fail untried, and stay in the queue.
     """
     rows = queue.select(F.col("id"), F.col(url).alias("from"))
     rows = rows.repartition(partitions) if partitions else rows
 
     def run(frames):
-        for pdf in frames:
-            out = []
-            for i, source in zip(pdf["id"].tolist(), pdf["from"].tolist(), strict=True):
-                key = f"artworks/{i}.jpg"
-                _, error = _tried(lambda u, key=key: store(key, fetcher(u)), source, attempts, pause)
-                out.append((i, error is None, f"{base}/{key}" if error is None else None, error))
-                if per_second:
-                    time.sleep(1.0 / per_second)
-            yield pd.DataFrame(out, columns=["id", "ok", "url", "error"])
+        stopped = threading.Event()
+
+        def one(i: int, source: str) -> tuple:
+            if stopped.is_set():
+                return i, False, None, "RateLimited: not tried", 0.0
+            key, start = f"artworks/{i}.jpg", time.perf_counter()
+            try:
+                _, error = _tried(lambda u: store(key, fetcher(u)), source, attempts, pause)
+            except RateLimited as e:
+                stopped.set()
+                error = f"RateLimited: {e}"
+            if per_second or jitter:
+                time.sleep((concurrency / per_second if per_second else 0.0) + random.uniform(0, jitter))
+            return i, error is None, f"{base}/{key}" if error is None else None, error, time.perf_counter() - start
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in frames:
+                yield pd.DataFrame(list(pool.map(one, pdf["id"].tolist(), pdf["from"].tolist())), columns=["id", "ok", "url", "error", "seconds"])
 
-    return rows.mapInPandas(run, "id int, ok boolean, url string, error string")
+    return rows.mapInPandas(run, "id int, ok boolean, url string, error string, seconds double")
 
 
 def embed(queue: DataFrame, encode: Callable[[str], np.ndarray], *, url: str = "localImageUrl") -> DataFrame:
@@ -93,12 +130,18 @@ def batch_number(order: Column, size: int) -> Column:
     return (F.floor((order - 1) / size) + 1).cast("int")
 
 
-def numbered(queue: DataFrame, size: int = 25) -> DataFrame:
-    """A bounded queue with each item's batch."""
-    return queue.withColumn("batch", batch_number(F.row_number().over(Window.orderBy("id")), size))
+def numbered(queue: DataFrame, size: int = 25, width: int = 100_000) -> DataFrame:
+    """A queue with each item's batch, in the order of ids: places within ranges of ``width`` ids, after the counts of the ranges before."""
+    rows = queue.withColumn("__range", F.floor(F.col("id") / width))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # one row for each range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("id")) + F.col("__before")
+    return rows.join(before, "__range").withColumn("batch", batch_number(place, size)).drop("__range", "__before")
 
 
-def report(results: DataFrame) -> DataFrame:
-    """Successes, failures and their share by batch (batch 0: all)."""
-    measures = (F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.avg(F.col("ok").cast("double")).alias("success_rate"))
+def report(results: DataFrame, rate: bool = False) -> DataFrame:
+    """Successes, failures and their share by batch (batch 0: all); with ``rate`` also items per second of a request slot, from ``seconds``."""
+    measures = [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.avg(F.col("ok").cast("double")).alias("success_rate")]
+    if rate:
+        measures.append(F.try_divide(F.count("*").cast("double"), F.sum("seconds")).alias("items_per_second"))
     return results.rollup("batch").agg(*measures).withColumn("batch", F.coalesce("batch", F.lit(0)))

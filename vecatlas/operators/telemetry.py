@@ -26,8 +26,9 @@ def vector_integrity(artworks: DataFrame, dimension: int, percent: int = 100) ->
 
 
 def latency(events: DataFrame, by: str = "event_type", value: str = "value") -> DataFrame:
-    """Count and exact percentiles; ``latency_approximate`` is for large groups."""
-    return events.groupBy(by).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
+    """Count and exact percentiles, from the counts of the distinct values; ``latency_approximate`` is for groups with very many."""
+    counted = events.groupBy(by, value).agg(F.count("*").alias("__times"))
+    return counted.groupBy(by).agg(F.sum("__times").alias("n"), *[F.percentile(value, p, F.col("__times")).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
 
 
 def latency_approximate(events: DataFrame, by: str = "event_type", value: str = "value", accuracy: int = 10_000) -> DataFrame:
@@ -35,6 +36,13 @@ def latency_approximate(events: DataFrame, by: str = "event_type", value: str =
     return events.groupBy(by).agg(F.count("*").alias("n"), *[F.percentile_approx(value, p, accuracy).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)])
 
 
+def no_results(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Requests, those without any result row of the same key, and their share."""
+    answered = results.select(key).distinct().withColumn("__found", F.lit(True))
+    empty = F.col("__found").isNull()
+    return requests.select(key).join(answered, key, "left").agg(F.count("*").alias("n"), F.count_if(empty).alias("no_result"), F.avg(empty.cast("double")).alias("share"))
+
+
 def use(events: DataFrame, kind: str = "event_type") -> DataFrame:
     """Views, clicks, errors, click-through and error rates."""
     count = lambda x: F.count_if(F.col(kind) == x)

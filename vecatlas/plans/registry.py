@@ -42,8 +42,12 @@ def stored_vector(artworks: DataFrame, item: int) -> list[float]:
     return catalogue.target(artworks, item)["imgVec"]
 
 
+def stored_vectors(artworks: DataFrame, items) -> list[list[float]]:
+    return [row["imgVec"] for row in catalogue.targets(artworks, list(items))]
+
+
 def stored_basis(artworks: DataFrame) -> list[list[float]]:
-    return [stored_vector(artworks, TARGET), stored_vector(artworks, SECOND)]
+    return stored_vectors(artworks, (TARGET, SECOND))
 
 
 def fitted_basis(artworks: DataFrame) -> list[list[float]]:
@@ -140,7 +144,7 @@ def knn_exclude_after(spark, artworks, read):
   SELECT q.query, a.id, list_cosine_similarity(a.imgVec, q.imgVec) AS sim, row_number() OVER (PARTITION BY q.query ORDER BY list_cosine_similarity(a.imgVec, q.imgVec) DESC, a.id) AS rank
   FROM artworks a, (SELECT list_position([{', '.join(map(str, TARGETS))}], id) - 1 AS query, imgVec FROM artworks WHERE id IN {TARGETS}) q WHERE {ELIGIBLE.replace("imgVec", "a.imgVec")}) WHERE rank <= 10""")
 def knn_per_chunk(spark, artworks, read):
-    vectors = [stored_vector(artworks, i) for i in TARGETS]
+    vectors = stored_vectors(artworks, TARGETS)
     return rounded(knn.nearest_of_many(artworks.where(catalogue.eligible()), vectors, [10] * len(vectors)).select("query", "rank", F.col("id").cast("int").alias("id"), "similarity"))
 
 
@@ -199,7 +203,7 @@ def prng_stream(spark, artworks, read):
 
 
 @query(f""", wanted AS (SELECT event_id AS seed, i FROM events, (SELECT unnest(range(1, 9)) AS i)), {STREAM}
-SELECT a.seed, CAST((a.i - 1) // 2 AS INTEGER) AS j, round(sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u), 9) AS g FROM draws a JOIN draws b ON a.seed = b.seed AND b.i = a.i + 1 WHERE a.i % 2 = 1""")
+SELECT seed, CAST((i - 1) // 2 AS INTEGER) AS j, round(sqrt(-2 * ln(max(u) FILTER (i % 2 = 1))) * cos(2 * pi() * max(u) FILTER (i % 2 = 0)), 9) AS g FROM draws GROUP BY seed, (i - 1) // 2""")
 def gaussian_stream(spark, artworks, read):
     wanted = read("events").select(F.col("event_id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
     return wanted.select("seed", "j", F.round(scalars.normal_draw(F.col("seed"), F.col("j")), 9).alias("g"))
@@ -273,7 +277,7 @@ def _refuse_every_fourth(url: str) -> bytes:
 
 
 def _fetched(artworks):
-    queue = catalogue.download_queue(artworks)
+    queue = catalogue.download_queue(artworks, count=None)
     return queue, ingest.fetch(queue, _refuse_every_fourth, lambda key, data: None)
 
 
@@ -290,7 +294,7 @@ def ingest_apply(spark, artworks, read):
 
 @query("SELECT count(*) AS n, count(*) FILTER (imgVec IS NOT NULL OR localImageUrl <> '') AS embedded FROM artworks")
 def embedding_apply(spark, artworks, read):
-    results = ingest.embed(catalogue.embedding_queue(artworks), ingest.stub_encoder(64))
+    results = ingest.embed(catalogue.embedding_queue(artworks, count=None), ingest.stub_encoder(64))
     return ingest.with_vectors(artworks, results).agg(F.count("*").alias("n"), F.count("imgVec").alias("embedded"))
 
 
@@ -299,7 +303,7 @@ def embedding_apply(spark, artworks, read):
 
 def _lists(artworks):
     rows = artworks.where(catalogue.eligible())
-    return [fusion.ranked(knn.nearest(rows, stored_vector(artworks, i), 100), "similarity") for i in (TARGET, SECOND)]
+    return [fusion.ranked(knn.nearest(rows, vector, 100), "similarity") for vector in stored_vectors(artworks, (TARGET, SECOND))]
 
 
 def _list_sql(item: int) -> str:
@@ -323,7 +327,7 @@ def rrf_weighted(spark, artworks, read):
 
 def _judged(artworks, read):
     """Ranks for a few targets, and whether a result has the target's label."""
-    vectors = [stored_vector(artworks, i) for i in TARGETS]
+    vectors = stored_vectors(artworks, TARGETS)
     ranks = knn.nearest_of_many(artworks.where(catalogue.eligible()), vectors, [20] * len(vectors)).select("query", F.col("id").cast("int").alias("id"), "rank")
     label = read("embeddings").select((F.col("vec_id") + 1).cast("int").alias("id"), "label")
     asked = label.where(F.col("id").isin(list(TARGETS))).select((F.array_position(F.array(*map(F.lit, TARGETS)), F.col("id")) - 1).cast("int").alias("query"), F.col("label").alias("asked"))
@@ -371,6 +375,13 @@ def telemetry_use(spark, artworks, read):
     return telemetry.use(read("events"))
 
 
+@query("""SELECT count(*) AS n, count(*) FILTER (c.user_id IS NULL) AS no_result, avg(CAST(c.user_id IS NULL AS DOUBLE)) AS share
+FROM (SELECT user_id FROM events WHERE event_type = 'view') v LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id""")
+def telemetry_no_results(spark, artworks, read):
+    events = read("events")
+    return telemetry.no_results(events.where("event_type = 'view'"), events.where("event_type = 'click'"), "user_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FOUND["similar_artworks"][0](spark, sf_dir)
 

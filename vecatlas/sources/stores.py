@@ -34,11 +34,10 @@ def vector_to_text(column: str | Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("]"))
 
 
-def write_basis(path: str, basis: list[list[float]], explained: list[float], n_samples: int) -> None:
-    """The basis document: k x d numbers."""
+def write_basis(spark: SparkSession, path: str, basis: list[list[float]], explained: list[float], n_samples: int) -> None:
+    """The basis document (k x d numbers), written by Spark, so to any file system that it knows."""
     doc = {"basis": basis, "explained_variance_ratio": explained, "n_samples": n_samples, "n_components": len(basis), "embedding_dim": len(basis[0]) if basis else 0}
-    with open(path, "w") as f:
-        json.dump(doc, f)
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_basis(spark: SparkSession, path: str) -> list[list[float]]:
