@@ -177,6 +177,18 @@ def test_ingest_stops_when_limited(spark):
     assert [(r["batch"], r["succeeded"]) for r in total] == [(0, 40), (1, 25), (2, 15)] and total[0]["items_per_second"] > 0
 
 
+def test_embedding_stops_when_limited(spark):
+    queue = spark.range(1, 6).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("u"), "id").alias("localImageUrl")).coalesce(1)
+
+    def encode(u):
+        if u == "u3":
+            raise ingest.RateLimited("status 429")
+        return np.ones(2)
+
+    rows = [(r["id"], r["ok"], r["error"]) for r in ingest.embed(queue, encode).orderBy("id").collect()]
+    assert rows[:3] == [(1, True, None), (2, True, None), (3, False, "RateLimited: status 429")] and rows[4] == (5, False, "RateLimited: not tried")
+
+
 def test_http_fetcher():
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from threading import Thread

@@ -90,13 +90,19 @@ def fetch(queue: DataFrame, fetcher: Callable[[str], bytes], store: Callable[[st
 
 
 def embed(queue: DataFrame, encode: Callable[[str], np.ndarray], *, url: str = "localImageUrl") -> DataFrame:
-    """id, ok, vector (of length one), error for each queued item."""
+    """id, ok, vector (of length one), error for each queued item. After RateLimited, the rest of the task's items fail untried."""
 
     def run(frames):
+        limited = None
         for pdf in frames:
             out = []
             for i, source in zip(pdf["id"].tolist(), pdf[url].tolist(), strict=True):
-                v, error = _tried(encode, source, 1, 0)
+                v, error = None, "RateLimited: not tried"
+                if limited is None:
+                    try:
+                        v, error = _tried(encode, source, 1, 0)
+                    except RateLimited as e:
+                        limited = error = f"RateLimited: {e}"
                 v = None if v is None else (np.asarray(v, dtype=np.float32) / (np.linalg.norm(v) or 1.0)).tolist()
                 out.append((i, error is None, v, error))
             yield pd.DataFrame(out, columns=["id", "ok", "vector", "error"])
