@@ -161,7 +161,7 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", per_
     first = F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "row")).alias("first")
     texts = suspects.groupBy("sha", "text").agg(first, F.count("*").alias("n"))
     clash = F.when(F.count("*") > 1, F.raise_error(F.lit("different texts have one SHA-256"))).otherwise(F.min("n"))
-    groups = texts.groupBy("sha").agg(F.min("first").alias("first"), clash.cast("long").alias("n"))
+    groups = written(texts.groupBy("sha").agg(F.min("first").alias("first"), clash.cast("long").alias("n")))  # a table, so that AQE can split the rows of a hot text
     alone = seen.where("text is null").select(F.col("key").alias(key), F.col("key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     found = suspects.select("key", "row", "sha").join(groups, "sha").select(
         F.col("key").alias(key), F.col("first.key").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("kept"), F.col("sha").alias("text_sha256")
