@@ -252,13 +252,6 @@ def test_integrity(spark):
     assert tuple(telemetry.vector_coverage(df).first()) == (4, 3, 0.75)
 
 
-def test_approximate_index_recall(items):
-    v = catalogue.target(items, 3)["imgVec"]
-    exact = {r["id"] for r in knn.nearest(items.where(catalogue.eligible()), v, 20).collect()}
-    found = {r["id"] for r in knn.ApproximateIndex(items).nearest(v, 20).collect()}
-    assert len(exact & found) >= 18
-
-
 def test_top_k_stays_in_the_scan_tasks(items):
     plan = knn.nearest(items.where(catalogue.eligible()), [1.0] * 64, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Python" not in plan

@@ -1,11 +1,9 @@
-"""Exact nearest items by cosine similarity, for one query or many, and an approximate index."""
+"""Exact nearest items by cosine similarity, for one query or a few."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,21 +86,3 @@ def search(artworks: DataFrame, text: str, encode, k: int = 50, threshold: float
     """Items whose vectors are near the vector that ``encode`` gives for a text."""
     rows = above(nearest(artworks.where(eligible()), encode(text), k), threshold)
     return rows.select("id", "title", "artist", image_url().alias("imageUrl"), "similarity", F.lit("semantic similarity").alias("matchReason"))
-
-
-class ApproximateIndex:
-    """Random-projection buckets over unit vectors, with exact scores for the candidates. Recall is below one."""
-
-    def __init__(self, artworks: DataFrame, bucket_length: float = 0.5, tables: int = 8, seed: int = 7):
-        self.rows = artworks.where(eligible()).withColumn("unit", array_to_vector(scalars.unit(F.transform("imgVec", lambda x: x.cast("double")))))
-        lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-        self.model = lsh.fit(self.rows)
-
-    def nearest(self, vector, k: int, candidates: int = 10) -> DataFrame:
-        from pyspark.ml.linalg import Vectors
-
-        v = np.asarray(vector, dtype=np.float64)
-        found = self.model.approxNearestNeighbors(self.rows, Vectors.dense(v / (np.linalg.norm(v) or 1.0)), k * candidates)
-        return nearest(found, v, k).select("id", "similarity")
-
-

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions import noise, scalars
-from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, telemetry
-from vecatlas.sources import stores
+from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, knn_join, requests, telemetry, vector_index
+from vecatlas.sources import stores, work
 from vecatlas.sources.artworks import CTE, from_test_tables, violations
 
 TARGET, SECOND, TARGETS = 3, 5, (3, 5, 6, 10)
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(spark, from_test_tables(spark, sf_dir), lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-        FOUND[f.__name__] = (run, f"WITH {CTE}{sql}" if sql and sql.startswith(",") else f"WITH {CTE}\n{sql}" if sql else None)
+        FOUND[f.__name__] = (run, f"WITH RECURSIVE {CTE}{sql}" if sql and sql.startswith(",") else f"WITH {CTE}\n{sql}" if sql else None)
         return f
 
     return add
@@ -50,10 +50,6 @@ def stored_basis(artworks: DataFrame) -> list[list[float]]:
     return stored_vectors(artworks, (TARGET, SECOND))
 
 
-def fitted_basis(artworks: DataFrame) -> list[list[float]]:
-    return components.fit(artworks)["basis"]
-
-
 def sim_sql(item: int) -> str:
     return f"list_cosine_similarity(imgVec, (SELECT imgVec FROM artworks WHERE id = {item}))"
 
@@ -154,6 +150,24 @@ def search_threshold(spark, artworks, read):
     return rounded(knn.search(artworks, "a stored item", lambda text: vector, 50, 0.15).select("id", "similarity"))
 
 
+EVERY_HUNDREDTH = "id % 100 = 0"  # a stated set of queries, each against all rows
+
+
+@query()
+def similar_indexed(spark, artworks, read):
+    index = vector_index.build(artworks, work.folder(spark))
+    asked = artworks.where(catalogue.eligible() & F.expr(EVERY_HUNDREDTH)).select(F.col("id").cast("long").alias("query"), F.col("imgVec").alias("vector"))
+    return rounded(vector_index.search(spark, index, asked, 160))
+
+
+@query(f"""SELECT CAST(q.id AS BIGINT) AS query, CAST(a.id AS BIGINT) AS id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(a.imgVec, q.imgVec) DESC, a.id) AS INTEGER) AS rank,
+  round(list_cosine_similarity(a.imgVec, q.imgVec), 6) AS similarity
+FROM (SELECT * FROM artworks WHERE {ELIGIBLE}) a, (SELECT * FROM artworks WHERE {ELIGIBLE} AND {EVERY_HUNDREDTH}) q QUALIFY rank <= 20""")
+def knn_join_all(spark, artworks, read):
+    items = artworks.where(catalogue.eligible()).select("id", "imgVec")
+    return rounded(knn_join.knn_join(items.where(EVERY_HUNDREDTH), items, 20)[0])
+
+
 # The field: coordinates, hashing, the stream, the bias
 
 PLACES = "SELECT event_id, CAST(user_id % 25 - 12 AS DOUBLE) AS x, CAST(event_id % 25 - 12 AS DOUBLE) AS y FROM events"
@@ -237,20 +251,159 @@ def field_chunk_far(spark, artworks, read):
     return field.one_chunk(artworks, TARGET, 12, 5, stored_basis(artworks)).data.select(*CHUNK_COLUMNS)
 
 
-@query()
+def _floats(values: str) -> str:
+    return f"list_transform({values}, lambda x: CAST(x AS FLOAT))"
+
+
+def _unit_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / CAST(sqrt(list_sum(list_transform({v}, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT))"
+
+
+def picked_sql(targets: str, plan: str, basis: tuple[int, int] = (TARGET, SECOND)) -> str:
+    """DuckDB steps to "picked" (request, place, pos, id, source, similarity) for a relation "asked" (request, target, count, excluded
+    before the pools, excluded after) and a relation "plan" (request, place, x, y, seed, offset, n_sim, n_drift, n_rand).
+
+    Noise and draws come from the stream of a chunk's seed, vectors in single precision; the pick walks over each chunk
+    in turn and takes the first unused item of the pools in the order of the drawn pool's stand-ins.
+    """
+    along = _unit_sql("d")
+    return f"""asked AS ({targets}), plan AS ({plan}),
+warm AS (SELECT *, atan2(y, x) AS theta, least(1.0, greatest(0.0, (sqrt(x * x + y * y) - 1.5) / 10.5)) AS s FROM plan),
+hot AS (SELECT *, s * s * (3 - 2 * s) AS t FROM warm),
+wanted AS (SELECT request, place, seed, i FROM hot JOIN asked USING (request), unnest(range(1, 129 + "count")) AS r(i)), {STREAM},
+noisy AS (SELECT request, place, list(sqrt(-2 * ln(u)) * cos(2 * pi() * v) ORDER BY i) AS eps
+  FROM (SELECT request, place, i, u, lead(u) OVER (PARTITION BY request, place ORDER BY i) AS v FROM draws WHERE i <= 128) WHERE i % 2 = 1 GROUP BY ALL),
+units AS (SELECT id, {_unit_sql(_floats("imgVec"))} AS v FROM artworks WHERE {ELIGIBLE}),
+bases AS (SELECT {_floats("a.imgVec")} AS u1, {_floats("b.imgVec")} AS u2 FROM artworks a, artworks b WHERE a.id = {basis[0]} AND b.id = {basis[1]}),
+ways AS (SELECT h.*, [u1[i] * CAST(cos(theta) AS FLOAT) + u2[i] * CAST(sin(theta) AS FLOAT) for i in range(1, len(u1) + 1)] AS d FROM hot h, bases),
+pulled AS (SELECT *, list_transform({along}, lambda x: x * CAST(0.35 * t AS FLOAT)) AS bias FROM ways),
+moved AS (SELECT request, place, [units.v[i] + bias[i] + CAST(eps[i] AS FLOAT) * CAST(0.05 + (0.35 - 0.05) * t AS FLOAT) for i in range(1, len(eps) + 1)] AS q
+  FROM pulled JOIN noisy USING (request, place) JOIN asked USING (request) JOIN units ON units.id = asked.target),
+vectors AS (SELECT request, place, list_transform({_unit_sql("q")}, lambda x: CAST(x AS DOUBLE)) AS q FROM moved
+  UNION ALL SELECT request, -1, imgVec FROM asked JOIN artworks ON artworks.id = asked.target),
+candidates AS (SELECT request, id, imgVec FROM asked, artworks WHERE {ELIGIBLE} AND id <> target AND NOT list_contains(before, id)),
+near AS (SELECT request, place, id, list_cosine_similarity(imgVec, q) AS similarity, row_number() OVER (PARTITION BY request, place ORDER BY list_cosine_similarity(imgVec, q) DESC, id) AS rk
+  FROM vectors JOIN candidates USING (request)),
+dealt AS (SELECT request, place, id, row_number() OVER (PARTITION BY request, place ORDER BY md5(concat(id, ':', seed)), id) AS rk FROM plan JOIN candidates USING (request)),
+sizes AS (SELECT request, place, n_sim, n_drift, n_rand, "offset", least(n_sim, (SELECT count(*) FROM near n WHERE n.request = p.request AND n.place = -1)) AS s_all, least(n_drift, (SELECT count(*) FROM near n WHERE n.request = p.request AND n.place = p.place)) AS d_all FROM plan p),
+pools AS (
+  SELECT z.request, z.place, 'sim' AS source, id, similarity, CASE WHEN "offset" < s_all AND rk <= "offset" THEN rk + s_all ELSE rk END AS turn FROM sizes z JOIN near n ON n.request = z.request AND n.place = -1 WHERE rk <= n_sim
+  UNION ALL SELECT z.request, z.place, 'drift', id, similarity, CASE WHEN "offset" < d_all AND rk <= "offset" THEN rk + d_all ELSE rk END FROM sizes z JOIN near n ON n.request = z.request AND n.place = z.place WHERE rk <= n_drift
+  UNION ALL SELECT z.request, z.place, 'rand', id, NULL, rk FROM sizes z JOIN dealt n ON n.request = z.request AND n.place = z.place WHERE rk <= n_rand),
+lists AS (SELECT request, place, coalesce(list({{'id': id, 'source': source, 'similarity': similarity}} ORDER BY turn) FILTER (source = 'sim'), []) AS s,
+  coalesce(list({{'id': id, 'source': source, 'similarity': similarity}} ORDER BY turn) FILTER (source = 'drift'), []) AS d, coalesce(list({{'id': id, 'source': source, 'similarity': similarity}} ORDER BY turn) FILTER (source = 'rand'), []) AS r
+  FROM pools GROUP BY ALL),
+steps AS (SELECT d.request, d.place, CAST(d.i - 129 AS INTEGER) AS pos, row_number() OVER (PARTITION BY d.request ORDER BY d.place, d.i) AS step,
+  CASE WHEN u < (1 - t) ** 2 THEN 'sim' WHEN u < (1 - t) ** 2 + 2 * t * (1 - t) THEN 'drift' ELSE 'rand' END AS drawn FROM draws d JOIN hot USING (request, place) WHERE d.i > 128),
+walk AS (
+  SELECT request, CAST(0 AS BIGINT) AS step, -1 AS place, -1 AS pos, list_concat([target], "after") AS used, CAST(NULL AS STRUCT(id INTEGER, source VARCHAR, similarity DOUBLE)) AS got FROM asked
+  UNION ALL
+  SELECT request, step, place, pos, list_append(used, got.id), got FROM (
+    SELECT w.request, p.step, p.place, p.pos, w.used,
+      list_filter(CASE p.drawn WHEN 'sim' THEN list_concat(s, d, r) WHEN 'drift' THEN list_concat(d, s, r) ELSE list_concat(r, d, s) END, lambda c: NOT list_contains(w.used, c.id))[1] AS got
+    FROM walk w JOIN steps p ON p.request = w.request AND p.step = w.step + 1 JOIN lists l ON l.request = p.request AND l.place = p.place)),
+picked AS (SELECT request, place, pos, CAST(got.id AS BIGINT) AS id, got.source AS source, round(got.similarity, 6) AS similarity FROM walk WHERE got.id IS NOT NULL)"""
+
+
+def _plan_sql(requests: list[tuple[int, int, list, list, field.Limits]]) -> str:
+    """Rows (request, place, x, y, seed, offset, n_sim, n_drift, n_rand) of requests with their chunks in order, seeds and offsets."""
+    rows = [f"({r}, {p}, {x}::DOUBLE, {y}::DOUBLE, {seed}, {offset}, {m.sim}, {m.drift}, {m.rand})" for r, _, chunks, more, m in requests for p, ((x, y), (seed, offset)) in enumerate(zip(chunks, more, strict=True))]
+    return f"""SELECT * FROM (VALUES {', '.join(rows)}) AS v(request, place, x, y, seed, "offset", n_sim, n_drift, n_rand)"""
+
+
+def _in_order(target: int, chunks: list, seed: int) -> tuple[list, list]:
+    """A request's chunks nearest to the centre first, and of each the seed and the offset."""
+    order = sorted(chunks, key=lambda c: (c[0] ** 2 + c[1] ** 2) ** 0.5)
+    return order, [(noise.hash32(target, x, y, seed), noise.hash32(x + 100, y + 100, seed, i) % 100 if (x * x + y * y) ** 0.5 < 3 else 25 * i) for i, (x, y) in enumerate(order)]
+
+
+MID, WANTED = (-3, 8), [(0, 0), (1, 0), (2, -3), (5, 5), (-3, 8), (12, 0)]
+SHOWN = f'title, artist, {URL} AS "imageUrl", primaryImage AS "originalImageUrl", {SOURCE} AS "imageSource", objectId AS "objectId"'
+
+
+def _steps(sql: str) -> str:
+    """Steps of which one ("walk") is recursive, after the catalogue."""
+    return f", {sql}"
+
+
+@query(_steps(picked_sql(f"SELECT 0 AS request, {TARGET} AS target, 50 AS \"count\", CAST([] AS INTEGER[]) AS before, [5, 6] AS \"after\"", _plan_sql([(0, TARGET, [MID], [(noise.hash32(TARGET, *MID, 0), 0)], field.Limits.of_one())])) + f"""
+SELECT pos, p.id, {SHOWN}, similarity, source FROM picked p JOIN artworks a ON a.id = p.id"""))
 def field_chunk_mid(spark, artworks, read):
-    return rounded(field.one_chunk(artworks, TARGET, -3, 8, fitted_basis(artworks), count=50, exclude=[5, 6]).data)
+    return rounded(field.one_chunk(artworks, TARGET, *MID, stored_basis(artworks), count=50, exclude=[5, 6]).data)
 
 
-@query()
+@query(_steps(picked_sql(f"SELECT 0 AS request, {TARGET} AS target, 20 AS \"count\", [5, 6] AS before, [5, 6] AS \"after\"", _plan_sql([(0, TARGET, *_in_order(TARGET, WANTED, 0), field.Limits.of_many(len(WANTED)))])) + f"""
+SELECT CAST(p.place AS INTEGER) AS place, x, y, pos, p.id, {SHOWN}, similarity, source FROM picked p JOIN artworks a ON a.id = p.id JOIN plan USING (request, place)"""))
 def field_chunks(spark, artworks, read):
-    wanted = [(0, 0), (1, 0), (2, -3), (5, 5), (-3, 8), (12, 0)]
-    return rounded(field.many_chunks(artworks, TARGET, wanted, fitted_basis(artworks), count=20, exclude=[5, 6]).data)
+    return rounded(field.many_chunks(artworks, TARGET, WANTED, stored_basis(artworks), count=20, exclude=[5, 6]).data)
+
+
+ASKED = [(1, 3, [(0, 0), (1, 0), (5, 5)], 12, 0, [5, 6]), (2, 5, [(12, 0)], 20, 7, []), (3, 6, [(2, -3), (-3, 8)], 10, 1, [3])]
+
+
+@query(_steps(picked_sql(
+    " UNION ALL ".join(f"SELECT {r} AS request, {t} AS target, {n} AS \"count\", CAST({e} AS INTEGER[]) AS before, CAST({e} AS INTEGER[]) AS \"after\"" for r, t, _, n, _, e in ASKED),
+    _plan_sql([(r, t, *_in_order(t, c, s), field.Limits.of_many(len(c))) for r, t, c, _, s, _ in ASKED])) + f"""
+SELECT CAST(p.request AS BIGINT) AS request, CAST(p.place AS INTEGER) AS place, x, y, pos, p.id, title, {URL} AS "imageUrl", {SOURCE} AS "imageSource", source, similarity FROM picked p JOIN artworks a ON a.id = p.id JOIN plan USING (request, place)"""))
+def field_requests(spark, artworks, read):
+    rows = [(r, t, [(float(x), float(y)) for x, y in c], n, s, e) for r, t, c, n, s, e in ASKED]
+    asked = spark.createDataFrame(rows, "request long, targetId int, chunks array<struct<x double, y double>>, count int, seed long, exclude array<int>")
+    return rounded(requests.chunks_of_requests(artworks, asked, stored_basis(artworks))[0])
 
 
 @query()
+def field_requests_table(spark, artworks, read):
+    """A request for every hundredth item, placed by its id: what was found and picked for each."""
+    asked = artworks.where(EVERY_HUNDREDTH).select(
+        F.col("id").cast("long").alias("request"), F.col("id").alias("targetId"), F.array(*[F.struct((F.col("id") % a - b).cast("double").alias("x"), (F.col("id") % c - d).cast("double").alias("y")) for a, b, c, d in ((3, 1, 2, 0), (23, 11, 19, 9))]).alias("chunks"),
+        F.lit(20).alias("count"), F.lit(0).cast("long").alias("seed"), F.array(F.lit(TARGET)).alias("exclude"),
+    )
+    return requests.chunks_of_requests(artworks, asked, stored_basis(artworks))[1]
+
+
+DIMENSION = 64
+UNITS = f"units AS (SELECT id, list_transform(imgVec, lambda x: x / (sqrt(list_sum(list_transform(imgVec, lambda y: y * y))) + 1e-12)) AS v FROM artworks WHERE {ELIGIBLE})"
+
+
+def components_sql(k: int = 4, squarings: int = 18) -> str:
+    """The first components by repeated squaring of the covariance, each taken out before the next."""
+    sums = f"""{UNITS}, flat AS (SELECT id, i, v[i] AS x FROM units, unnest(range(1, {DIMENSION + 1})) AS r(i)), means AS (SELECT i, avg(x) AS m FROM flat GROUP BY i),
+off AS (SELECT id, i, x - m AS x FROM flat JOIN means USING (i)), cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM units) - 1) AS c FROM off a JOIN off b USING (id) GROUP BY ALL),
+c1 AS (SELECT list(row_ ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS row_ FROM cov GROUP BY i)), whole AS (SELECT sum(c) AS variance FROM cov WHERE i = j)"""
+    for n in range(1, k + 1):
+        sums += f""",
+p{n} AS (SELECT 0 AS step, m FROM c{n} UNION ALL SELECT step + 1, [[x / tr for x in r] for r in q] FROM (SELECT step, [[list_inner_product(r, s) for s in m] for r in m] AS q, list_sum([list_inner_product(r, r) for r in m]) AS tr FROM p{n} WHERE step < {squarings})),
+d{n} AS (SELECT m[list_position([m[i][i] for i in range(1, len(m) + 1)], list_max([m[i][i] for i in range(1, len(m) + 1)]))] AS r FROM p{n} WHERE step = {squarings}),
+s{n} AS (SELECT list_transform(r, lambda x: x / sqrt(list_inner_product(r, r)) * sign(r[list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r, lambda y: abs(y))))])) AS v FROM d{n}),
+l{n} AS (SELECT v, list_inner_product(v, [list_inner_product(r, v) for r in m]) AS lambda_ FROM s{n}, c{n}),
+c{n + 1} AS (SELECT [[m[i][j] - lambda_ * v[i] * v[j] for j in range(1, len(m) + 1)] for i in range(1, len(m) + 1)] AS m FROM c{n}, l{n})"""
+    found = " UNION ALL ".join(f"SELECT {n} AS component, v, lambda_ FROM l{n}" for n in range(1, k + 1))
+    return f", {sums}\nSELECT component, CAST(i - 1 AS INTEGER) AS i, round(v[i], 6) + 0.0 AS value, round(lambda_ / variance, 6) AS evr FROM ({found}), whole, unnest(range(1, {DIMENSION + 1})) AS r(i)"
+
+
+def shown(basis: DataFrame) -> DataFrame:
+    return basis.select("component", F.posexplode("vec").alias("i", "value"), F.round("evr", 6).alias("evr")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(components_sql())
 def pca_basis(spark, artworks, read):
-    return components.as_table(spark, components.fit(artworks))
+    return shown(components.as_table(spark, components.fit(artworks)))
+
+
+@query(f", {UNITS}, flat AS (SELECT i, v[i + 1] AS x, list_sum(v) AS all_of, v[(i + 1) % {DIMENSION} + 1] AS next FROM units, unnest(range(0, {DIMENSION})) AS r(i)) SELECT CAST(i AS INTEGER) AS i, count(*) AS n, round(sum(x), 6) + 0.0 AS total, round(sum(x * x), 6) + 0.0 AS squares, round(sum(x * next), 6) + 0.0 AS with_next, round(sum(x * all_of), 6) + 0.0 AS with_all FROM flat GROUP BY i")
+def pca_moments(spark, artworks, read):
+    p = F.col("products")
+    of = {"total": F.col("total"), "squares": F.element_at(p, F.col("i") + 1), "with_next": F.element_at(p, (F.col("i") + 1) % DIMENSION + 1), "with_all": F.aggregate(p, F.lit(0.0), lambda a, x: a + x)}
+    return components.moments(artworks, DIMENSION).select("i", "n", *[(F.round(c, 6) + 0.0).alias(name) for name, c in of.items()])
+
+
+@query(components_sql())
+def pca_incremental(spark, artworks, read):
+    path = work.folder(spark)
+    for batch in range(3):
+        components.update(path, batch, artworks.where(F.col("id") % 3 == batch), DIMENSION)
+    components.update(path, 2, artworks.where(F.col("id") % 3 == 2), DIMENSION)  # a repeated batch changes nothing
+    return shown(components.as_table(spark, components.fit_state(components.state_at(spark, path))))
 
 
 # Ingest
