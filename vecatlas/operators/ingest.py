@@ -145,6 +145,66 @@ def numbered(queue: DataFrame, size: int = 25, width: int = 100_000) -> DataFram
     return rows.join(before, "__range").withColumn("batch", batch_number(place, size)).drop("__range", "__before")
 
 
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
+def _numbered_by(rows: DataFrame, group: list[str], order: str, name: str, width: int) -> DataFrame:
+    """Places from 1 within ``group`` in the order of a whole number, made within ranges of ``width`` of it and then over the ranges."""
+    rows = rows.withColumn("range", F.floor(F.col(order) / width))
+    counts = rows.groupBy(*group, "range").agg(F.count("*").alias("n"))
+    before = counts.select(*group, "range", (F.sum("n").over(Window.partitionBy(*group).orderBy("range")) - F.col("n")).alias("before"))  # one row for each range
+    within = F.row_number().over(Window.partitionBy(*group, "range").orderBy(order, "host", "id"))
+    return rows.join(before, [*group, "range"]).withColumn(name, within + F.col("before")).drop("range", "before")
+
+
+def fair_batches(queue: DataFrame, size: int = 25, *, url: str = "primaryImage", width: int = 100_000) -> DataFrame:
+    """id, url, host, turn, batch: the queue in batches that interleave hosts.
+
+    ``turn`` is an item's place within its host by id; batches take all first turns in the order of hosts, then all
+    second turns, and so on, so no batch has a host twice while others wait for their first. A host with any share of all items is numbered in
+    ranges of ids. Ids are distinct.
+    """
+    rows = queue.select("id", F.col(url).alias("url"), host_of(F.col(url)).alias("host"))
+    turned = _numbered_by(rows, ["host"], "id", "turn", width)
+    every = turned.withColumn("all", F.lit(0))
+    placed = _numbered_by(every, ["all"], "turn", "place", max(1, width // 1000))
+    return placed.select("id", "url", "host", F.col("turn").cast("long").alias("turn"), batch_number(F.col("place"), size).alias("batch"))
+
+
+def fetch_by_host(queue: DataFrame, fetcher: Callable[[str], bytes], store: Callable[[str, bytes], None], *, per_second: float, base: str = PUBLIC_BASE, partitions: int | None = None) -> DataFrame:
+    """id, ok, url, error, seconds for a queue from ``fair_batches``: no host gets more than ``per_second`` requests a second, whatever the
+    number of tasks, as all of a host's items are dealt to one task. Within a task hosts take turns; an item's error doesn't touch
+    others, and after RateLimited the rest of that host's items fail untried."""
+    rows = queue.select("id", "url", "host", "turn")
+    dealt = rows.repartition(partitions, "host") if partitions else rows.repartition("host")
+
+    def run(frames):
+        ready: dict[str, float] = {}
+        closed: set[str] = set()
+        for pdf in frames:
+            out = []
+            for i, source, host in zip(pdf["id"].tolist(), pdf["url"].tolist(), pdf["host"].tolist(), strict=True):
+                if host in closed:
+                    out.append((i, False, None, "RateLimited: not tried", 0.0))
+                    continue
+                now = time.monotonic()
+                time.sleep(max(0.0, ready.get(host, now) - now))
+                start = time.monotonic()
+                ready[host] = start + 1.0 / per_second
+                key = f"artworks/{i}.jpg"
+                try:
+                    _, error = _tried(lambda u, key=key: store(key, fetcher(u)), source, 1, 0)
+                except RateLimited as e:
+                    closed.add(host)
+                    error = f"RateLimited: {e}"
+                out.append((i, error is None, f"{base}/{key}" if error is None else None, error, time.monotonic() - start))
+            yield pd.DataFrame(out, columns=["id", "ok", "url", "error", "seconds"])
+
+    return dealt.sortWithinPartitions("turn", "host").mapInPandas(run, "id int, ok boolean, url string, error string, seconds double")
+
+
 def report(results: DataFrame, rate: bool = False) -> DataFrame:
     """Successes, failures and their share by batch (batch 0: all); with ``rate`` also items per second of a request slot, from ``seconds``."""
     measures = [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.avg(F.col("ok").cast("double")).alias("success_rate")]

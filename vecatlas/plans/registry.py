@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.functions import noise, scalars
-from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, knn_join, requests, telemetry, vector_index
-from vecatlas.sources import stores, work
-from vecatlas.sources.artworks import CTE, from_test_tables, violations
+from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, knn_join, requests, seen, telemetry, vector_index
+from vecatlas.sources import parts, stores, work
+from vecatlas.sources.artworks import CTE, SCHEMA, from_test_tables, violations
 
 TARGET, SECOND, TARGETS = 3, 5, (3, 5, 6, 10)
 ELIGIBLE = "imgVec IS NOT NULL AND localImageUrl IS NOT NULL AND localImageUrl <> ''"
 URL = "coalesce(nullif(localImageUrl, ''), nullif(primaryImageSmall, ''), nullif(primaryImage, ''))"
 SOURCE = "CASE WHEN localImageUrl <> '' THEN 's3' WHEN primaryImageSmall <> '' THEN 'met_small' WHEN primaryImage <> '' THEN 'met_original' END"
+DIMENSION = 64
 FOUND: dict[str, tuple] = {}
 
 
@@ -103,9 +104,19 @@ def facet_counts(spark, artworks, read):
     return catalogue.facets(artworks)
 
 
-@query("SELECT 'imgVec not of dimension 65' AS rule, count(*) AS n FROM artworks WHERE len(imgVec) <> 65 HAVING count(*) > 0")
+@query(f""", dirty AS (SELECT id, department, "date", imgVec FROM artworks UNION ALL
+  SELECT CASE WHEN id % 3 = 0 THEN NULL ELSE id END, CASE WHEN id % 2 = 0 THEN repeat('x', 301) ELSE department END, repeat('d', CAST(190 + id % 20 AS INTEGER)), imgVec[1 : 64 - id % 4] FROM artworks WHERE id % 5 = 0)
+SELECT * FROM (SELECT 'department longer than 300' AS rule, count(*) FILTER (length(department) > 300) AS n FROM dirty UNION ALL SELECT 'date longer than 200', count(*) FILTER (length("date") > 200) FROM dirty
+  UNION ALL SELECT 'id is null', count(*) FILTER (id IS NULL) FROM dirty UNION ALL SELECT 'imgVec not of dimension 64', count(*) FILTER (len(imgVec) <> 64) FROM dirty
+  UNION ALL SELECT 'id repeated', count(*) FROM (SELECT id FROM dirty WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) WHERE n > 0""")
 def catalogue_violations(spark, artworks, read):
-    return violations(artworks, 65)
+    """The catalogue with some of its rows again, each spoilt in some way."""
+    i = F.col("id")
+    spoilt = artworks.where(i % 5 == 0).withColumns({
+        "department": F.when(i % 2 == 0, F.repeat(F.lit("x"), 301)).otherwise(F.col("department")), "date": F.repeat(F.lit("d"), (190 + i % 20).cast("int")),
+        "imgVec": F.slice("imgVec", F.lit(1), (64 - i % 4).cast("int")), "id": F.when(i % 3 == 0, None).otherwise(i),
+    })
+    return violations(artworks.unionByName(spoilt), DIMENSION)
 
 
 @query("SELECT id, round(list_sum(list_transform(imgVec, lambda x: x * x)), 4) AS squares FROM artworks WHERE imgVec IS NOT NULL")
@@ -361,7 +372,6 @@ def field_requests_table(spark, artworks, read):
     return requests.chunks_of_requests(artworks, asked, stored_basis(artworks))[1]
 
 
-DIMENSION = 64
 UNITS = f"units AS (SELECT id, list_transform(imgVec, lambda x: x / (sqrt(list_sum(list_transform(imgVec, lambda y: y * y))) + 1e-12)) AS v FROM artworks WHERE {ELIGIBLE})"
 
 
@@ -445,10 +455,76 @@ def ingest_apply(spark, artworks, read):
     return ingest.with_urls(artworks, _fetched(artworks)[1]).select("id", "localImageUrl")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (imgVec IS NOT NULL OR localImageUrl <> '') AS embedded FROM artworks")
+#: What the registry's encoder makes of an item's address, as SQL: whole numbers from its id, scaled to length one.
+ENCODED = "[(id * (j + 3) % 17) - 8 for j in range(0, 64)]"
+WEIGHED = "round(list_sum([{v}[j] * (j % 7 + 1) for j in range(1, len({v}) + 1)]) / {length}, 4) + 0.0"
+
+
+def _encode_by_id(url: str) -> list[float]:
+    number = int(url.rsplit("/", 1)[1].removesuffix(".jpg"))
+    return [number * (j + 3) % 17 - 8 for j in range(DIMENSION)]
+
+
+def _weighed(vector):
+    """A number that depends on each entry of a vector and on its place."""
+    terms = F.transform(vector, lambda x, j: x.cast("double") * ((j + 1) % 7 + 1))
+    return F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4) + 0.0
+
+
+EMBEDDED = f"""CASE WHEN imgVec IS NOT NULL THEN {WEIGHED.format(v="imgVec", length="1")} WHEN localImageUrl <> '' THEN {WEIGHED.format(v=ENCODED, length=f"sqrt(list_sum([x * x for x in {ENCODED}]))")} END"""
+
+
+@query(f"SELECT id, {EMBEDDED} AS weighed FROM artworks")
 def embedding_apply(spark, artworks, read):
-    results = ingest.embed(catalogue.embedding_queue(artworks, count=None), ingest.stub_encoder(64))
-    return ingest.with_vectors(artworks, results).agg(F.count("*").alias("n"), F.count("imgVec").alias("embedded"))
+    results = ingest.embed(catalogue.embedding_queue(artworks, count=None), _encode_by_id)
+    return ingest.with_vectors(artworks, results).select("id", _weighed(F.col("imgVec")).alias("weighed"))
+
+
+@query(f""", {OUTCOMES} SELECT a.id, CASE WHEN o.ok THEN concat('https://img.example.org/artworks/', a.id, '.jpg') ELSE a.localImageUrl END AS "localImageUrl", {EMBEDDED.replace("id *", "a.id *")} AS weighed
+FROM artworks a LEFT JOIN outcomes o ON a.id = o.id""")
+def parts_updated(spark, artworks, read):
+    """The catalogue as a table in parts, after a batch of vectors, one of addresses, and both again."""
+    path, width = work.folder(spark), 500
+    parts.create(artworks, path, width=width)
+    vectors = ingest.embed(catalogue.embedding_queue(artworks, count=None), _encode_by_id).where("ok")
+    urls = _fetched(artworks)[1].where("ok")
+    for batch, results, columns in ((1, vectors, {"imgVec": "vector"}), (2, urls, {"localImageUrl": "url"}), (1, vectors, {"imgVec": "vector"}), (2, urls, {"localImageUrl": "url"})):
+        parts.apply(spark, path, results, batch, columns, width=width, schema=SCHEMA)
+    return parts.read(spark, path, SCHEMA).select("id", "localImageUrl", _weighed(F.col("imgVec")).alias("weighed"))
+
+
+#: Queue items with one of a few hosts each, a third of them on one host.
+HOSTED = "concat('https://', CASE WHEN c_custkey % 3 = 0 THEN 'busy' ELSE concat('h', c_custkey % 11) END, '.example.org/', c_custkey)"
+
+
+@query(f""", queue AS (SELECT CAST(c_custkey AS INTEGER) AS id, {HOSTED} AS url, regexp_extract({HOSTED}, '//([^/]*)', 1) AS host FROM customer),
+turns AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS turn FROM queue)
+SELECT id, url, host, turn, CAST((row_number() OVER (ORDER BY turn, host, id) - 1) // 25 + 1 AS INTEGER) AS batch FROM turns""")
+def ingest_fair_batches(spark, artworks, read):
+    queue = read("customer").select(F.col("c_custkey").cast("int").alias("id"), F.expr(HOSTED).alias("primaryImage"))
+    return ingest.fair_batches(queue, 25, width=700)
+
+
+# What users have seen
+
+SEEN = "user_id, CAST(event_id * 7919 % 100003 + 1 AS BIGINT) AS id FROM events WHERE event_type = 'view'"
+LISTED = "user_id, CAST(event_id % 1000 * 7919 % 100003 + 1 AS BIGINT) AS id, event_id FROM events WHERE event_type <> 'view'"
+
+
+def _views(spark, read, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT {sql.replace('FROM events', 'FROM {events}')}", events=read("events"))
+
+
+@query(f"SELECT l.* FROM (SELECT {LISTED}) l WHERE NOT EXISTS (SELECT 1 FROM (SELECT {SEEN}) s WHERE s.user_id = l.user_id AND s.id = l.id)".replace("SELECT l.*", "SELECT l.user_id, l.id, l.event_id"))
+def unseen_items(spark, artworks, read):
+    views = _views(spark, read, SEEN)
+    halves = [seen.bitmaps(views.where(F.col("id") % 2 == k), "user_id") for k in (0, 1)]  # two days' views, say
+    return seen.unseen(_views(spark, read, LISTED), seen.merged(*halves), "user_id")
+
+
+@query(f"SELECT user_id AS user, count(DISTINCT id) AS n FROM (SELECT {SEEN}) GROUP BY user_id")
+def seen_counts(spark, artworks, read):
+    return seen.counts(seen.bitmaps(_views(spark, read, SEEN), "user_id"))
 
 
 # Fusion, evaluation, telemetry
@@ -522,6 +598,16 @@ def telemetry_latency(spark, artworks, read):
     return rounded(telemetry.latency(read("events")), "p50", "p95", "p99")
 
 
+@query("SELECT event_type AS kind, count(value) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY event_type")
+def telemetry_latency_sketched(spark, artworks, read):
+    """Quantiles from hourly sketches, and whether each one's rank among all values is within the stated error."""
+    events = read("events")
+    found = telemetry.latency_of_windows(work.written(telemetry.latency_sketches(events)))
+    values = events.where("value is not null").select(F.col("event_type").alias("kind"), "value").join(F.broadcast(found), "kind")  # a row for each kind
+    near = [((F.avg((F.col("value") < F.col(p)).cast("double")) - q <= telemetry.RANK_ERROR) & (F.avg((F.col("value") <= F.col(p)).cast("double")) - q >= -telemetry.RANK_ERROR)).alias(f"{p}_near") for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return values.groupBy("kind").agg(F.max("n").alias("n"), *near)
+
+
 @query("""SELECT count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors,
   CAST(count(*) FILTER (event_type = 'click') AS DOUBLE) / count(*) FILTER (event_type = 'view') AS click_through, CAST(count(*) FILTER (event_type = 'error') AS DOUBLE) / count(*) AS error_rate FROM events""")
 def telemetry_use(spark, artworks, read):
