@@ -29,6 +29,14 @@ def held_out(column: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(column, modulus) == remainder, F.lit(False))
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """A column name that is none of the taken ones, whatever their case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the shared place that the cluster names in spark.checkpoint.dir; on a local master a temporary folder will do."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -19,9 +19,10 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from vecatlas.llm.common import slices, written
+from vecatlas.llm.common import slices, unused, written
 
 # Bytes that belong to words (after lower-casing A-Z) are 0-9, a-z and all of 0x80-0xFF.
 _TO_WORDS = bytes(
@@ -78,20 +79,17 @@ class PatternTables:
             at += 1
 
 
-def tables_of(items: list[tuple[int | None, str | None]], window: int) -> list[PatternTables]:
+def tables_of(items: list[tuple], window: int) -> list[PatternTables]:
     """The tables of all windows of the items. An item shorter than a window, but not empty, is one pattern."""
-    found: dict[int, dict[tuple[bytes, ...], tuple]] = {}
+    found: dict[int, dict[tuple[bytes, ...], dict]] = {}
     same: dict = {}  # one object for all occurrences of a word or of a tuple of ids
     for item, text in items:
         words = [same.setdefault(w, w) for w in words_of(text)]
         size = min(window, len(words))
         for i in range(len(words) - size + 1 if size else 0):
-            patterns, key = found.setdefault(size, {}), tuple(words[i : i + size])
-            ids = patterns.get(key, ())
-            if item not in ids:
-                ids = (*ids, item)
-                patterns[key] = same.setdefault(ids, ids)
-    return [PatternTables.build(p, n) for n, p in sorted(found.items())]
+            found.setdefault(size, {}).setdefault(tuple(words[i : i + size]), {})[item] = None
+    ids_of = lambda ids: same.setdefault(ids, ids)
+    return [PatternTables.build({words: ids_of(tuple(items)) for words, items in p.items()}, n) for n, p in sorted(found.items())]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,7 +154,8 @@ def find(
     docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = 10, max_bytes: int = 1 << 20,
 ) -> DataFrame:
-    """Add ``n_words``, ``hit_ranges`` (merged word ranges that occurrences cover) and ``items`` to the ``keep`` columns.
+    """Add ``n_words``, ``hit_ranges`` (merged word ranges that occurrences cover) and ``items`` (ids of any type that sorts) to the
+    ``keep`` columns.
 
     A worker holds the tables of ``max_bytes`` of benchmark text at a time (about 70 times as much memory, if all
     words differ), and searches each batch of documents for one group after another. Null and empty texts have no
@@ -169,10 +168,12 @@ def find(
     groups = docs.sparkSession.sparkContext.broadcast(_groups(benchmark, item, item_text, max_bytes))
     mark, several = uuid.uuid4().hex, len(groups.value) > 1
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    id_type = benchmark.select(F.col(f"`{item}`").alias("item")).schema["item"].dataType
+    id_list = pa.list_(to_arrow_type(id_type))
     range_type = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
 
     def run(batches):
-        for batch in slices(batches, "__text", 64_000_000 if several else 2_000_000):
+        for batch in slices(batches, hidden, 64_000_000 if several else 2_000_000):
             texts = batch.column(len(keep)).to_pylist()
             n_words, ranges, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
             for k, (files, rows) in enumerate(groups.value):
@@ -182,11 +183,12 @@ def find(
                     if found:
                         ranges[i] = merged([*ranges[i], *found])
                         items[i] |= ids
-            arrays = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in ranges], kind), pa.array([sorted(x - {None}) for x in items], pa.list_(pa.int64()))]
+            arrays = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in ranges], kind), pa.array([sorted(x - {None}) for x in items], id_list)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *own])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    return given.mapInArrow(run, given.drop("__text").schema.add("n_words", LongType()).add("hit_ranges", range_type).add("items", ArrayType(LongType())))
+    hidden = unused("text", keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
+    return given.mapInArrow(run, given.drop(hidden).schema.add("n_words", LongType()).add("hit_ranges", range_type).add("items", ArrayType(id_type)))
 
 
 def report(found: DataFrame, keep: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import slices
+from vecatlas.llm.common import slices, unused
 
 UNDETERMINED = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -149,10 +149,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, "__text", 1_000_000):
+        for batch in slices(batches, hidden, 1_000_000):
             names, scores = score_texts(batch.column(len(keep)).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *own])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = given.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    hidden = unused("text", keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
+    schema = given.drop(hidden).schema.add("lang_pred", "string").add("score", "double")
     return given.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from vecatlas.llm import crf
-from vecatlas.llm.common import labelled_sample, slices
+from vecatlas.llm.common import labelled_sample, slices, unused
 
 # Classes of characters.
 LOWER, UPPER, DIGIT, SPACE, EXCLAIM, BAR, ODD, MARK, OTHER = range(9)
@@ -170,11 +170,12 @@ def classify(docs: DataFrame, model: QualityModel | None, *, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, "__text", 1_000_000):
+        for batch in slices(batches, hidden, 1_000_000):
             scores, parts = score_texts(batch.column(len(keep)).to_pylist(), shared.value)
             more = [pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))] if with_lines else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *more], names=[*keep, *own])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = given.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    hidden = unused("text", keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
+    schema = given.drop(hidden).schema.add("score", "double").add("predicted", "integer")
     return given.mapInArrow(run, schema.add("line_scores", ArrayType(DoubleType())) if with_lines else schema)

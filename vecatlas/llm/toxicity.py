@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from vecatlas.llm import crf
-from vecatlas.llm.common import labelled_sample, slices
+from vecatlas.llm.common import labelled_sample, slices, unused
 
 TOKEN = re.compile(r"\w+")
 CACHED_TYPES = 300_000
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text", k
 
     def run(batches):
         types = None
-        for batch in slices(batches, "__text", 2_000_000):
+        for batch in slices(batches, hidden, 2_000_000):
             if shared.value is not None and (types is None or len(types) > CACHED_TYPES):
                 types = _Types(shared.value)
             scores, spans = score_texts(batch.column(len(keep)).to_pylist(), shared.value, types)
@@ -234,6 +234,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, *, text: str = "text", k
                 more = [pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *more], names=[*keep, *own])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = given.drop("__text").schema.add("score", "double").add("predicted", "integer")
+    hidden = unused("text", keep)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
+    schema = given.drop(hidden).schema.add("score", "double").add("predicted", "integer")
     return given.mapInArrow(run, schema.add("toxic_spans", ArrayType(span)) if with_spans else schema)
