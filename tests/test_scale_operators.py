@@ -63,7 +63,7 @@ def near_enough(clustered, got, want):
 
 
 def test_index_recall_and_what_it_reads(spark, items, clustered, tmp_path):
-    index = vector_index.build(items, f"file://{tmp_path}/index", cells=40, slices=4, rows_per_part=300)
+    index = vector_index.build(items, f"file://{tmp_path}/index", cells=40, slices=4, rows_per_part=100)
     assert sum(index.rows) == len(clustered) and max(index.parts) > 1  # every item with a direction, large cells in parts
     targets = list(range(20, 4020, 20))
     asked = spark.createDataFrame([(t, [float(v) for v in clustered[t]]) for t in targets], "query long, vector array<double>")
@@ -96,6 +96,7 @@ def test_index_of_nothing_and_of_little(spark, tmp_path):
 
 def test_whole_catalogue_join_is_exact_and_skips(spark, items, clustered, monkeypatch):
     monkeypatch.setattr(knn_join, "BLOCK", 64)
+    monkeypatch.setattr(knn_join, "ASKED", 64)
     monkeypatch.setattr(knn_join, "PART", 500)
     rows = items.where(catalogue.eligible()).select("id", "imgVec")
     found, facts = knn_join.knn_join(rows, rows, 7, cells=40)

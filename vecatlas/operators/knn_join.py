@@ -1,8 +1,8 @@
 """The exact k nearest items of every item of a table: a join of blocks that bounds on distances let skip.
 
-Items lie in cells around centroids, each cell in shells: blocks of rows of like distance to the centroid. Queries are
-blocked in the same way. A query block first meets the cells nearest to its own that hold enough rows, which gives every query
-a distance within which its k nearest lie. By the triangle inequality a row can only be that near if its distance to its
+Items lie in cells around centroids, each cell in shells: blocks of rows of like distance to the centroid. Queries of like
+cells are blocks as well. A query block first meets the cells nearest to its queries that hold enough rows, which gives every
+query a distance within which its k nearest lie. By the triangle inequality a row can only be that near if its distance to its
 centroid differs by no more than that from the query's, so a block pair is joined only if its shell is within
 reach of one of the queries; and as pairs come in the order of their least distance, those that the bounds reached meanwhile
 rule out are passed over. No row is made for a pair of items: a query block holds its k best while it meets its blocks.
@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 from vecatlas.operators import cells as sphere
 from vecatlas.sources.work import written
 
-BLOCK = 512  # rows of a block
+BLOCK, ASKED = 512, 1024  # rows of a block, queries of one
 PART = 20_000  # rows of a cell that one task sorts into shells
 SLACK = 1e-9  # distances this much beyond a bound are still looked at
 SHELLS = "cell int, part int, seq int, near double, far double, ids binary, units binary"
 FOUND = "block long, ids binary, units binary, best binary, scores binary, joined long, skipped long"
 
 
+def _raw(lists: pa.ListArray, use: np.ndarray, dimension: int) -> np.ndarray:
+    """The vectors at these places in single precision, as the catalogue has them."""
+    return lists.take(pa.array(use)).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(use), dimension)
+
+
 def _packed(cell, part, seq, dist, ids, units):
     values = (int(cell), int(part), seq, float(dist[0]), float(dist[-1]), ids.tobytes(), units.tobytes())
     return pa.RecordBatch.from_pydict({c.split()[0]: [v] for c, v in zip(SHELLS.split(", "), values, strict=True)}, schema=pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("ids", pa.binary()), ("units", pa.binary())]))
@@ -38,7 +43,7 @@ def _shells(rows: DataFrame, centroids: np.ndarray, dimension: int) -> tuple[Dat
             use, units = sphere.unit_matrix(batch.column(1), dimension)
             far = sphere.distances(units, centroids)
             cell = far.argmin(axis=1)
-            blobs = pa.array([u.tobytes() for u in units], pa.binary())
+            blobs = pa.array([v.tobytes() for v in _raw(batch.column(1), use, dimension)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell]), blobs], names=["id", "cell", "dist", "unit"])
 
     def pack(batches):
@@ -59,7 +64,7 @@ def _shells(rows: DataFrame, centroids: np.ndarray, dimension: int) -> tuple[Dat
                     if size:
                         yield _packed(*key, seq, *block(size))
                     key, seq = (cell[a], part[a]), 0
-                units = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.float64).reshape(b - a, dimension)
+                units = np.frombuffer(b"".join(batch.column(4).slice(a, b - a).to_pylist()), np.float32).reshape(b - a, dimension)
                 held.append((batch.column(3).to_numpy()[a:b], batch.column(0).to_numpy()[a:b], units))
                 size += b - a
                 while size >= BLOCK:
@@ -77,25 +82,49 @@ def _shells(rows: DataFrame, centroids: np.ndarray, dimension: int) -> tuple[Dat
 
 
 def _matrix(blob: bytes, dimension: int) -> np.ndarray:
-    return np.frombuffer(blob, np.float64).reshape(-1, dimension)
+    """Vectors as sent, in single precision, scaled to length one in double."""
+    x = np.frombuffer(blob, np.float32).reshape(-1, dimension).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _asked(queries: DataFrame, centroids: np.ndarray, dimension: int) -> DataFrame:
+    """Blocks of queries of like cells, without anything found yet."""
 
+    def assign(batches):
+        for batch in batches:
+            use, units = sphere.unit_matrix(batch.column(1), dimension)
+            cell = sphere.distances(units, centroids).argmin(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use)), pa.array(cell), pa.array([v.tobytes() for v in _raw(batch.column(1), use, dimension)], pa.binary())], names=["id", "cell", "unit"])
 
-def _home(queries: DataFrame, centroids: np.ndarray, facts: dict, k: int) -> DataFrame:
-    """block, cell: the cells nearest to a query block's own that hold more than k rows together."""
-    size = np.array([facts.get(c, (0, 0.0))[0] for c in range(len(centroids))])
+    def pack(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, ASKED):
+                rows = batch.slice(i, ASKED)
+                ids = rows.column(0).to_numpy().astype(np.int64)
+                blobs = (ids.tobytes(), b"".join(rows.column(2).to_pylist()), b"", b"")
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), *(pa.array([x], pa.binary()) for x in blobs)], names=["block", "ids", "units", "best", "scores"])
+
+    found = queries.mapInArrow(assign, "id long, cell int, unit binary")
+    return found.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").mapInArrow(pack, "block long, ids binary, units binary, best binary, scores binary")
+
+
+def _home(queries: DataFrame, centroids: np.ndarray, facts: dict, dimension: int, k: int) -> DataFrame:
+    """block, to: for the queries of a block the nearest cells that hold more than k rows together."""
+    cells = np.array(sorted(facts), np.int64)
+    size = np.array([facts[c][0] for c in cells.tolist()])
 
     def run(batches):
         for batch in batches:
-            block, cells = [], []
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                order = np.argsort(np.linalg.norm(centroids - centroids[c], axis=1), kind="stable")
-                order = order[size[order] > 0]
-                order = order[: int(np.searchsorted(np.cumsum(size[order]), k + 1)) + 1]
-                block += [b] * len(order)
-                cells += order.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(cells, pa.int32())], names=["block", "to"])
+            block, to = [], []
+            for b, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                order = np.argsort(sphere.distances(_matrix(units, dimension), centroids[cells]), axis=1, kind="stable")
+                enough = np.cumsum(size[order], axis=1)
+                near = np.unique(order[(enough - size[order]) <= k])
+                block += [b] * len(near)
+                to += cells[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(to, pa.int32())], names=["block", "to"])
 
-    return queries.select("block", "cell").mapInArrow(run, "block long, `to` int")
+    return queries.select("block", "units").mapInArrow(run, "block long, `to` int")
 
 
 def _meet(k: int, dimension: int, without_self: bool):
@@ -180,8 +209,8 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, *, cells: int | None
     """query, id, rank, similarity: the k items most similar to each query, ties by id; and facts: blocks joined and passed over.
 
     queries and items: id (integer), imgVec. ``without_self`` leaves an item of the query's id out. Vectors of another
-    dimension than most items have, and zero vectors, meet nothing. Ids are distinct on either side. The result is exact:
-    bounds only leave out what can't be among the k nearest.
+    dimension than most items have, and zero vectors, meet nothing. Ids are distinct on either side, and vectors are in single
+    precision. The result is exact: bounds only leave out what can't be among the k nearest.
     """
     spark = items.sparkSession
     sizes = items.where("imgVec is not null").groupBy(F.size("imgVec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -191,12 +220,10 @@ def knn_join(queries: DataFrame, items: DataFrame, k: int, *, cells: int | None
     plain = lambda df: df.select(F.col("id").cast("long").alias("id"), "imgVec")
     centroids = sphere.fit(plain(items), n, dimension, cells or sphere.usual_number(n), seed=seed)
     blocks, facts = _shells(plain(items), centroids, dimension)
-    asked, _ = (blocks, facts) if queries is items else _shells(plain(queries), centroids, dimension)
-    empty = F.lit(b"")
-    asked = written(asked.select(F.xxhash64("cell", "part", "seq").alias("block"), "cell", "ids", "units", empty.alias("best"), empty.alias("scores")))
+    asked = written(_asked(plain(queries), centroids, dimension))
 
     wide = [F.lit(x).alias(c) for c, x in (("low", 0.0), ("high", 4.0), ("inner", 0.0), ("outer", 4.0))]
-    home = written(_home(asked, centroids, facts, k).select("block", "to", *wide))
+    home = written(_home(asked, centroids, facts, dimension, k).select("block", "to", *wide))
     near = written(_joined(asked, home, blocks, k, dimension, without_self))
     homes = near.join(home.groupBy("block").agg(F.collect_list("to").alias("home")), "block")  # the few cells of a block
     pairs = homes.select("block", "ids", "units", "scores", "home").mapInArrow(_reach(centroids, facts, dimension, k), "block long, `to` int, low double, high double, inner double, outer double")

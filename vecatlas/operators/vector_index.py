@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from vecatlas.operators import cells as sphere
 from vecatlas.operators.catalogue import eligible, targets
 from vecatlas.operators.knn import nearest_of_many
+from vecatlas.sources.work import written
 
 CODEWORDS = 256
 MOST_TRIED = 64  # targets, about, that probes and short lists are settled on
+CODES_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
 LONGEST = 64  # short lists are at most so many times as long as what is asked for
 
 
@@ -151,64 +153,109 @@ def _settled(spark: SparkSession, index: Index, items: DataFrame, n: int, k: int
     return replace(index, times=max(1, math.ceil(places[max(0, math.ceil(share * len(places)) - 1)] / k)))
 
 
-def _short_list(index: Index, length: int):
-    """For the queries of one part of a cell and its rows: each query's best rows by their codes."""
-    centroids, codebooks, dimension = np.array(index.centroids), np.array(index.codebooks), index.dimension
-
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        out = {"query": [], "id": [], "cell": [], "part": [], "near": []}
-        if asked.num_rows and stored.num_rows:
-            cell, part = asked.column("cell")[0].as_py(), asked.column("part")[0].as_py()
-            ids = stored.column("id").to_numpy()
-            codes = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            number = asked.column("query").to_numpy()
-            vectors = np.array(asked.column("unit").combine_chunks().flatten()).reshape(-1, dimension)
-            for at in range(0, len(vectors), 256):
-                v = vectors[at : at + 256]
-                near = np.repeat((v @ centroids[cell])[:, None], len(ids), axis=1)
+def _code_blocks(batches):
+    """Codes as blocks of one cell."""
+    for batch in batches:
+        cell = batch.column(2).to_numpy(zero_copy_only=False)
+        order = np.argsort(cell, kind="stable")
+        ids, codes = batch.column(0).to_numpy()[order], batch.column(1).take(pa.array(order))
+        cell = cell[order]
+        edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, np.int64)
+        cuts = [(i, min(i + CODES_PER_BLOCK, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for i in range(a, b, CODES_PER_BLOCK)]
+        blobs = [[ids[i:j].tobytes() for i, j in cuts], [b"".join(codes.slice(i, j - i).to_pylist()) for i, j in cuts]]
+        yield pa.RecordBatch.from_arrays([pa.array([cell[i] for i, _ in cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["cell", "ids", "codes"])
+
+
+def _meet(index: Index, length: int):
+    """A stream of query blocks, each followed by the code blocks of the cells that its queries probe: each query's best rows."""
+    centroids, codebooks = np.array(index.centroids), np.array(index.codebooks)
+
+    def run(batches):
+        block = None
+
+        def out():
+            queries, best, near, cell = block[0], block[3], block[4], block[5]
+            order = np.lexsort((best, -near), axis=1)
+            best, near, cell = (np.take_along_axis(x, order, axis=1) for x in (best, near, cell))
+            real = np.isfinite(near).ravel()
+            place = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(best))
+            columns = [np.repeat(queries, best.shape[1]), best.ravel(), cell.ravel(), place]
+            return pa.RecordBatch.from_arrays([pa.array(c[real]) for c in columns], names=["query", "id", "cell", "place"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["queries"] is not None:
+                    if block:
+                        yield out()
+                    n = len(row["queries"]) // 8
+                    probes = np.frombuffer(row["probes"], np.int32).reshape(n, -1)
+                    block = [np.frombuffer(row["queries"], np.int64), np.frombuffer(row["units"], np.float64).reshape(n, -1), probes, np.zeros((n, 0), np.int64), np.zeros((n, 0)), np.zeros((n, 0), np.int32)]
+                    continue
+                asks = np.flatnonzero((block[2] == row["cell"]).any(axis=1))
+                ids = np.frombuffer(row["ids"], np.int64)
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
+                v = block[1][asks]
+                near = np.full((len(block[0]), len(ids)), -np.inf)
+                part = np.repeat((v @ centroids[row["cell"]])[:, None], len(ids), axis=1)
                 for j, book in enumerate(codebooks):
-                    near += (v.reshape(len(v), len(codebooks), -1)[:, j] @ book.T)[:, codes[:, j]]
-                best = np.argpartition(-near, min(length, len(ids)) - 1, axis=1)[:, :length]
-                out["query"].append(np.repeat(number[at : at + 256], best.shape[1]))
-                out["id"].append(ids[best].ravel())
-                out["near"].append(np.take_along_axis(near, best, axis=1).ravel())
-            size = sum(map(len, out["id"]))
-            out["cell"], out["part"] = [np.full(size, cell, np.int32)], [np.full(size, part, np.int32)]
-        kinds = {"query": np.int64, "id": np.int64, "cell": np.int32, "part": np.int32, "near": np.float64}
-        return pa.table({c: np.concatenate([np.zeros(0, kinds[c]), *v]) for c, v in out.items()})
+                    part += (v.reshape(len(v), len(codebooks), -1)[:, j] @ book.T)[:, codes[:, j]]
+                near[asks] = part
+                near = np.concatenate([block[4], near], axis=1)
+                best = np.concatenate([block[3], np.broadcast_to(ids, (len(near), len(ids)))], axis=1)
+                cell = np.concatenate([block[5], np.full((len(near), len(ids)), row["cell"], np.int32)], axis=1)
+                if near.shape[1] > 2 * length:  # a short list is cut when it has twice its length
+                    top = np.argpartition(-near, length - 1, axis=1)[:, :length]
+                    near, best, cell = (np.take_along_axis(x, top, axis=1) for x in (near, best, cell))
+                block[3:] = best, near, cell
+        if block:
+            yield out()
 
     return run
 
 
 def _listed(spark: SparkSession, index: Index, asked: DataFrame, length: int) -> DataFrame:
-    """query, id, cell, part, place: each query's best rows by their codes, of the cells that it probes."""
-    probes, parts, dimension = index.probes, np.array(index.parts), index.dimension
+    """query, id, cell, place: each query's best rows by their codes, of the cells that it probes. Queries of like cells meet the
+    codes of these together, in blocks, and hold their lists meanwhile."""
+    probes, dimension = index.probes, index.dimension
+    state = "block long, queries binary, units binary, probes binary"
 
     def route(batches):
         for batch in batches:
             use, units = sphere.unit_matrix(batch.column(1), dimension)
-            near = np.argsort(sphere.distances(units, np.array(index.centroids)), axis=1, kind="stable")[:, :probes]
-            cell = near.ravel()
-            row = np.repeat(np.arange(len(units)), near.shape[1])
-            again = parts[cell]
-            row, cell = np.repeat(row, again), np.repeat(cell, again)
-            part = np.arange(len(cell)) - np.repeat(np.cumsum(again) - again, again)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dimension), pa.array(units[row].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(use[row])), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), values], names=["query", "cell", "part", "unit"])
-
-    routed = asked.mapInArrow(route, "query long, cell int, part int, unit array<double>")
-    codes = index.read(spark).select("id", "code", "cell", "part")
-    scored = routed.groupBy("cell", "part").cogroup(codes.groupBy("cell", "part")).applyInArrow(_short_list(index, length), "query long, id long, cell int, part int, near double")
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "id")
-    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= length).select("query", "id", "cell", "part", "place")
+            near = np.argsort(sphere.distances(units, np.array(index.centroids)), axis=1, kind="stable")[:, :probes].astype(np.int32)
+            columns = [batch.column(0).take(pa.array(use)), pa.array(near[:, 0]), pa.array([u.tobytes() for u in units], pa.binary()), pa.array([x.tobytes() for x in near], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "home", "unit", "near"])
+
+    def pack(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, QUERIES_PER_BLOCK):
+                rows = batch.slice(i, QUERIES_PER_BLOCK)
+                queries = rows.column(0).to_numpy().astype(np.int64)
+                values = (int(queries[0]), queries.tobytes(), b"".join(rows.column(2).to_pylist()), b"".join(rows.column(3).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array([values[0]]), *(pa.array([v], pa.binary()) for v in values[1:])], names=["block", "queries", "units", "probes"])
+
+    def wanted(batches):
+        for batch in batches:
+            cells = [np.unique(np.frombuffer(x, np.int32)) for x in batch.column(1).to_pylist()]
+            blocks = [np.full(len(c), b, np.int64) for b, c in zip(batch.column(0).to_pylist(), cells, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *blocks])), pa.array(np.concatenate([np.zeros(0, np.int32), *cells]))], names=["block", "cell"])
+
+    routed = asked.mapInArrow(route, "query long, home int, unit binary, near binary")
+    blocks = written(routed.repartitionByRange("home", "query").sortWithinPartitions("home", "query").mapInArrow(pack, state))
+    pairs = blocks.select("block", "probes").mapInArrow(wanted, "block long, cell int")
+    codes = index.read(spark).select("id", "code", "cell").mapInArrow(_code_blocks, "cell int, ids binary, codes binary")
+    none = F.lit(None)
+    sent = pairs.join(codes, "cell").select("block", "cell", "ids", "codes", *[none.cast("binary").alias(c) for c in ("queries", "units", "probes")])
+    first = blocks.select("block", F.lit(-1).alias("cell"), *[none.cast("binary").alias(c) for c in ("ids", "codes")], "queries", "units", "probes")
+    stream = first.unionByName(sent).repartition("block").sortWithinPartitions("block", "cell")
+    return stream.mapInArrow(_meet(index, length), "query long, id long, cell int, place int").where(F.col("place") <= length)
 
 
 def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 160) -> DataFrame:
     """query, rank, id, similarity: the ``k`` rows nearest to each query by the index. queries: query (long), vector; any number.
 
-    Each query meets the parts of its nearest cells; in each part its best rows by code are kept, of those the best over all
-    parts, and of these the exact similarity decides, ties by id. Queries of another dimension and zero vectors find nothing. The
-    recall is below one.
+    Each query meets the codes of its nearest cells and keeps a short list, of which the exact similarity decides, ties by id. Numbers
+    of queries are distinct. Queries of another dimension and zero vectors find nothing. The recall is below one.
     """
     dimension = index.dimension
     asked = queries.select(F.col("query").cast("long").alias("query"), F.col("vector").cast("array<double>").alias("vector"))
@@ -220,7 +267,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 160)
             _, other = sphere.unit_matrix(batch.column(3), dimension)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((own * other).sum(axis=1))], names=["query", "id", "similarity"])
 
-    pairs = listed.join(index.read(spark).select("id", "cell", "part", "vector"), ["cell", "part", "id"]).join(asked.withColumnRenamed("vector", "wanted"), "query")
+    pairs = listed.join(index.read(spark).select("id", "cell", "vector"), ["cell", "id"]).join(asked.withColumnRenamed("vector", "wanted"), "query")
     similar = pairs.select("query", "id", F.col("vector").cast("array<double>").alias("vector"), "wanted").mapInArrow(exact, "query long, id long, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return similar.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
