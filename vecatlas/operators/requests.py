@@ -8,21 +8,24 @@ taken from its lists afterwards, which are longer by as much. Each request is pi
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions import noise, scalars
 from vecatlas.operators import field
-from vecatlas.operators.catalogue import eligible, image_source, image_url, random_key
+from vecatlas.operators.catalogue import eligible, image_source, image_url
 from vecatlas.operators.knn_join import knn_join
 from vecatlas.sources.work import written
 
 MOST_CHUNKS, MOST_EXCLUDED = 16, 1000
 VECTORS = "request long, place int, x double, y double, seed long, skipped long, `offset` int, `limit` int, rand int, imgVec array<double>"
 PICKED = "request long, place int, x double, y double, pos int, id long, source string, similarity double"
-ITEMS_PER_PART = 10_000  # items that meet the seeds of the random pools in one task, about
+ITEMS_PER_BLOCK, SEEDS_PER_BLOCK = 4096, 64  # about, of the blocks that make the random pools
 
 
 def _vectors(basis):
@@ -57,6 +60,60 @@ def _pick(plan: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
     return field._pick(pools, chunks, int(first["count"]), used).assign(request=first["request"])[[c.split()[0] for c in PICKED.split(", ")]]
 
 
+def _seed_blocks(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, SEEDS_PER_BLOCK):
+            query, seed = (batch.column(c).slice(i, SEEDS_PER_BLOCK).to_numpy().astype(np.int64) for c in (0, 1))
+            yield pa.RecordBatch.from_pydict({"block": [int(query[0])], "queries": [query.tobytes()], "seeds": [seed.tobytes()]})
+
+
+def _first_by_hash(length: int):
+    """A stream of blocks of seeds, each followed by the catalogue's blocks of ids: for each seed the first ids in the order of
+    the MD5 of id and seed, ties by id. Only ids that come before the last one kept are looked at further."""
+
+    def run(batches):
+        block = None
+
+        def out():
+            sizes = [len(ids) for _, ids in block[2]]
+            columns = (np.repeat(block[0], sizes), np.concatenate([ids for _, ids in block[2]]), np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "place"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["seeds"] is not None:
+                    if block:
+                        yield out()
+                    queries = np.frombuffer(row["queries"], np.int64)
+                    block = [queries, [b":%d" % s for s in np.frombuffer(row["seeds"], np.int64)], [(np.zeros((0, 2), ">u8"), np.zeros(0, np.int64)) for _ in queries]]
+                    continue
+                ids = np.array(row["ids"], np.int64)
+                texts = [b"%d" % i for i in row["ids"]]
+                for q, seed in enumerate(block[1]):
+                    keys = np.frombuffer(b"".join([md5(t + seed).digest() for t in texts]), ">u8").reshape(-1, 2)
+                    had, own = block[2][q]
+                    use = np.flatnonzero(keys[:, 0] <= had[-1, 0]) if len(own) == length else slice(None)
+                    had, own = np.concatenate([had, keys[use]]), np.concatenate([own, ids[use]])
+                    first = np.lexsort((own, had[:, 1], had[:, 0]))[:length]
+                    block[2][q] = had[first], own[first]
+        if block:
+            yield out()
+
+    return run
+
+
+def _dealt(vectors: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """query, id, place: the first ``length`` items for the seed of each chunk. Each seed orders all items anew, so the work is that of
+    items times chunks; rows are made for the blocks of both, and for what is kept."""
+    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
+    ids = items.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("part")).agg(F.collect_list(F.col("id").cast("long")).alias("ids"))  # ITEMS_PER_BLOCK, about
+    seeds = written(vectors.where("place >= 0").select("query", "seed").mapInArrow(_seed_blocks, "block long, queries binary, seeds binary"))
+    met = seeds.select("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("part")).join(ids, "part")
+    none = F.lit(None).cast("binary")
+    stream = seeds.select("block", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("array<long>").alias("ids"), "queries", "seeds").unionByName(met.select("block", "part", "ids", none.alias("queries"), none.alias("seeds")))
+    return stream.repartition("block").sortWithinPartitions("block", "part").mapInArrow(_first_by_hash(length), "query long, id long, place int")
+
+
 def checked(requests: DataFrame) -> DataFrame:
     """The requests with whether each is ``valid``: a target, 1 to 16 chunks with both coordinates, at most 1000 excluded ids; and their
     count, seed and excluded ids as they count (count 1 to 50, default 1; seed default 0; nulls are not ids)."""
@@ -90,12 +147,9 @@ def chunks_of_requests(artworks: DataFrame, requests: DataFrame, basis, *, cells
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= F.col("limit"))
     near = near.select("request", "place", F.when(F.col("place") < 0, "sim").otherwise("drift").alias("source"), "rank", "id", "similarity")
 
-    n = items.count()
-    parts = max(1, -(-n // ITEMS_PER_PART))
-    spread = items.select(F.col("id").cast("long").alias("id"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    seeds = vectors.where("place >= 0").select("query", "request", "place", "seed", "rand", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")).alias("part"))
-    dealt = spread.join(seeds, "part").join(left_out, ["request", "id"], "left_anti").withColumn("key", random_key(F.col("seed")))
-    rand = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("key", "id"))).where(F.col("rank") <= field.Limits.of_many(MOST_CHUNKS).rand).where(F.col("rank") <= F.col("rand"))
+    some = _dealt(vectors, items, field.Limits.of_many(MOST_CHUNKS).rand + longest + 1).join(vectors.select(F.col("query"), "request", F.col("place").alias("chunk"), "rand"), "query")
+    rand = some.join(left_out, ["request", "id"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("rank") <= F.col("rand"))
+    rand = rand.select("request", F.col("chunk").alias("place"), "rank", "id")
     pools = written(near.unionByName(rand.select("request", "place", F.lit("rand").alias("source"), "rank", "id", F.lit(None).cast("double").alias("similarity"))))
 
     plan = vectors.drop("imgVec", "query", "limit", "rand").join(asked.select("request", "targetId", "count", "exclude"), "request")
