@@ -494,14 +494,14 @@ def parts_updated(spark, artworks, read):
 
 
 #: Queue items with one of a few hosts each, a third of them on one host.
-HOSTED = "concat('https://', CASE WHEN c_custkey % 3 = 0 THEN 'busy' ELSE concat('h', c_custkey % 11) END, '.example.org/', c_custkey)"
+HOSTED = "concat('https://', CASE WHEN id % 3 = 0 THEN 'busy' ELSE concat('h', id % 11) END, '.example.org/', id)"
 
 
-@query(f""", queue AS (SELECT CAST(c_custkey AS INTEGER) AS id, {HOSTED} AS url, regexp_extract({HOSTED}, '//([^/]*)', 1) AS host FROM customer),
+@query(f""", queue AS (SELECT id, {HOSTED} AS url, regexp_extract({HOSTED}, '//([^/]*)', 1) AS host FROM artworks),
 turns AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY id) AS turn FROM queue)
 SELECT id, url, host, turn, CAST((row_number() OVER (ORDER BY turn, host, id) - 1) // 25 + 1 AS INTEGER) AS batch FROM turns""")
 def ingest_fair_batches(spark, artworks, read):
-    queue = read("customer").select(F.col("c_custkey").cast("int").alias("id"), F.expr(HOSTED).alias("primaryImage"))
+    queue = artworks.select("id", F.expr(HOSTED).alias("primaryImage"))
     return ingest.fair_batches(queue, 25, width=700)
 
 
