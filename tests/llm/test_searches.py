@@ -347,11 +347,10 @@ def fingerprints(rows, max_share=0.05, min_docs=2):
     terms = lambda t: {h(x.encode()) for x in split.split(t.lower()) if x}
     seen = Counter(x for _, t in rows for x in terms(t))
     high = max(min_docs, int(max_share * len(rows)))
-    known = {x % imatch.LEAST_CELLS for x, n in seen.items() if min_docs <= n <= high}
-    assert imatch.CELLS_PER_TERM * len(known) < imatch.LEAST_CELLS
+    known = {x for x, n in seen.items() if min_docs <= n <= high}  # the band itself: on few documents the filter lets nothing else pass
 
     def parts(t):
-        kept, out = sorted(x for x in terms(t) if x % imatch.LEAST_CELLS in known), []
+        kept, out = sorted(x for x in terms(t) if x in known), []
         nested = [kept for _ in imatch.FAMILIES]
         for level in range(len(imatch.FAMILIES[0])):
             for k, rates in enumerate(imatch.FAMILIES):
@@ -388,6 +387,21 @@ def test_fingerprints_against_hand_made(spark, sf_dir):
     assert better > 0.7 * len(got)
 
 
+def test_lexicon_lets_few_other_terms_pass(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "LEAST_CELLS", 1)
+    rows = [(i, " ".join([f"in{j}" for j in range(i // 2 * 80, i // 2 * 80 + 80)] + [f"out{i}x{j}" for j in range(400)])) for i in range(100)]  # 4000 terms stand in two documents
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    inside = imatch.band(docs)
+    words, cells = imatch.lexicon(inside)
+    assert inside.count() == 4000 and cells == 1 << 16 and imatch.lexicon(inside.where("false"))[1] == 1 << 16
+    found = imatch.with_known(docs, ["text"], words, cells, "known").select(F.explode(F.col("known")[0]).alias("term"))
+    n = Counter(bool(r["known"]) for r in found.join(inside.withColumn("known", F.lit(True)), "term", "left").collect())
+    assert n[True] == 8000 and n[False] < 0.005 * 40_000
+    monkeypatch.setattr(imatch, "MOST_CELLS", 1 << 15)
+    with pytest.raises(ValueError, match="min_share"):
+        imatch.lexicon(inside)
+
+
 def test_fingerprints_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 3)
     rng = random.Random(9)

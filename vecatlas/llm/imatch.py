@@ -2,7 +2,7 @@
 
 The lexicon is the terms within a band of inverse document frequency, counted over all documents. As the band's
 ends are shares of the documents, the lexicon does not grow with them: at most (terms of a document) / min_share
-terms stand in min_share of all. It is held as a table of bits, many for each of its terms. A text's
+terms stand in min_share of all. It is held as a Bloom filter: a table of bits, of which each term sets several. A text's
 distinct terms of the lexicon are sorted, and each of several random subsets of the lexicon gives one component:
 the hash of the sorted terms that lie in the subset. Subsets keep from a half to 1/512 of the lexicon, so some
 components survive small changes only and others large ones. The likeness of two fingerprints is the share of
@@ -12,6 +12,7 @@ equal components among those that either of them has.
 from __future__ import annotations
 
 import json
+import uuid
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,11 @@ from pyspark.sql import functions as F
 from vecatlas.llm.common import written
 
 LEAST_CELLS = 1 << 22
-CELLS_PER_TERM = 8
+#: Bits held for a term of the lexicon, and set by it: of the other terms (1 - exp(-4 / 16)) ** 4 = 0.24 % pass at most.
+CELLS_PER_TERM, PROBES = 16, 4
+#: More bits than these (128 MiB, 67 million terms) are refused.
+MOST_CELLS = 1 << 30
+WORDS_PER_BLOCK = 1024
 #: Families of nested random subsets: 1 of so many terms is kept.
 FAMILIES = (*[(2, 8, 32)] * 2, *[(32, 128, 512)] * 14)
 #: Documents in a range of neighbouring ids, ranges at most, and drawn rows for each bound between two ranges.
@@ -33,28 +38,40 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(hashed), F.xxhash64(F.lit("")))
 
 
-def _cell(term: Column, cells: int) -> Column:
-    return F.pmod(term, F.lit(cells))
+def _cells(term: Column, cells: int) -> list[Column]:
+    """The bits that a term sets; ``cells`` is a power of two."""
+    first, step = term.bitwiseAND(F.lit(cells - 1)), F.shiftrightunsigned(term, 32).bitwiseOR(F.lit(1))
+    return [(first + step * i).bitwiseAND(F.lit(cells - 1)) for i in range(PROBES)]
 
 
-def lexicon(docs: DataFrame, text: str = "text", *, max_share: float = 0.05, min_share: float = 1e-5, min_docs: int = 2) -> list[int]:
-    """Bits (64 to a number) of the lexicon: the terms that stand in at least ``min_share`` of the documents, and in
-    ``min_docs``, and in at most ``max_share``. That is the band of inverse document frequency from -log(max_share) to
-    -log(min_share), but for the few documents of a small table. A term outside it passes for one of the lexicon if
-    their bits coincide, which one in CELLS_PER_TERM does at most."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+def band(docs: DataFrame, text: str = "text", *, max_share: float = 0.05, min_share: float = 1e-5, min_docs: int = 2) -> DataFrame:
+    """The terms of the lexicon: those that stand in at least ``min_share`` of the documents, and in ``min_docs``, and in
+    at most ``max_share``. That is the band of inverse document frequency from -log(max_share) to -log(min_share), but for
+    the few documents of a small table."""
     n = docs.count()
     low = max(min_docs, ceil(min_share * n))
-    seen = docs.select(F.explode(terms(body)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    band = written(seen.where(F.col("n").between(low, max(low, int(max_share * n)))).select("term"))
-    cells = max(LEAST_CELLS, 1 << (CELLS_PER_TERM * band.count() - 1).bit_length())
-    cell = _cell(F.col("term"), cells)
-    word = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    words = band.select(cell.alias("cell")).groupBy(F.floor(F.col("cell") / 64).alias("at")).agg(F.bit_or(word).alias("bits")).collect()  # a row for each term at most
-    out = [0] * (cells // 64)
-    for r in words:
-        out[r["at"]] = r["bits"]
-    return out
+    seen = docs.select(F.explode(terms(F.coalesce(F.col(f"`{text}`"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return seen.where(F.col("n").between(low, max(low, int(max_share * n)))).select("term")
+
+
+def lexicon(inside: DataFrame) -> tuple[DataFrame, int]:
+    """The terms of a band as one row of bits (``blocks``: WORDS_PER_BLOCK numbers of 64 bits each), and how many bits.
+
+    The row is put together by Spark, block by block, so its size is known before: CELLS_PER_TERM bits a term, up to the
+    next power of two. A band of texts with d distinct terms on average has at most d / min_share terms, whatever the
+    number of documents; ValueError asks for a narrower band if that is more than MOST_CELLS bits.
+    """
+    cells = max(LEAST_CELLS, 64 * WORDS_PER_BLOCK, 1 << max(0, CELLS_PER_TERM * inside.count() - 1).bit_length())
+    if cells > MOST_CELLS:
+        raise ValueError(f"a lexicon of {cells} bits is more than {MOST_CELLS}: raise min_share")
+    at = F.explode(F.array(*_cells(F.col("term"), cells))).alias("cell")
+    word = F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
+    words = inside.select(at).groupBy(F.shiftright("cell", 6).alias("word")).agg(word)
+    grid = inside.sparkSession.range(cells // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    block = F.floor(F.col("word") / WORDS_PER_BLOCK).alias("block")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    blocks = written(grid.groupBy(block).agg(ordered["bits"].alias("bits")))
+    return blocks.agg(F.array_sort(F.collect_list(F.struct("block", "bits")))["bits"].alias("blocks")), cells  # one row of checked size
 
 
 def _drawn(family: int, rate: int):
@@ -62,14 +79,31 @@ def _drawn(family: int, rate: int):
     return lambda t: F.pmod(F.xxhash64(t, F.lit(family)), F.lit(rate)) == 0
 
 
-def with_known(df: DataFrame, texts: list[str], words: list[int], into: str) -> DataFrame:
-    """Add ``into``: for each of the texts its sorted terms of the lexicon. The lexicon stands in the plan once."""
-    bits, cells = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), 64 * len(words)  # folded to a constant
+def with_known(df: DataFrame, texts: list[str], words: DataFrame, cells: int, into: str) -> DataFrame:
+    """Add ``into``: for each of the texts its sorted terms of the lexicon.
+
+    The lexicon's row becomes the value of a session variable, which Spark folds to a constant of the plan: it goes to
+    tasks with their code, once, and never through Python.
+    """
+    spark, name = df.sparkSession, f"lexicon_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<ARRAY<BIGINT>>")
+    spark.sql(f"SET VAR {name} = (SELECT blocks FROM {{words}})", words=words)
+    bits = F.expr(f"session.{name}")
+
+    def set_(cell: Column) -> Column:
+        word = F.shiftright(cell, 6)
+        of = F.element_at(bits, (F.shiftright(word, WORDS_PER_BLOCK.bit_length() - 1) + 1).cast("int"))
+        return F.getbit(F.element_at(of, (word.bitwiseAND(F.lit(WORDS_PER_BLOCK - 1)) + 1).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def known(t: Column) -> Column:
-        return F.getbit(F.element_at(bits, (F.floor(_cell(t, cells) / 64) + 1).cast("int")), (_cell(t, cells) % 64).cast("int")) == 1
+        first, *others = [set_(cell) for cell in _cells(t, cells)]
+        for x in others:
+            first = first & x
+        return first
 
-    return df.withColumn(into, F.transform(F.array(*texts), lambda text: F.array_sort(F.filter(terms(text), known))))
+    out = df.withColumn(into, F.transform(F.array(*texts), lambda text: F.array_sort(F.filter(terms(text), known))))
+    spark.sql(f"DROP TEMPORARY VARIABLE {name}")  # the plan keeps the value
+    return out
 
 
 def with_parts(df: DataFrame, known: Column, into: str) -> DataFrame:
@@ -134,7 +168,7 @@ def fingerprint_and_compare(docs: DataFrame, *, key: str = "doc_id", text: str =
     fill a task; the first text of a range also goes to the range before it. Repeated rows get the same
     fingerprint. An empty table gives an empty result; other columns are not read.
     """
-    words = lexicon(docs, text)
+    words, cells = lexicon(written(band(docs, text)))
     own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     # rows equal in key and text are split at random; which of them comes first does not matter
     own = _with_range(own.withColumn("lot", F.xxhash64(F.monotonically_increasing_id())), ("key", "tie", "lot"), docs.count()).drop("lot")
@@ -151,7 +185,7 @@ def fingerprint_and_compare(docs: DataFrame, *, key: str = "doc_id", text: str =
     rows = rows.select("key", "text", F.length("text").alias("n"), F.coalesce("next_text", "head_text").alias("next_text"))
     half = F.floor(F.col("n") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)))
-    rows = with_known(rows, ["text", "edited", "next_text"], words, "known")
+    rows = with_known(rows, ["text", "edited", "next_text"], words, cells, "known")
     for i, into in enumerate(("parts", "edited_parts", "next_parts")):
         rows = with_parts(rows, F.col("known")[i], into)
     rows = rows.withColumns({
