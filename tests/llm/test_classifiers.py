@@ -122,10 +122,16 @@ def test_nothing_to_learn_from(spark, awkward, nothing):
 
 
 def test_matrix_is_bounded(spark, documents):
-    """A model that would exceed the bound is refused, not changed."""
-    with pytest.raises(ValueError, match="max_matrix_bytes"):
-        langid.fit(documents, max_matrix_bytes=1 << 16)
-    assert langid.fit(documents, buckets=1 << 12, max_matrix_bytes=1 << 16).buckets == 1 << 12
+    """Buckets are halved until the matrix is within the bound; 300 dirty codes give a model too."""
+    n = documents.where("lang is not null").select("lang").distinct().count()
+    found = langid.fit(documents, max_matrix_bytes=1 << 16)
+    assert (1 << 15) < found.buckets * n * 4 <= 1 << 16 and found.log_prob.shape == (found.buckets + 1, n)
+    assert langid.fit(documents, buckets=1 << 12, max_matrix_bytes=1 << 16).buckets == min(1 << 12, found.buckets)
+    rows = [(i, f"mot{i % 300} wort{i % 300} word", f"code{i % 300:03}") for i in range(900)]
+    dirty = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(dirty)
+    assert len(model.languages) == 300 and model.buckets == 1 << 15
+    assert langid.identify(dirty, model).where("lang_pred = lang").count() > 600
 
 
 def test_counts_by_hand(spark, documents):

@@ -76,9 +76,10 @@ def fit(
     """Fit on the rows of ``labelled`` that have a text, a language and a key.
 
     The sample is bounded: a language with more than ``max_docs_per_language`` rows gives about that many,
-    chosen by a hash of the key. The matrix has buckets x languages float32 entries; if that is more than
-    ``max_matrix_bytes``, ValueError asks for fewer buckets or another bound, so what the driver holds and broadcasts
-    is bounded and a model never changes by itself.
+    chosen by a hash of the key. The matrix has buckets x languages float32 entries; ``buckets`` is halved until that is at
+    most ``max_matrix_bytes`` (with 2^16 buckets and 64 MiB that begins at 257 languages), so any number of languages or
+    of dirty codes gives a model, n-grams share buckets where there are many, and what the driver holds and broadcasts
+    is bounded. The model's ``buckets`` tells.
     With no usable row the model has no language and every text is undetermined.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).where(
@@ -86,8 +87,8 @@ def fit(
     )
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(totals))
-    if buckets * len(languages) * 4 > max_matrix_bytes:
-        raise ValueError(f"{buckets} buckets x {len(languages)} languages exceed max_matrix_bytes={max_matrix_bytes}")
+    while buckets > 1 and buckets * len(languages) * 4 > max_matrix_bytes:
+        buckets //= 2
     if not languages:
         return LanguageModel((), np.zeros((buckets + 1, 0), np.float32), np.zeros(0), orders, buckets)
     rates = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, max_docs_per_language / totals[name]))])
