@@ -127,7 +127,8 @@ def test_matrix_is_bounded(spark, documents):
     found = langid.fit(documents, max_matrix_bytes=1 << 16)
     assert (1 << 15) < found.buckets * n * 4 <= 1 << 16 and found.log_prob.shape == (found.buckets + 1, n)
     assert langid.fit(documents, buckets=1 << 12, max_matrix_bytes=1 << 16).buckets == min(1 << 12, found.buckets)
-    rows = [(i, f"mot{i % 300} wort{i % 300} word", f"code{i % 300:03}") for i in range(900)]
+    own = [chr(97 + i // 20) + chr(97 + i % 20) for i in range(300)]
+    rows = [(i, f"{own[i % 300]}zq {own[i % 300]}kk word", f"code{i % 300:03}") for i in range(900)]
     dirty = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(dirty)
     assert len(model.languages) == 300 and model.buckets == 1 << 15

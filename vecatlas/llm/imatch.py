@@ -96,10 +96,7 @@ def with_known(df: DataFrame, texts: list[str], words: DataFrame, cells: int, in
         return F.getbit(F.element_at(of, (word.bitwiseAND(F.lit(WORDS_PER_BLOCK - 1)) + 1).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def known(t: Column) -> Column:
-        first, *others = [set_(cell) for cell in _cells(t, cells)]
-        for x in others:
-            first = first & x
-        return first
+        return F.forall(F.array(*_cells(t, cells)), set_)  # the lexicon stands in the plan once
 
     out = df.withColumn(into, F.transform(F.array(*texts), lambda text: F.array_sort(F.filter(terms(text), known))))
     spark.sql(f"DROP TEMPORARY VARIABLE {name}")  # the plan keeps the value
