@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecatlas.operators import catalogue, components, field, knn_join, requests, vector_index
+from vecatlas.operators import catalogue, components, field, fusion, knn_join, requests, vector_index
 from vecatlas.sources import artworks as source
 
 DIMENSION = 16
@@ -171,3 +171,22 @@ def test_moments_merge_and_repeat(spark, items, clustered, tmp_path):
     with pytest.raises(Exception, match="dimensions"):
         components.moments(items.where("id = 9003"), DIMENSION).collect()
     assert math.isclose(sum(r["products"][r["i"]] for r in state), len(clustered))
+
+
+def test_whole_fusion_against_full_sort(spark):
+    rng = np.random.default_rng(3)
+    for n, values, k, weights in ((400, 1000, 7, (1.0, 1.0)), (300, 5, 10, (3.0, 0.5)), (200, 1, 5, (1.0, 2.0)), (3, 9, 10, (1.0, 1.0)), (150, 40, 6, (1.0, 0.0))):
+        a, b = rng.integers(0, values, (2, n)) / 8
+        rows = [(int(i), None if i % 11 == 3 else float(a[i]), None if i % 7 == 2 else float(b[i])) for i in rng.permutation(n)]
+        ranks = []
+        for c in (1, 2):
+            ranks.append({r[0]: p + 1 for p, r in enumerate(sorted((r for r in rows if r[c] is not None), key=lambda r: (-r[c], r[0])))})
+        shares = {r[0]: sum(w / (60 + x[r[0]]) for w, x in zip(weights, ranks, strict=True) if r[0] in x) for r in rows}
+        want = [(i, round(s, 12), ranks[0].get(i), ranks[1].get(i)) for i, s in sorted(shares.items(), key=lambda x: (-round(x[1], 12), x[0])) if s][:k]
+        found, facts = fusion.fuse_whole(spark.createDataFrame(rows, "id long, text double, image double").repartition(3), k=k, w_text=weights[0], w_image=weights[1])
+        assert [(r["id"], round(r["score"], 12), r["text_rank"], r["image_rank"]) for r in found.collect()] == want
+        assert facts["candidates"] <= 2 * facts["depth"] and facts["depth"] <= 2 * (60 + k)
+    none, _ = fusion.fuse_whole(spark.createDataFrame([], "id long, text double, image double"))
+    assert none.count() == 0
+    with pytest.raises(ValueError):
+        fusion.depth_needed(5, 0.0, 0.0, 60)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import floor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,70 @@ def fuse(text: DataFrame, image: DataFrame, *, k: int = 50, w_text: float = 1.0,
     return lists.groupBy("id").agg(score, *ranks).orderBy(F.desc("score"), "id").limit(k)
 
 
+def depth_needed(k: int, w_text: float, w_image: float, k_rrf: int) -> int:
+    """How far into both lists the k best of their whole fusion reach at most.
+
+    The k first of the heavier list score heavier / (k_rrf + k) each at least; what stands deeper than d in both lists
+    scores (w_text + w_image) / (k_rrf + d + 1) at most. At this depth the second is the smaller.
+    """
+    heavier = max(w_text, w_image)
+    if min(w_text, w_image) < 0 or heavier <= 0:
+        raise ValueError("weights must not be negative, and one must be positive")
+    return max(k, floor((w_text + w_image) * (k_rrf + k) / heavier) - k_rrf + 1)
+
+
+def _ranks(rows: DataFrame, wanted: list, score: str) -> dict:
+    """Ranks (the highest score first, ties by id) of a few of the rows, by counting: no list is sorted.
+
+    ``wanted``: (id, score) of these. A task finds between which of them each of its rows stands, and adds up.
+    """
+    order = sorted((-s, i) for i, s in wanted)
+    scores, ids = np.array([s for s, _ in order], np.float64), np.array([i for _, i in order], np.int64)
+
+    def count(batches):
+        places = np.zeros(len(order) + 1, np.int64)
+        for batch in batches:
+            own, number = -batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+            first, place = np.searchsorted(scores, own, "left"), np.searchsorted(scores, own, "right")
+            equal = first < place
+            for start in np.unique(first[equal]).tolist():
+                at = np.flatnonzero(equal & (first == start))
+                place[at] = start + np.searchsorted(ids[start : place[at[0]]], number[at], "right")
+            places += np.bincount(place, minlength=len(places))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(places), dtype=np.int32)), pa.array(places)], names=["place", "n"])
+
+    found = rows.select(F.col("id").cast("bigint").alias("id"), F.col(score).cast("double").alias("score")).where("score is not null").mapInArrow(count, "place int, n bigint")
+    n = np.zeros(len(order) + 1, np.int64)
+    for r in found.groupBy("place").agg(F.sum("n").alias("n")).collect():  # a row for each of the wanted
+        n[r["place"]] = r["n"]
+    return dict(zip(ids.tolist(), (np.cumsum(n)[: len(order)] + 1).tolist(), strict=True))
+
+
+def fuse_whole(rows: DataFrame, *, text: str = "text", image: str = "image", k: int = 50, w_text: float = 1.0, w_image: float = 1.0, k_rrf: int = 60) -> tuple[DataFrame, dict]:
+    """The k best ids of the fusion of two whole rankings (``fuse`` cuts both lists first), and facts: depth, candidates.
+
+    ``rows``: id (unique, a whole number) and two scores; a score that is null or not a number is not in that list. The bound of the threshold algorithm
+    says before how deep the lists must be read: only the first ``depth_needed`` of each can be among the k best. Their
+    ranks in the other list, however low, come from a pass that counts. So two top-k scans and two counting scans do, and
+    at most 2 x depth rows reach the driver. Ties by id; a zero weight gives no share, and ids without a share have no place.
+    """
+    depth = depth_needed(k, w_text, w_image, k_rrf)
+    rows = rows.select("id", *[F.nanvl(F.col(of).cast("double"), F.lit(None).cast("double")).alias(to) for of, to in ((text, "text"), (image, "image"))])
+    text, image = "text", "image"
+    chosen, lists = {}, ((text, w_text), (image, w_image))
+    for score, weight in lists:
+        if weight:
+            for r in rows.where(F.col(score).isNotNull()).orderBy(F.desc(score), "id").limit(depth).select("id", F.col(text).alias("a"), F.col(image).alias("b")).collect():
+                chosen[r["id"]] = (r["a"], r["b"])
+    ranks = [_ranks(rows, [(i, s[n]) for i, s in chosen.items() if s[n] is not None], score) for n, (score, _) in enumerate(lists)]
+    out = []
+    for i in chosen:
+        at = [r.get(i) for r in ranks]
+        out.append((i, sum(w / (k_rrf + r) for r, (_, w) in zip(at, lists, strict=True) if r), *at))
+    best = sorted(out, key=lambda r: (-round(r[1], 12), r[0]))[:k]
+    return rows.sparkSession.createDataFrame(best, "id bigint, score double, text_rank bigint, image_rank bigint"), {"depth": depth, "candidates": len(chosen)}
+
+
 def hit_rate(ranks: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
     """The share of plausible results among each query's first ``top``. ranks: query, id, rank; labels: query, id, plausible."""
     judged = ranks.where(F.col("rank") <= top).join(labels, ["query", "id"], "left")

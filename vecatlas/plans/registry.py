@@ -554,6 +554,15 @@ def rrf_weighted(spark, artworks, read):
     return rounded(fusion.fuse(*_lists(artworks), w_text=2.0, w_image=0.5), "score", digits=9)
 
 
+@query(_fused_sql(2.0, 1.5).replace(" QUALIFY rank <= 100", "").replace("CAST(text_rank AS INTEGER)", "text_rank").replace("CAST(image_rank AS INTEGER)", "image_rank"))
+def rrf_whole(spark, artworks, read):
+    rows = artworks.where(catalogue.eligible())
+    for name, vector in zip(("text", "image"), stored_vectors(artworks, (TARGET, SECOND)), strict=True):
+        rows = knn.with_similarity(rows, vector, name)
+    best = fusion.fuse_whole(rows, w_text=2.0, w_image=1.5)[0]
+    return rounded(best.withColumn("id", F.col("id").cast("int")), "score", digits=9)
+
+
 def _judged(artworks, read):
     """Ranks for a few targets, and whether a result has the target's label."""
     vectors = stored_vectors(artworks, TARGETS)
