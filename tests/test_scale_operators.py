@@ -190,3 +190,14 @@ def test_whole_fusion_against_full_sort(spark):
     assert none.count() == 0
     with pytest.raises(ValueError):
         fusion.depth_needed(5, 0.0, 0.0, 60)
+
+
+def test_bootstrap_intervals_cover_known_rates(spark):
+    rng = np.random.default_rng(8)
+    rows = [(e, 1000 * e + q, int(rng.binomial(5, 0.2 + 0.006 * e)), 5) for e in range(100) for q in range(80)]
+    found = fusion.intervals(spark.createDataFrame(rows, "trial int, query long, hits int, judged int"), ["trial"]).collect()
+    inside = sum(r["low"] <= 0.2 + 0.006 * r["trial"] <= r["high"] for r in found)
+    assert len(found) == 100 and 86 <= inside  # 95 expected
+    for r in found:
+        own = [x for x in rows if x[0] == r["trial"]]
+        assert math.isclose(r["hit_rate"], sum(x[2] for x in own) / 400) and r["low"] < r["hit_rate"] < r["high"] < r["low"] + 0.2

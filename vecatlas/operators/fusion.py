@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import floor
+from math import exp, factorial, floor
 
 import numpy as np
 import pyarrow as pa
@@ -94,13 +94,47 @@ def hit_rate(ranks: DataFrame, labels: DataFrame, top: int = 5) -> DataFrame:
     return judged.agg(F.avg(F.coalesce(F.col("plausible"), F.lit(False)).cast("double")).alias("hit_rate"), F.count("*").alias("judged"))
 
 
-def weight_grid(text: DataFrame, image: DataFrame, labels: DataFrame, weights: list[tuple[float, float]], *, top: int = 5, k_rrf: int = 60) -> DataFrame:
-    """The hit rate of fusion for each pair of weights. text and image: query, id, rank."""
+def _judged(text: DataFrame, image: DataFrame, labels: DataFrame, weights: list[tuple[float, float]], top: int, k_rrf: int) -> DataFrame:
+    """w_text, w_image, query, id, plausible of each query's first ``top`` for each pair of weights."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("w_text"), F.lit(float(b)).alias("w_image")) for a, b in weights])).alias("w")
     lists = text.select("query", "id", "rank", F.lit(True).alias("of_text")).unionByName(image.select("query", "id", "rank", F.lit(False).alias("of_text")))
     tried = lists.select("query", "id", "rank", "of_text", grid).select("query", "id", "rank", "of_text", "w.*")
     share = F.when(F.col("of_text"), F.col("w_text")).otherwise(F.col("w_image"))
     scored = tried.groupBy("w_text", "w_image", "query", "id").agg(F.sum(share / (F.lit(k_rrf) + F.col("rank"))).alias("score"))
-    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("w_text", "w_image", "query").orderBy(F.desc("score"), "id"))).where(F.col("place") <= top)
-    judged = best.join(labels, ["query", "id"], "left")
-    return judged.groupBy("w_text", "w_image").agg(F.avg(F.coalesce(F.col("plausible"), F.lit(False)).cast("double")).alias("hit_rate"))
+    place = F.row_number().over(Window.partitionBy("w_text", "w_image", "query").orderBy(F.desc(F.round("score", 12)), "id"))
+    best = scored.withColumn("place", place).where(F.col("place") <= top).join(labels, ["query", "id"], "left")
+    return best.withColumn("plausible", F.coalesce("plausible", F.lit(False)))
+
+
+def weight_grid(text: DataFrame, image: DataFrame, labels: DataFrame, weights: list[tuple[float, float]], *, top: int = 5, k_rrf: int = 60) -> DataFrame:
+    """The hit rate of fusion for each pair of weights. text and image: query, id, rank."""
+    return _judged(text, image, labels, weights, top, k_rrf).groupBy("w_text", "w_image").agg(F.avg(F.col("plausible").cast("double")).alias("hit_rate"))
+
+
+def poisson_bounds() -> list[int]:
+    """A number drawn evenly from 0 to 2^32 - 1 gives the Poisson count (of mean 1) of the bounds that it reaches."""
+    return [floor(sum(exp(-1) / factorial(i) for i in range(j + 1)) * (1 << 32)) for j in range(12)]
+
+
+def intervals(judged: DataFrame, by: list[str], *, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """hit_rate, low, high for each group of the columns ``by``. judged: by, query (unique in a group), hits, judged.
+
+    A Poisson bootstrap over queries: in each replicate a query counts as often as md5 of seed, replicate and query says, so
+    no rows are drawn or sorted, one aggregation makes all replicates, and every group sees the same replicates. Only sums by
+    group and replicate are shuffled. A replicate in which nothing counts has no rate.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col("query")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    times = F.size(F.filter(F.array(*map(F.lit, poisson_bounds())), lambda x: x <= F.col("drawn")))
+    rows = judged.select(*by, "query", "hits", "judged", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate")).withColumn("drawn", drawn)
+    rows = rows.withColumn("times", F.when(F.col("replicate") == 0, 1).otherwise(times))  # replicate 0: as measured
+    rates = rows.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col("hits") * F.col("times")).cast("double"), F.sum(F.col("judged") * F.col("times")).cast("double")).alias("rate"))
+    again = F.when(F.col("replicate") > 0, F.col("rate"))
+    side = (1 - level) / 2
+    return rates.groupBy(*by).agg(F.max(F.when(F.col("replicate") == 0, F.col("rate"))).alias("hit_rate"), F.percentile(again, F.lit(side)).alias("low"), F.percentile(again, F.lit(1 - side)).alias("high"))
+
+
+def weight_intervals(text: DataFrame, image: DataFrame, labels: DataFrame, weights: list[tuple[float, float]], *, top: int = 5, k_rrf: int = 60, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """The hit rate of fusion for each pair of weights, with a bootstrap interval. text and image: query, id, rank."""
+    by = ["w_text", "w_image"]
+    judged = _judged(text, image, labels, weights, top, k_rrf).groupBy(*by, "query").agg(F.sum(F.col("plausible").cast("int")).alias("hits"), F.count("*").alias("judged"))
+    return intervals(judged, by, replicates=replicates, level=level, seed=seed)

@@ -591,6 +591,31 @@ def relevance_weight_grid(spark, artworks, read):
     return fusion.weight_grid(ranks, ranks.withColumn("rank", 21 - F.col("rank")), labels, [(1.0, 0.0), (0.0, 1.0), (3.0, 1.0)])
 
 
+OF_USER = {"text": ("view", "count(*)"), "image": ("purchase", "max(value)")}  # two rankings of items for each user
+
+
+def _user_list(of: str) -> str:
+    kind, score = OF_USER[of]
+    rows = f"SELECT user_id AS query, event_id % 40 AS id, {score} AS score FROM events WHERE event_type = '{kind}' AND user_id IS NOT NULL AND value IS NOT NULL GROUP BY user_id, event_id % 40"
+    return f"SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ({rows}) a) b WHERE rank <= 20"
+
+
+CLICKED = "SELECT DISTINCT user_id AS query, event_id % 40 AS id, true AS plausible FROM events WHERE event_type = 'click'"
+
+
+@query(f""", lists AS (SELECT *, true AS of_text FROM ({_user_list("text")}) t UNION ALL SELECT *, false FROM ({_user_list("image")}) i), labels AS ({CLICKED}),
+scored AS (SELECT w_text, w_image, query, id, sum(CASE WHEN of_text THEN w_text ELSE w_image END / (60 + rank)) AS score FROM lists, (VALUES (1.0, 0.0), (0.0, 1.0), (3.0, 1.0)) w(w_text, w_image) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY w_text, w_image, query ORDER BY round(score, 12) DESC, id) AS place FROM scored QUALIFY place <= 5),
+judged AS (SELECT w_text, w_image, b.query, count(l.plausible) AS hits, count(*) AS judged FROM best b LEFT JOIN labels l ON l.query = b.query AND l.id = b.id GROUP BY ALL),
+drawn AS (SELECT j.*, r, CAST('0x' || substr(md5('0:' || r || ':' || query), 1, 8) AS BIGINT) AS u FROM judged j, range(0, 101) t(r)),
+counted AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE len(list_filter({fusion.poisson_bounds()}, lambda x: x <= u)) END AS times FROM drawn),
+rates AS (SELECT w_text, w_image, r, CAST(sum(hits * times) AS DOUBLE) / sum(judged * times) AS rate FROM counted GROUP BY ALL)
+SELECT CAST(w_text AS DOUBLE) AS w_text, CAST(w_image AS DOUBLE) AS w_image, round(max(rate) FILTER (r = 0), 9) AS hit_rate, round(quantile_cont(rate, 0.025) FILTER (r > 0), 9) AS low, round(quantile_cont(rate, 0.975) FILTER (r > 0), 9) AS high FROM rates GROUP BY ALL""")
+def relevance_weight_intervals(spark, artworks, read):
+    text, image, labels = [spark.sql(x.replace("FROM events", "FROM {events}"), events=read("events")) for x in (_user_list("text"), _user_list("image"), CLICKED)]
+    return rounded(fusion.weight_intervals(text, image, labels, [(1.0, 0.0), (0.0, 1.0), (3.0, 1.0)], replicates=100), "hit_rate", "low", "high", digits=9)
+
+
 @query("SELECT count(*) AS n, count(imgVec) AS covered, avg(CAST(imgVec IS NOT NULL AS DOUBLE)) AS coverage FROM artworks")
 def vector_coverage(spark, artworks, read):
     return telemetry.vector_coverage(artworks)
