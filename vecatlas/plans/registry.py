@@ -13,6 +13,7 @@ from vecatlas.functions import noise, scalars
 from vecatlas.operators import catalogue, components, field, fusion, ingest, knn, knn_join, requests, seen, telemetry, vector_index
 from vecatlas.sources import parts, stores, work
 from vecatlas.sources.artworks import CTE, SCHEMA, from_test_tables, violations
+from vecatlas.streaming import downloads
 
 TARGET, SECOND, TARGETS = 3, 5, (3, 5, 6, 10)
 ELIGIBLE = "imgVec IS NOT NULL AND localImageUrl IS NOT NULL AND localImageUrl <> ''"
@@ -505,6 +506,20 @@ def ingest_fair_batches(spark, artworks, read):
     return ingest.fair_batches(queue, 25, width=700)
 
 
+@query(f""", {OUTCOMES} SELECT id, CASE WHEN ok THEN 'done' ELSE 'dead' END AS status, CASE WHEN ok THEN 1 ELSE 3 END AS attempts,
+CASE WHEN ok THEN concat('https://img.example.org/artworks/', id, '.jpg') END AS url FROM outcomes""")
+def downloads_settled(spark, artworks, read):
+    """The whole download queue through the stream, which sees it twice: what became of each item, with three attempts for those that are refused."""
+    folder = work.folder(spark)
+    queue = catalogue.download_queue(artworks, count=None)
+    for _ in range(2):
+        queue.write.mode("append").parquet(f"{folder}/inbox")
+    job = downloads.download_job(spark, f"{folder}/inbox", f"{folder}/events", f"{folder}/checkpoint", _refuse_every_fourth, lambda key, data: None, every="1 second", files_per_batch=1000, most=3, first=0.5)
+    if not downloads.wait_until_settled(job, spark, f"{folder}/events"):
+        raise RuntimeError("the stream did not settle")
+    return downloads.outcomes(downloads.events_of(spark, f"{folder}/events")).select("id", "status", "attempts", "url")
+
+
 # What users have seen
 
 SEEN = "user_id, CAST(event_id * 7919 % 100003 + 1 AS BIGINT) AS id FROM events WHERE event_type = 'view'"
