@@ -367,6 +367,32 @@ def test_cuts_around_a_hot_group_are_even(spark, at, hot):
     assert len(loads) == 16 and 0.4 * share < loads[0] and loads[-2] < 1.6 * share
 
 
+def test_ends_are_found_by_refining(spark):
+    """A summary of coarse cells answers as the whole list does, once what was asked for has been refined."""
+    rng = random.Random(4)
+    ends = sorted(rng.sample(range(1, 100_000), 600))
+    groups = spark.createDataFrame([(e,) for e in ends], "end long").coalesce(1)
+    cells = defaultdict(list)
+    for e in ends:
+        cells[e // 9000].append(e)
+    summary = sharding.Ends(groups, [(min(x), max(x)) for x in cells.values()], fine=40)
+    asked = [0, ends[0], ends[0] - 1, ends[-1], ends[-1] + 5, *rng.sample(range(100_000), 6)]
+    for rounds in range(50):
+        got = [(summary.up_to(x), summary.after(x)) for x in asked]
+        if not summary.open:
+            break
+        summary.refine()
+    assert 0 < rounds < 49
+    assert got == [(max((e for e in ends if e <= x), default=None), min((e for e in ends if e > x), default=None)) for x in asked]
+
+
+def test_sharding_settles_with_few_jobs(spark, sf_dir):
+    spark.sparkContext.setJobGroup("shards", "shards")
+    queries.op10_minimax_sharding(spark, sf_dir).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("shards")) <= 45  # two or three for each of some fifteen steps
+
+
 def check_sharded(rows, docs):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
     slots, groups = defaultdict(list), defaultdict(set)

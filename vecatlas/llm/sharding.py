@@ -6,7 +6,8 @@ pass, which fills each shard as far as it fits, cover everything in the given nu
 binary search over summaries of the running sums: the places where a cut can still fall are read at a fixed
 number of cells, which bounds the capacity to within a cell; the next round reads only what lies around the
 possible cuts, until it reads single groups. Within that capacity the cuts are then placed evenly: each as near as it
-can be to an equal share of what remains, and never so early that the shards after it could not hold the rest.
+can be to an equal share of what remains, and never so early that the shards after it could not hold the rest. All of
+these are looked up in the first summary, whose cells around the cuts are read again until they hold one end each.
 Each summary has a bounded number of rows whatever the table's size.
 """
 
@@ -44,22 +45,61 @@ def _least_capacity(ends: list[int], total: int, low: int, high: int, shards: in
     return low
 
 
-def _ends_near(groups: DataFrame, at: int, low: int, high: int) -> tuple[int | None, int | None]:
-    """The last end up to ``at`` and the first after it, of those from low to high."""
-    end = F.col("end")
-    row = groups.where(end.between(low, high)).agg(F.max(F.when(end <= at, end)), F.min(F.when(end > at, end))).first()
-    return row[0], row[1]
+class Ends:
+    """Where groups end, as a summary of disjoint cells: the first and the last end in each.
 
+    A question that falls between a cell's first and last end is answered by one of these for the time being, and the cell is noted
+    in ``open``; ``refine`` reads all noted cells at a finer width, by one job.
+    """
 
-def _even_cuts(groups: DataFrame, total: int, capacity: int, shards: int) -> list[int]:
-    """Cuts of shards of at most ``capacity``, each as near to an equal share of what remains as a group's end allows."""
-    least, at = [], total  # least[k]: where a cut must be at least, for the shards after it to hold the rest
-    for _ in range(shards - 1):
-        at = 0 if at <= capacity else groups.where(F.col("end") >= at - capacity).agg(F.min("end")).first()[0]
-        least.append(at)
-    least.reverse()
+    def __init__(self, groups: DataFrame, cells: list[tuple[int, int]], fine: int = 20_000) -> None:
+        self.groups, self.fine = groups, fine
+        self.open: set[int] = set()
+        self._hold(cells)
+
+    def _hold(self, cells: list[tuple[int, int]]) -> None:
+        cells = sorted(cells)
+        self.first, self.last = [c[0] for c in cells], [c[1] for c in cells]
+
+    def up_to(self, x: int) -> int | None:
+        """The last end up to ``x``."""
+        i = bisect_right(self.first, x) - 1
+        if i < 0:
+            return None
+        if self.last[i] <= x:
+            return self.last[i]
+        self.open.add(i)
+        return self.first[i]
+
+    def after(self, x: int) -> int | None:
+        """The first end after ``x``."""
+        i = bisect_right(self.last, x)
+        if i == len(self.last):
+            return None
+        if self.first[i] > x:
+            return self.first[i]
+        self.open.add(i)
+        return self.last[i]
+
+    def refine(self) -> None:
+        end = F.col("end")
+        wanted = [(self.first[i], self.last[i]) for i in sorted(self.open)]
+        each = max(2, self.fine // len(wanted))
+        inside, cell = F.lit(False), F.lit(None)
+        for k, (a, b) in enumerate(wanted):
+            within = end.between(a, b)
+            inside |= within
+            cell = F.when(within, F.lit(k * each) + F.floor((end - a) / max(1, -(-(b - a + 1) // each)))).otherwise(cell)
+        rows = self.groups.where(inside).groupBy(cell.alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
+        kept = [c for i, c in enumerate(zip(self.first, self.last, strict=True)) if i not in self.open]
+        self.open = set()
+        self._hold([*kept, *((r["a"], r["b"]) for r in rows)])
+
+
+def _even_cuts(ends: Ends, top: list[tuple[int, int]], total: int, capacity: int, shards: int) -> list[int]:
+    """Cuts of shards of at most ``capacity``, each as near to an equal share of what remains as a group's end allows.
+    top: end and size of the largest groups, as many as there are shards."""
     # a group larger than its share counts as one share, so that what it takes is not missing from the shards around it
-    top = [(r["end"], r["size"]) for r in groups.orderBy(F.desc("size")).limit(shards).collect()]
     big, share = [], total / shards
     while len(larger := [x for x in top if x[1] > share]) > len(big):
         big, share = sorted(larger), (total - sum(x for _, x in larger)) / max(1, shards - len(larger))
@@ -79,14 +119,27 @@ def _even_cuts(groups: DataFrame, total: int, capacity: int, shards: int) -> lis
             gone += size - share
         return int(count + gone)
 
-    cuts, at = [], 0
-    for k in range(shards - 1):
-        low, high = max(at, least[k]), min(at + capacity, total)
-        aim = counted(at) + (counted(total) - counted(at)) / (shards - k)
-        ends = [e for e in (*_ends_near(groups, place(aim), low, high), low) if e is not None]
-        at = min(ends, key=lambda e: (not at < e < total, abs(counted(e) - aim), e))
-        cuts.append(at)
-    return cuts
+    def settled() -> list[int]:
+        least, at = [], total  # least[k]: where a cut must be at least, for the shards after it to hold the rest
+        for _ in range(shards - 1):
+            at = 0 if at <= capacity else ends.after(at - capacity - 1)
+            least.append(at)
+        least.reverse()
+        cuts, at = [], 0
+        for k in range(shards - 1):
+            low, high = max(at, least[k]), min(at + capacity, total)
+            aim = counted(at) + (counted(total) - counted(at)) / (shards - k)
+            near = place(aim)
+            found = [e for e in (ends.up_to(min(near, high)), ends.after(max(near, low - 1))) if e is not None and low <= e <= high]
+            at = min([*found, low], key=lambda e: (not at < e < total, abs(counted(e) - aim), e))
+            cuts.append(at)
+        return cuts
+
+    while True:
+        cuts = settled()
+        if not ends.open:
+            return cuts
+        ends.refine()
 
 
 def minimax_cuts(groups: DataFrame, shards: int, cells: int = 20_000) -> tuple[int, list[int]]:
@@ -95,6 +148,8 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = 20_000) -> tuple[i
     if not row["n"]:
         return 0, [0] * (shards - 1)
     total, largest = row["total"], row["largest"]
+    top = [(r["end"], r["size"]) for r in groups.orderBy(F.desc("size")).limit(shards).collect()]
+    summary = None
     low, high = max(largest, -(-total // shards)), max(largest, -(-total // shards)) + largest
     windows = [(0, total)]
     while True:
@@ -103,13 +158,15 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = 20_000) -> tuple[i
         inside = F.lit(False)
         for a, b in windows:
             inside |= F.col("end").between(a, b)
-        read = groups.where(inside).groupBy(F.floor(F.col("end") / cell).alias("cell")).agg(F.max("end").alias("end"))
-        ends = sorted({r["end"] for r in read.collect()} | {total})
+        read = groups.where(inside).groupBy(F.floor(F.col("end") / cell).alias("cell")).agg(F.min("end").alias("first"), F.max("end").alias("end")).collect()
+        if summary is None:  # of the whole: where the even cuts begin to look
+            summary = Ends(groups, [(r["first"], r["end"]) for r in read], cells)
+        ends = sorted({r["end"] for r in read} | {total})
         # a cut at a group's end may move up to the end of its cell, so what is feasible is feasible with a cell more
         found = _least_capacity(ends, total, low, high + cell, shards)
         low, high = max(low, found - cell), found
         if cell == 1:
-            return high, _even_cuts(groups, total, high, shards)
+            return high, _even_cuts(summary, top, total, high, shards)
         windows, least, most = [], 0, 0
         for _ in range(shards - 1):
             i = bisect_right(ends, least + low) - 1
