@@ -1,13 +1,15 @@
 """Pages whose words for parts stand inside the article, markup that parsers trip over, hosts with many sections; item ids of any
 type, windows that many items share; and columns with the names that operators might use."""
 
+import random
+import re
 import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, html_extract, langid, quality, toxicity
+from vecatlas.llm import decontam, html_extract, langid, order_minhash, quality, toxicity
 
 TEXT = "The harvest of the northern valleys began late this year, and the mills stood idle well into autumn."
 
@@ -94,3 +96,33 @@ def test_columns_of_clashing_names(spark, documents, labels, column):
         assert {r[column] for r in quality.classify(some, quality.fit(documents, labels)).collect()} == {"mine"}
         assert {r[column] for r in toxicity.score(some, toxicity.fit(documents, labels)).collect()} == {"mine"}
         assert {r[column] for r in langid.identify(some, langid.fit(documents)).collect()} == {"mine"}
+
+
+# Rows that joins make
+
+
+def rows_of_joins(spark, before, on):
+    """Rows made by the inner joins on one column in the queries that were not among ``before``."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    for i in range(before, store.executionsCount()):
+        number = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if re.search(rf"Join \[{on}#\d+\], \[{on}#\d+\], Inner", node.desc()):
+                metrics = (node.metrics().apply(j) for j in range(node.metrics().size()))
+                found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return total
+
+
+def test_a_text_is_looked_up_once_for_all_its_buckets(spark):
+    """Near copies beside strangers that share a passage with them: a text stands in up to 32 buckets of several classes,
+    and its facts are joined once."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    passage = rng.sample(words, 60)
+    texts = [" ".join([*passage, rng.choice(words), *passage[30:]]) for _ in range(300)] + [" ".join([*passage, *rng.sample(words, 60 + i)]) for i in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert order_minhash.deduplicate(docs).count() == 251
+    assert rows_of_joins(spark, before, "node") < 6 * len(texts)

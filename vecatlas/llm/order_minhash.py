@@ -352,27 +352,30 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
         both = pairs.join(left, on).join(right, "b").select("a", "b", "wa", "wb")
         return both.mapInArrow(verify, "a binary, b binary, aligned double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "aligned")
 
-    def of_several_classes(buckets, roots):
-        """The members, with the roots of their classes, of the buckets that still hold more than one class."""
-        rooted = written(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    def of_several_classes(members, roots):
+        """The members, with the roots of their classes, of the buckets that still hold more than one class. A text is
+        looked up once, not once for each of its buckets."""
+        each = members.groupBy("node").agg(F.collect_list(F.struct("band", "n")).alias("of")).join(roots, "node", "left")
+        rooted = written(each.withColumn("root", F.coalesce("root", "node")).select("*", F.inline("of")).drop("of"))
         return written(_several(rooted, "band"))
 
     links = written(verified(pairs))
     roots = written(components(links))
-    mixed = of_several_classes(shared.where(F.col("n") > small).select("band", "node", "n"), roots)
+    facts = texts.select("node", "size").join(roots, "node", "left").join(_degrees(links, "degree"), "node", "left")
+    mixed = of_several_classes(shared.where(F.col("n") > small), facts)
 
     def joined(found):
         return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select("a", "b"))))
 
     large = mixed.where(F.col("n") > _HUB)
     if large.limit(1).count():
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        hub = large.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+        hub = large.where("degree is not null").groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("hub"))
+        hub = written(hub.select("band", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root")))
         # a hub's partners in one bucket are met in HUB_PARTS tasks
         spokes = large.join(F.broadcast(hub) if hub.count() <= _FEW_HUBS else hub, "band").where("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         found = written(verified(written(spokes), _HUB_PARTS).distinct())
         links, roots = written(links.unionByName(found)), joined(found)
-        mixed = of_several_classes(mixed.select("band", "node", "n"), roots)
+        mixed = of_several_classes(mixed, texts.select("node", "size").join(roots, "node", "left"))
 
     if mixed.limit(1).count():
         found = written(_by_blocks(mixed, texts, at_least, k, block_words).distinct())
@@ -382,6 +385,11 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
     return sketches.select("key", "node"), labelled, links
 
 
+def _degrees(links: DataFrame, into: str) -> DataFrame:
+    """The number of links of each node that has any."""
+    return links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias(into))
+
+
 def _several(rows: DataFrame, of: str) -> DataFrame:
     """The rows of those ``of`` that hold more than one root."""
     several = rows.groupBy(of).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(of)
@@ -398,7 +406,7 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
     """
     size = F.greatest("size", F.lit(1))
     cell = F.floor(F.log(size) / F.log(F.lit(1 / at_least)) + 1e-9).cast("int")
-    sized = mixed.join(texts.select("node", "size", cell.alias("cell")), "node").select("band", F.explode(F.array("cell", F.col("cell") + 1)).alias("w"), "node", "root", F.greatest("size", F.lit(500)).alias("weight"))
+    sized = mixed.withColumn("cell", cell).select("band", F.explode(F.array("cell", F.col("cell") + 1)).alias("w"), "node", "root", F.greatest("size", F.lit(500)).alias("weight"))
     sized = written(sized.withColumn("window", F.xxhash64("band", "w")).drop("band", "w"))
     held = sized.groupBy("window", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     held = held.groupBy("window").agg(F.count("*").alias("classes"), F.sum("weight").alias("weight"), F.max(F.struct("n", "root", "weight")).alias("top")).where("classes > 1")
@@ -453,7 +461,7 @@ def near_duplicates(
     are not read.
     """
     rows, labelled, links = _classes(docs, key, text, at_least, k, bands, per_band, run_length, block_words)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = _degrees(links, "n_links")
     classes = labelled.groupBy("root").agg(F.min("key").alias("class_id"), F.sum("n_rows").alias("class_size"))
     of_node = labelled.join(classes, "root").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # a table of its own on either side of the join, so that AQE can split a text with very many copies
