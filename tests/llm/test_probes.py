@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontam, html_extract, langid, order_minhash, quality, toxicity
+from vecatlas.llm import decontam, html_extract, imatch, langid, order_minhash, quality, toxicity
 
 TEXT = "The harvest of the northern valleys began late this year, and the mills stood idle well into autumn."
 
@@ -126,3 +126,9 @@ def test_a_text_is_looked_up_once_for_all_its_buckets(spark):
     before = spark._jsparkSession.sharedState().statusStore().executionsCount()
     assert order_minhash.deduplicate(docs).count() == 251
     assert rows_of_joins(spark, before, "node") < 6 * len(texts)
+
+
+def test_each_text_is_fingerprinted_once(documents):
+    """The row before takes the fingerprint over with the text, and does not make it again."""
+    plan = imatch.fingerprint_and_compare(documents.limit(50))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" in plan and re.search(r"struct\(text, [^\n]*fingerprint#", plan)

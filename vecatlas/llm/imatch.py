@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,28 +81,44 @@ def _drawn(family: int, rate: int):
     return lambda t: F.pmod(F.xxhash64(t, F.lit(family)), F.lit(rate)) == 0
 
 
-def with_known(df: DataFrame, texts: list[str], words: DataFrame, cells: int, into: str) -> DataFrame:
-    """Add ``into``: for each of the texts its sorted terms of the lexicon.
+@contextmanager
+def membership(words: DataFrame, cells: int) -> Iterator[Callable[[Column], Column]]:
+    """The test whether a term is in the lexicon, for plans made inside the ``with`` block.
 
     The lexicon's row becomes the value of a session variable, which Spark folds to a constant of the plan: it goes to
     tasks with their code, once, and never through Python.
     """
-    spark, name = df.sparkSession, f"lexicon_{uuid.uuid4().hex}"
+    spark, name = words.sparkSession, f"lexicon_{uuid.uuid4().hex}"
     spark.sql(f"DECLARE VARIABLE {name} ARRAY<ARRAY<BIGINT>>")
-    spark.sql(f"SET VAR {name} = (SELECT blocks FROM {{words}})", words=words)
-    bits = F.expr(f"session.{name}")
+    try:
+        spark.sql(f"SET VAR {name} = (SELECT blocks FROM {{words}})", words=words)
+        bits = F.expr(f"session.{name}")
+
+        def set_(cell: Column) -> Column:
+            word = F.shiftright(cell, 6)
+            of = F.element_at(bits, (F.shiftright(word, WORDS_PER_BLOCK.bit_length() - 1) + 1).cast("int"))
+            return F.getbit(F.element_at(of, (word.bitwiseAND(F.lit(WORDS_PER_BLOCK - 1)) + 1).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        yield lambda t: F.forall(F.array(*_cells(t, cells)), set_)  # the lexicon stands in the plan once
+    finally:
+        spark.sql(f"DROP TEMPORARY VARIABLE {name}")  # the plans keep the value
+
 
-    def set_(cell: Column) -> Column:
-        word = F.shiftright(cell, 6)
-        of = F.element_at(bits, (F.shiftright(word, WORDS_PER_BLOCK.bit_length() - 1) + 1).cast("int"))
-        return F.getbit(F.element_at(of, (word.bitwiseAND(F.lit(WORDS_PER_BLOCK - 1)) + 1).cast("int")), cell.bitwiseAND(F.lit(63)).cast("int")) == 1
+def known_terms(text: Column, known: Callable[[Column], Column]) -> Column:
+    """A text's terms of the lexicon, sorted. ``sort_array`` compares numbers; ``array_sort`` would evaluate a lambda for each comparison."""
+    return F.sort_array(F.filter(terms(text), known))
+
+
+def with_known(df: DataFrame, texts: list[str], words: DataFrame, cells: int, into: str) -> DataFrame:
+    """Add ``into``: for each of the texts its sorted terms of the lexicon."""
+    with membership(words, cells) as known:
+        return df.withColumn(into, F.transform(F.array(*texts), lambda text: known_terms(text, known)))
 
-    def known(t: Column) -> Column:
-        return F.forall(F.array(*_cells(t, cells)), set_)  # the lexicon stands in the plan once
 
-    out = df.withColumn(into, F.transform(F.array(*texts), lambda text: F.array_sort(F.filter(terms(text), known))))
-    spark.sql(f"DROP TEMPORARY VARIABLE {name}")  # the plan keeps the value
-    return out
+def _described(df: DataFrame, text: str, into: str) -> DataFrame:
+    """Add parts and fingerprint, with the prefix ``into``, of a text whose terms of the lexicon are there as known."""
+    df = with_parts(df, F.col(f"{into}known"), f"{into}parts")
+    return df.withColumn(f"{into}fingerprint", written_out(F.col(f"{into}parts"), F.col(text)))
 
 
 def with_parts(df: DataFrame, known: Column, into: str) -> DataFrame:
@@ -175,24 +193,26 @@ def fingerprint_and_compare(docs: DataFrame, *, key: str = "doc_id", text: str =
     firsts = firsts.select("head.*", F.coalesce(F.lag("range").over(order), F.max("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     firsts = firsts.withColumnsRenamed({"key": "head_key", "tie": "head_tie"})
     heads = own.join(F.broadcast(firsts), F.col("key").eqNullSafe(F.col("head_key")) & (F.col("tie") == F.col("head_tie")))
-    heads = heads.select(F.col("to").alias("range"), F.col("text").alias("head_text")).dropDuplicates(["range"])
+    heads = heads.select(F.col("to").alias("range"), "text").dropDuplicates(["range"])
 
+    # each text is fingerprinted once, in its place in the order; the row before it takes that over with the text
     following = Window.partitionBy("range").orderBy("key", "tie")
-    rows = own.withColumn("next_text", F.lead("text").over(following)).join(heads, "range", "left")
-    rows = rows.select("key", "text", F.length("text").alias("n"), F.coalesce("next_text", "head_text").alias("next_text"))
+    whole = F.struct("text", "known", "parts", "fingerprint")
     half = F.floor(F.col("n") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)))
-    rows = with_known(rows, ["text", "edited", "next_text"], words, cells, "known")
-    for i, into in enumerate(("parts", "edited_parts", "next_parts")):
-        rows = with_parts(rows, F.col("known")[i], into)
-    rows = rows.withColumns({
-        "fingerprint": written_out(F.col("parts"), F.col("text")), "edited_fingerprint": written_out(F.col("edited_parts"), F.col("edited")), "next_fingerprint": written_out(F.col("next_parts"), F.col("next_text")),
-    })
+    with membership(words, cells) as known:
+        placed, heads = (_described(df.withColumn("known", known_terms(F.col("text"), known)), "text", "") for df in (own.repartition("range").sortWithinPartitions("range", "key", "tie"), heads))
+        rows = placed.withColumn("next", F.lead(whole).over(following)).join(heads.select("range", whole.alias("head")), "range", "left")
+        rows = rows.select("key", "text", "known", "parts", "fingerprint", F.length("text").alias("n"), F.coalesce("next", "head").alias("next"))
+        rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half)))
+        # most terms of the edited text are those of the two: only the others, as words that the cut makes, are looked up
+        rows = rows.withColumns({"found": F.concat("known", "next.known"), "terms": terms(F.col("edited"))})
+        rows = rows.withColumn("edited_known", F.sort_array(F.concat(F.array_intersect("terms", "found"), F.filter(F.array_except("terms", "found"), known))))
+    rows = _described(rows, "edited", "edited_")
 
     def near(parts: str, name: str) -> Column:
         return F.coalesce(likeness(F.col("parts"), F.col(parts)), (F.col("fingerprint") == F.col(name)).cast("double"))
 
     return rows.select(
         F.col("key").alias(key), F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        near("edited_parts", "edited_fingerprint").alias("near_edited"), near("next_parts", "next_fingerprint").alias("near_next"),
+        near("edited_parts", "edited_fingerprint").alias("near_edited"), near("next.parts", "next.fingerprint").alias("near_next"),
     )
