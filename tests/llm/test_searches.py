@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vecatlas.llm import components, decontam, imatch, order_minhash, queries
+from vecatlas.llm import common, components, decontam, imatch, order_minhash, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -324,6 +324,63 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shuffled_tasks(spark, group, run):
+    """Tasks of the stages that ran, where each exchange has 20 partitions."""
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    return sum(x.numCompletedTasks for i in stages if (x := tracker.getStageInfo(i)))
+
+
+def test_rounds_of_components_deal_edges_out_twice(spark):
+    """Two shuffles a round: with many partitions, what a round costs is its tasks."""
+    edges = common.written(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").coalesce(1))
+    found = []
+    assert shuffled_tasks(spark, "components", lambda: found.extend(components.components(edges).collect())) <= 450
+    assert {r["node"]: r["root"] for r in found} == dict.fromkeys(range(41), 0)
+
+
+def test_components_of_random_edges(spark):
+    """Repeated edges, loops, long chains and hubs against a search."""
+    rng = random.Random(17)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i * 7 % 101, 1000 + (i + 1) * 7 % 101) for i in range(100)] + [(2000, 2000 + rng.randrange(60)) for _ in range(200)]
+    beside = {}
+    for a, b in edges:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(beside):
+        todo = [] if node in want else [node]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = node
+                todo.extend(beside[x])
+    alone = {x for x, others in beside.items() if others == {x}}
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted((x, root) for x, root in want.items() if x not in alone)
+
+
+def test_blocks_without_rows(spark):
+    """Blocks so small that many have no rows: each pair is found, within a block and across."""
+    rng = random.Random(18)
+    base = [str(i) for i in range(300)]
+    copies = [edited(rng, base, 25, k) for k in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate([*copies, *(edited(rng, t, 1, f"y{i}") for i, t in enumerate(copies[:20]))])]
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_words=1000)
+    assert sorted(((r["doc_id"], r["class_id"]) for r in got.collect()), key=str) == classes(rows)
+
+
 def test_near_duplicates_awkward(awkward, nothing):
     assert order_minhash.near_duplicates(awkward).count() == awkward.count() and order_minhash.near_duplicates(nothing).count() == 0
     assert order_minhash.deduplicate(nothing).columns == nothing.columns

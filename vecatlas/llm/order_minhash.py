@@ -25,11 +25,11 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import slices, written
-from vecatlas.llm.components import components
+from vecatlas.llm.components import labels
 
 # Bytes that belong to words (after lower-casing A-Z) are 0-9, a-z and all of 0x80-0xFF.
 _TO_WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -360,12 +360,12 @@ def _classes(docs: DataFrame, key: str, text: str, at_least: float, k: int, band
         return written(_several(rooted, "band"))
 
     links = written(verified(pairs))
-    roots = written(components(links))
+    roots = labels(links)  # without the roots themselves
     facts = texts.select("node", "size").join(roots, "node", "left").join(_degrees(links, "degree"), "node", "left")
     mixed = of_several_classes(shared.where(F.col("n") > small), facts)
 
     def joined(found):
-        return written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select("a", "b"))))
+        return labels(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select("a", "b")))
 
     large = mixed.where(F.col("n") > _HUB)
     if large.limit(1).count():
@@ -416,32 +416,37 @@ def _by_blocks(mixed: DataFrame, texts: DataFrame, at_least: float, k: int, bloc
     held = held.select("window", F.when(has_large, F.col("top.root")).alias("of"), left.alias("left"), blocks.alias("blocks"))
     members = written(sized.join(held, "window"))
 
-    # each is read several times below
-    own = written(members.where("root = of").select("of", "node", "root", "weight").distinct())
-    strangers = written(members.where("root <> of").select("of", "node", "root", "weight").distinct())
-    others = members.where("left > 1 and (of is null or root <> of)")
-    rest = written(others.select("window", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string").alias("block")))
+    def task(of: str, x: Column, y: Column) -> Column:
+        return F.sha2(F.to_json(F.struct(of, x.alias("x"), y.alias("y"))), 256).alias("task")
 
-    def in_blocks(rows: DataFrame, side: str) -> DataFrame:
-        """Add ``block``, a number of ``side``, to the rows of each class."""
-        total = rows.groupBy("of").agg(F.ceil(F.sum("weight") / block_words).alias("blocks"))
-        return rows.join(total, "of").withColumn("block", F.concat(F.lit(side), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("string")))
+    def in_block(blocks: Column) -> Column:
+        return F.pmod(F.xxhash64("node"), blocks)
 
-    def tasks(left: DataFrame, right: DataFrame, of: str, apart: str) -> DataFrame:
-        """Rows of both sides for each pair of their blocks."""
-        x, y = (d.select(F.col(of), F.col("block").alias(name)).distinct() for d, name in ((left, "x"), (right, "y")))
-        against = x.join(y, of).where(apart).select(of, F.sha2(F.to_json(F.struct(of, "x", "y")), 256).alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-        both = left.unionByName(right) if left is not right else left
-        return both.join(against, [of, "block"]).select("task", "block", "node", "root")
+    def each(blocks: Column) -> Column:
+        """Numbers of the blocks that a row's block meets: a row for each, without looking for those that have rows."""
+        return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
 
-    by_class = tasks(in_blocks(own, "own"), in_blocks(strangers, "other"), "of", "true")
-    rows = by_class.unionByName(tasks(rest, rest, "window", "x <= y")).join(texts.select("node", "words"), "node")
+    # the largest classes' blocks and their strangers'
+    met = written(members.where("of is not null").select("of", "node", "root", "weight", (F.col("root") == F.col("of")).alias("own")).distinct())
+    count = lambda side: F.ceil(F.sum(F.when(side, F.col("weight"))) / block_words)
+    totals = met.groupBy("of").agg(count(F.col("own")).alias("here"), count(~F.col("own")).alias("there"))
+    met = met.join(totals, "of").withColumns({"here": F.when(F.col("own"), F.col("here")).otherwise(F.col("there")), "there": F.when(F.col("own"), F.col("there")).otherwise(F.col("here"))})
+    met = met.select("of", "node", "root", "own", in_block(F.col("here")).alias("block"), each(F.col("there")))
+    of_sides = [F.when(F.col("own"), F.col(x)).otherwise(F.col(y)) for x, y in (("block", "other"), ("other", "block"))]
+    by_class = met.select(task("of", *of_sides), F.lit(2).alias("sides"), F.concat(F.when(F.col("own"), "own").otherwise("other"), F.col("block").cast("string")).alias("block"), "node", "root")
+
+    # what else the windows hold
+    rest = members.where("left > 1 and (of is null or root <> of)").select("window", "node", "root", in_block(F.col("blocks")).alias("block"), each(F.col("blocks")))
+    of_window = task("window", F.least("block", "other"), F.greatest("block", "other"))
+    by_window = rest.select(of_window, F.when(F.col("block") == F.col("other"), 1).otherwise(2).alias("sides"), F.col("block").cast("string").alias("block"), "node", "root")
+    rows = by_class.unionByName(by_window).join(texts.select("node", "words"), "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
-        nodes = group["node"].to_pylist()
+        nodes, block = group["node"].to_pylist(), group["block"].to_pylist()
         words = [np.frombuffer(x, np.uint64) for x in group["words"].to_pylist()]
-        found = links_of_block(words, group["root"].to_pylist(), group["block"].to_pylist(), at_least, k)
+        met = len(set(block)) == group["sides"][0].as_py()  # else no row lies in the other block
+        found = links_of_block(words, group["root"].to_pylist(), block, at_least, k) if met else []
         columns = [([nodes[i] for i, _, _ in found], pa.binary()), ([nodes[j] for _, j, _ in found], pa.binary()), ([x for _, _, x in found], pa.float64())]
         return pa.table([pa.array(x, kind) for x, kind in columns], names=["a", "b", "aligned"])
 
